@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import mixing, neardup, packing, tokens, toxicity
+from talus.llm import mixing, neardup, packing, quality, tokens, toxicity
 from talus.runtime import stage, table
 
 
@@ -16,6 +16,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule or are depleted go."""
+    return quality.keep_good(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     groups = neardup.near_duplicates(docs)
@@ -36,6 +41,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
     ("near_dedup", near_dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import mixing, neardup, packing, tokens, toxicity
+from talus.llm import mixing, neardup, packing, quality, tokens, toxicity
 from talus.runtime import table
 
 
@@ -13,6 +13,10 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -31,5 +35,5 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_toxicity, op5_mixing, op8_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_mixing, op8_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}

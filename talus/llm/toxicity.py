@@ -119,6 +119,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
             w = np.maximum(w - SHRINK, 0)
+            b = min(b, float(np.log(prior / (1 - prior))))  # without evidence a text is toxic with the prior at most
         weights[known] += w / members
         bias += b / members
     return weights.astype(np.float32), float(bias)
