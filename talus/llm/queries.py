@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import lm, mixing, neardup, packing, quality, tokens, toxicity
+from talus.llm import bitpack, embeddings, lm, mixing, neardup, packing, quality, tokens, toxicity, warc
 from talus.runtime import table
 
 
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(table(spark, sf_dir, "documents"), tokens.default_path())
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), F.pmod(id_crc(), F.lit(10)) == 0)
 
@@ -39,5 +43,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_mixing, op7_lm_scoring, op8_minhash_near_dedup)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
