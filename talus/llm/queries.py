@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import bitpack, embeddings, lm, mixing, neardup, packing, quality, tokens, toxicity, warc
+from talus.llm import bitpack, embeddings, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity, warc
 from talus.runtime import table
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -51,5 +55,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
