@@ -6,9 +6,9 @@ value, and the rounds end when every bin is full, at the latest after round 2t-1
 coordinates of two sets are as likely as their Jaccard similarity, with concentration bounds.
 
 Documents with equal sets form one class. Classes that share a band are compared on their full
-sets: first each with few pivots of its bucket, then, once the pivots' links are contracted
-into components, every pair of a bucket whose ends are still in different components. A pair
-inside one component can't change the components, so none has to be formed.
+sets: first each with few pivots of its bucket; then, where the pivots' links left a bucket in
+several components, all members of such buckets' families, in blocks. A pair inside one
+component can't change the components, so none has to be formed.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from talus.runtime import stage
 
 #: A pair of similarity 0.8 shares one of 30 bands of 5 coordinates with probability over 0.99999.
 BANDS, ROWS = 30, 5
+#: Members of a block of a family.
+BLOCK = 256
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -136,6 +138,73 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _split(live: DataFrame) -> DataFrame:
+    """The members of buckets that hold two components or more."""
+    split = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return live.join(split, "key")
+
+
+def family_links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what the pivots left apart: whole families are compared, block by block.
+
+    A family is what shared buckets connect. Its members are dealt into blocks of about BLOCK,
+    and each two blocks are one task's work: the exact intersections of all their pairs as
+    products of 0/1 matrices. A task returns, for each linked member, the least id of its
+    component there, and no pairs.
+    """
+    star = live.join(live.groupBy("key").agg(F.min("doc_id").alias("hub")), "key").select("doc_id", "hub").distinct()
+    names = connected_components(star, "doc_id", "hub")
+    docs = live.select("doc_id").distinct().join(names.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left")
+    docs = docs.withColumn("family", F.coalesce("family", "doc_id"))
+    cut = docs.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = docs.join(cut, "family").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = stage(dealt.join(sets, "doc_id"), "dup-families")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("family", "doc_id", "shingles", "side", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        side, ids = group.column("side").to_numpy(), group.column("doc_id").to_numpy()
+        each = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in each], np.int64)
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        owner = np.repeat(np.arange(len(each)), n)
+        flat = np.concatenate(each)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        number = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))
+        same = np.zeros((len(a), len(b)), np.float32)
+        at = np.full(len(each), -1)
+        rows_a, rows_b = at.copy(), at.copy()
+        rows_a[a], rows_b[b] = np.arange(len(a)), np.arange(len(b))
+        step = 2048
+        cuts = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + step, step))
+        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            who, what = owner[x:y], number[x:y] - k * step
+            sides = []
+            for rows, count in ((rows_a, len(a)), (rows_b, len(b))):
+                m, ok = np.zeros((count, step), np.float32), rows[who] >= 0
+                m[rows[who][ok], what[ok]] = 1
+                sides.append(m)
+            same += sides[0] @ sides[1].T
+        both = np.rint(same).astype(np.int64)
+        near = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
+        if i == j:
+            np.fill_diagonal(near, False)
+        least, big = ids.copy(), np.iinfo(np.int64).max
+        while near.any():
+            new = least.copy()
+            new[a] = np.minimum(new[a], np.where(near, least[b][None, :], big).min(axis=1))
+            new[b] = np.minimum(new[b], np.where(near, least[a][:, None], big).min(axis=0))
+            if (new == least).all():
+                break
+            least = new
+        at = np.flatnonzero(least != ids)
+        return pa.Table.from_arrays([pa.array(least[at]), pa.array(ids[at])], ["a", "b"])
+
+    return stage(dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long"), "dup-family-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
@@ -162,32 +231,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links, components = None, None
     alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     live = members.withColumn("component", F.col("doc_id"))
-    for turn, count in enumerate((*pivots, 0)):
+    for turn, count in enumerate(pivots):
         if turn:
-            live = stage(_labelled(members, components), "dup-live")
-            split = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            live = stage(live.join(split, "key"), "dup-split")
-            if live.isEmpty():
-                break
+            live = stage(_split(_labelled(members, components)), "dup-live")
         b = live.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-        if count:  # the members with the least hashes of a bucket, at most `count` per bucket
-            draw = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-            if count == 1:
-                chosen = live.groupBy("key").agg(F.min(draw).alias("p")).select("key", "p.*")
-            else:
-                salted = live.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(count)))
-                chosen = salted.groupBy("key", "salt").agg(F.min(draw).alias("p")).select("key", "p.*")
-            pairs = chosen.join(b, "key").where((F.col("c_a") != F.col("c_b")) & alike)
-        else:  # all pairs of a bucket that lie in two components; the components first, then their members
-            groups = live.select("key", "component").distinct()
-            left, right = groups.withColumnRenamed("component", "c_a"), groups.withColumnRenamed("component", "c_b")
-            across = left.join(right, "key").where("c_a < c_b")
-            a = live.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-            pairs = across.join(a, ["key", "c_a"]).join(b, ["key", "c_b"]).where(alike)
+        # the members with the least hashes of a bucket, at most `count` per bucket
+        draw = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
+        salted = live.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(count)))
+        chosen = salted.groupBy("key", "salt").agg(F.min(draw).alias("p")).select("key", "p.*")
+        pairs = chosen.join(b, "key").where((F.col("c_a") != F.col("c_b")) & alike)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = stage(verified(pairs, sets, percent), "dup-links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links, "a", "b")
+    live = stage(_split(_labelled(members, components)), "dup-live")
+    if not live.isEmpty():
+        links = links.unionByName(family_links(live, sets, percent))
+        components = connected_components(links, "a", "b")
     ends = copies.select(F.col("doc_id").alias("node"), "rep")
     merged = ends.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     merged = merged.unionByName(components)
