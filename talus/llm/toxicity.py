@@ -49,17 +49,27 @@ def text_features(text: bytes | None) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def distinct_rows(rows: list[np.ndarray], bands: int = 16, width: int = 4) -> list[int]:
-    """The positions of the rows that share no band of least hashes with an earlier one: copies count once."""
-    seen: set[tuple] = set()
+def signature(text: bytes | None, bands: int = 24, width: int = 2) -> np.ndarray:
+    """Keys of the text's two-word shingles by bands of least hashes: copies, even much edited, share one."""
+    words = (text or b"").lower().split()
+    pairs = {zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:])} or {zlib.crc32(b" ".join(words))}
+    x = np.fromiter(pairs, np.uint64, len(pairs))
+    least = np.array([mix(x ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)).min() for k in range(1, bands * width + 1)]).reshape(bands, width)
+    with np.errstate(over="ignore"):
+        key = np.arange(bands, dtype=np.uint64)
+        for k in range(width):
+            key = mix(key ^ least[:, k])
+    return key
+
+
+def distinct_rows(signatures: list[np.ndarray]) -> list[int]:
+    """The positions of the rows that share no key with an earlier one: copies count once."""
+    seen: set[int] = set()
     out = []
-    for i, row in enumerate(rows):
-        x = np.unique(row).astype(np.uint64) if len(row) else np.zeros(1, np.uint64)
-        least = [int(mix(x ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)).min()) for k in range(1, bands * width + 1)]
-        keys = {(b, *least[b * width : (b + 1) * width]) for b in range(bands)}
-        if not keys & seen:
+    for i, keys in enumerate(s.tolist() for s in signatures):
+        if seen.isdisjoint(keys):
             out.append(i)
-        seen |= keys
+        seen.update(keys)
     return out
 
 
@@ -145,15 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> T
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [text_features(t).tobytes() for t in binary(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(found, pa.binary())], ["doc_id", "positive", "features"])
+            texts = binary(batch.column("text"))
+            found = [pa.array([f(t).tobytes() for t in texts], pa.binary()) for f in (text_features, signature)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), *found], ["doc_id", "positive", "features", "signature"])
 
     # at most MAX_POSITIVE + MAX_UNLABELLED ids
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = sorted(chosen.mapInArrow(features, "doc_id long, positive boolean, features binary").collect(), key=lambda r: (r.doc_id, r.features))
+    rows = sorted(chosen.mapInArrow(features, "doc_id long, positive boolean, features binary, signature binary").collect(), key=lambda r: (r.doc_id, r.features))
     each = [np.frombuffer(r.features, np.uint32) for r in rows]
     sides = [[i for i, r in enumerate(rows) if r.positive == side] for side in (True, False)]
-    kept = [side[k] for side in sides for k in distinct_rows([each[i] for i in side])]
+    kept = [side[k] for side in sides for k in distinct_rows([np.frombuffer(rows[i].signature, np.uint64) for i in side])]
     each, positive = [each[i] for i in kept], np.array([rows[i].positive for i in kept], bool)
     weights, bias = fit_nnpu(each, positive, prior)
     return ToxicityModel(weights, bias, prior, int(positive.sum()))
