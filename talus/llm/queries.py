@@ -48,7 +48,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,42 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup)}
-ORACLES: dict[str, str] = {}
+SPACE = r"[\x20\x09-\x0D]+"
+WORDS = f"list_filter(string_split_regex(coalesce(text,''), '{SPACE}'), lambda x: x <> '')"
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text,'') AS text, {WORDS} AS w FROM documents),
+l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+f AS (SELECT doc_id, source, line, list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '') AS lw FROM l),
+g AS (SELECT * FROM f WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM g GROUP BY 1),
+win AS (SELECT doc_id, unnest(range(len(w)-2)) AS i, w FROM d WHERE len(w) >= 3),
+key AS (SELECT doc_id, i, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM win),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM key),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, (SELECT unnest([0,1,2]) AS o) WHERE n > 1 GROUP BY 1),
+norm AS (SELECT doc_id, source, translate(lower(array_to_string(lw, ' ')), '0123456789', '0000000000') AS line, len(lw) AS words FROM g),
+uses AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM norm GROUP BY 1, 2),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
+common AS (SELECT u.source, u.line FROM uses u JOIN hosts h USING(source) WHERE u.docs > 20 AND u.docs > h.docs * 0.10),
+gone AS (SELECT doc_id, sum(words) AS removed FROM norm JOIN common USING(source, line) GROUP BY 1),
+r AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))),0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+ coalesce(n_dup_lines,0) AS n_dup_lines, coalesce(n_repeat_words,0) AS n_repeat_words, CAST(coalesce(removed,0) AS BIGINT) AS removed_words FROM d LEFT JOIN dup USING(doc_id) LEFT JOIN rep USING(doc_id) LEFT JOIN gone USING(doc_id))
+SELECT *, n_words < 50 OR 100*n_repeat_words > 50*n_words AS base_failed, NOT (n_words < 50 OR 100*n_repeat_words > 50*n_words) AND NOT (n_words - removed_words < n_words*0.30) AS kept FROM r"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(len(w)-3), lambda i: array_to_string(w[i+1:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING(sh) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*k >= 80*(x.n + y.n - k)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.b, r.c FROM reach r JOIN g ON g.a = r.node WHERE r.c < g.b),
+m AS (SELECT node, min(c) AS c FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, doc_id = m.c AS kept FROM documents LEFT JOIN n USING(doc_id) JOIN m ON m.node = doc_id"""
+
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_minhash_near_dedup": OP8, "op9_warc": OP9}
