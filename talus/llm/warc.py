@@ -233,12 +233,13 @@ def read(runs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    listed = runs.groupBy("file").agg(F.count("*").alias("n"))
-    return listed.select("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    listed = stage(runs.select("file").distinct(), "warc-files")
+    # a task per archive of up to ARCHIVE_BYTES
+    return listed.repartition(max(1, listed.count())).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives written, indexed and read back: a row per page with its place in the merged index."""
     runs = write(pages, new_path(pages.sparkSession, "warc"))
     index = merge_runs(runs).select("file", "offset", F.col("part").alias("index_part"), F.col("place").alias("index_place"), F.col("key").alias("url_key"))
-    return read(runs).join(index, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "index_part", "index_place")
+    return read(runs).join(index.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "index_part", "index_place")
