@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.ranks import running_sums
+
 
 def safe(x: Column, y: Column) -> Column:
     """x / y, 0 where y is 0."""
@@ -61,16 +63,15 @@ def by_score(scored: DataFrame) -> DataFrame:
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """The rank statistic: pairs in order plus half the ties, over all pairs; null without both classes."""
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    c = by_score(scored).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    c = running_sums(by_score(scored), [F.col("p")], {"below": "neg"}, inclusive=False)
     s = c.agg(F.sum(F.col("pos") * F.col("below") + F.col("pos") * F.col("neg") * 0.5).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return s.select(F.try_divide(F.col("u"), F.nullif((F.col("p") * F.col("n")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision and recall at each distinct score as the threshold."""
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = by_score(scored).select("p", "pos", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(Window.partitionBy()).alias("all"))
+    c = running_sums(by_score(scored), [F.desc("p")], {"tp": "pos", "fp": "neg"})
+    c = c.join(F.broadcast(c.agg(F.sum("pos").alias("all"))))  # one row
     return c.select(F.col("p").alias("threshold"), "pos", safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), safe(F.col("tp"), F.col("all")).alias("recall"), F.col("all").alias("positives"))
 
 

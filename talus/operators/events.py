@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.ranks import row_numbers
+
 
 def next_after(events: DataFrame, key: str, ts: str, is_start: Column, is_end: Column) -> DataFrame:
     """Each start row with next_end: the earliest end of the same key strictly later, else null.
@@ -51,8 +53,9 @@ def is_night(ts: Column, last_hour: int = 6) -> Column:
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """A stratified fold number: rows of a label dealt out in hashed order."""
-    w = Window.partitionBy(label).orderBy(F.crc32(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    h = F.crc32(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ranked = row_numbers(df.withColumn("__h", h), [F.col("__h"), F.col(key)], [label], "__rn")
+    return ranked.withColumn("fold", F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__h", "__rn")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

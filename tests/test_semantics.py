@@ -172,3 +172,16 @@ def test_incident_conflicts(spark, tmp_path):
     a.coalesce(1).write.parquet(f"{tmp_path}/in")
     got = pipelines.run_to_table(pipelines.incident_states(pipelines.file_stream(spark, f"{tmp_path}/in", a.schema)))
     assert rows(got, "incident_id", "seq", "state", "code") == [(1, 1, "UNDER_REVIEW", 200), (1, 2, "CONFIRMED", 200), (1, 3, "CONFIRMED", 409), (2, 1, "FALSE_POSITIVE", 200)]
+
+
+def test_ranks_over_partitions_equal_one_window(spark):
+    from talus.operators.ranks import row_numbers, running_sums
+
+    r = random.Random(8)
+    data = [(i, "a" if r.random() < 0.8 else None, r.randrange(100)) for i in range(500)]
+    d = spark.createDataFrame(data, "id long, g string, v long").repartition(7)
+    got = {x.id: (x.rank, x.total) for x in running_sums(row_numbers(d, [F.col("v"), F.col("id")], ["g"]), [F.col("v"), F.col("id")], {"total": "v"}).collect()}
+    total, seen = 0, {}
+    for i, g, v in sorted(data, key=lambda x: (x[2], x[0])):
+        total, seen[g] = total + v, seen.get(g, 0) + 1
+        assert got[i] == (seen[g], total)
