@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.operators.ranks import row_numbers
+from talus.runtime import stage
 
 
 def next_after(events: DataFrame, key: str, ts: str, is_start: Column, is_end: Column) -> DataFrame:
@@ -18,6 +19,25 @@ def next_after(events: DataFrame, key: str, ts: str, is_start: Column, is_end: C
     return events.where(is_start | is_end).withColumn("next_end", F.min(F.when(is_end, F.col(ts))).over(w)).where(is_start)
 
 
+def next_after_split(events: DataFrame, key: str, ts: str, is_start: Column, is_end: Column) -> DataFrame:
+    """next_after where a key may hold a large share of all rows: its rows are spread over range partitions.
+
+    Rows are ordered by key and descending time over all partitions and written out. A partition
+    carries the least end of each key that it holds; what earlier partitions carry for the key
+    is the bound that its rows start from. Ends of earlier partitions at a row's own time are
+    none, as starts sort before ends at equal times.
+    """
+    rows = events.where(is_start | is_end).withColumn("__end", F.when(is_end, F.col(ts))).withColumn("__flag", F.when(is_end, 1).otherwise(0))
+    order = [F.col(ts).desc(), F.col("__flag")]
+    ranged = stage(rows.repartitionByRange(F.col(key), *order).withColumn("__pid", F.spark_partition_id()), "next-after")
+    local = Window.partitionBy("__pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = ranged.withColumn("__near", F.min("__end").over(local))
+    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("__pid", key).agg(F.min("__end").alias("__m")).select("__pid", key, F.min("__m").over(before).alias("__carry"))
+    out = here.join(carried, ["__pid", key]).withColumn("next_end", F.coalesce("__near", "__carry"))
+    return out.where("__flag = 0").select(*[F.col(f"`{c}`") for c in events.columns], "next_end")
+
+
 def gaps(events: DataFrame, key: str, ts: str, *ties: str) -> DataFrame:
     """gap_seconds to the key's row before, null for its first."""
     w = Window.partitionBy(key).orderBy(ts, *ties)

@@ -35,6 +35,12 @@ def j3(s, d):
     return events.next_after(both, "user_id", "created_at", F.col("dep"), ~F.col("dep")).select("event_id", "user_id", "created_at", "next_end")
 
 
+@query("j3_next_event_after_hot_keys", f"""{w.EVENTS} SELECT d.event_id, min(c.created_at) AS next_end FROM twd d LEFT JOIN crypto c ON c.user_id=d.user_id AND c.kind=1 AND c.created_at>d.created_at WHERE d.kind=0 GROUP BY 1""")
+def j3s(s, d):
+    both = w.twd(s, d).where("kind = 0").select("event_id", "user_id", "created_at", F.lit(True).alias("dep")).union(w.crypto(s, d).where("kind = 1").select("event_id", "user_id", "created_at", F.lit(False)))
+    return events.next_after_split(both, "user_id", "created_at", F.col("dep"), ~F.col("dep")).select("event_id", "next_end")
+
+
 @query("j4_shared_key_self_join", f"WITH {w.WEEKS} SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM weeks a JOIN weeks b USING(k) WHERE a.user_id<b.user_id")
 def j4(s, d):
     return graph.shared_key_edges(w.shared_weeks(s, d), "k")

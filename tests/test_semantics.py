@@ -185,3 +185,13 @@ def test_ranks_over_partitions_equal_one_window(spark):
     for i, g, v in sorted(data, key=lambda x: (x[2], x[0])):
         total, seen[g] = total + v, seen.get(g, 0) + 1
         assert got[i] == (seen[g], total)
+
+
+def test_next_after_of_a_hot_key(spark):
+    r = random.Random(9)
+    data = [(i, 1 if r.random() < 0.9 else r.randrange(5), r.randrange(60), r.random() < 0.5) for i in range(800)]
+    d = spark.createDataFrame(data, "id long, u long, t long, start boolean").repartition(6)
+    args = ("u", "t", F.col("start"), ~F.col("start"))
+    want = {i: min((t2 for _, u2, t2, s2 in data if u2 == u and not s2 and t2 > t), default=None) for i, u, t, s in data if s}
+    assert {x.id: x.next_end for x in events.next_after(d, *args).collect()} == want
+    assert {x.id: x.next_end for x in events.next_after_split(d, *args).collect()} == want
