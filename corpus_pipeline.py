@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talus.llm import mixing, neardup, packing, quality, tokens, toxicity
@@ -26,7 +26,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = neardup.near_duplicates(docs)
     gone = groups.where("NOT kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest
+    again = stage(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
+    if again.isEmpty():
+        return rest
+    # rows that repeat an id are one group: the first by the text's hash stays
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
+    one = rest.join(again, "doc_id", "left_semi").withColumn("__rn", F.row_number().over(order)).where("__rn = 1")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

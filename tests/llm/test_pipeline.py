@@ -51,3 +51,10 @@ def test_stages_take_odd_rows(spark, docs_of, sf, stage):
     assert out.count() >= 0 and f(spark, docs.where("false"), sf).count() == 0
     if stage != "packing_stage":
         assert out.columns == docs.columns
+
+
+def test_one_row_of_a_repeated_id_stays(spark, docs_of, sf):
+    t = " ".join(f"w{i}" for i in range(80))
+    docs = docs_of([(1, t), (1, t), (1, "else " + t), (2, t), (3, "quite another text of a few words"), (None, t), (None, None)])
+    out = corpus_pipeline.near_dedup_stage(spark, docs, sf)
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None", "None"] and out.columns == docs.columns
