@@ -22,7 +22,7 @@ from talus.llm.text import CACHE_WORDS, binary, mix, slices
 #: Hashed features.
 BITS = 20
 #: Bounds of the rows that the classifiers are fitted on.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 #: What a feature needs to take part, and the shrinkage of a step.
 MIN_SHARE, MIN_LIFT, MIN_SIGMAS, SHRINK = 0.02, 3.0, 9.0, 0.003
 STRIP = b".,;:!?()[]{}<>\"'|*_-"
