@@ -234,3 +234,37 @@ def sk12(s, d):
     acted = risk.with_actions(w.scored(s, d).select(F.col("doc_id").alias("user_id"), risk.tier(F.col("p")).alias("tier")))
     sinks.action_queue(acted, p)
     return s.read.schema("user_id long").json(p)
+
+
+@query("sk4_sink_fallback", "SELECT o_orderkey FROM orders WHERE o_orderkey<100")
+def sk4(s, d):
+    p = new_path(s, "sk4")
+    small = table(s, d, "orders").where("o_orderkey < 100").select("o_orderkey")
+    at = sinks.with_fallback(small, "nosuchscheme://nowhere/x", p)
+    return s.read.schema("o_orderkey long").option("header", True).csv(at)
+
+
+@query("sk8_put_counts", "SELECT count(*) FILTER (c_custkey%100<>0) AS success, count(*) FILTER (c_custkey%100=0) AS failed FROM customer")
+def sk8(s, d):
+    from talus.plans import storage
+
+    n = sinks.put_rows(table(s, d, "customer").select("c_custkey"), storage._put)
+    return n.agg(F.sum(F.when(F.col("ok"), F.col("n"))).alias("success"), F.sum(F.when(~F.col("ok"), F.col("n"))).alias("failed"))
+
+
+@query("sk10_keyed_batch_write", f"WITH {w.SCORED} SELECT doc_id AS user_id, CASE WHEN p>=0.75 THEN 'HIGH' WHEN p>=0.5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM scored")
+def sk10(s, d):
+    from talus.streaming import pipelines as st
+
+    rows = w.scored(s, d).select(F.col("doc_id").alias("user_id"), risk.coarse_level(F.col("p")).alias("risk_level"))
+    p = new_path(s, "sk10")
+    rows.repartition(3).write.parquet(p)
+    return st.upsert_latest(st.file_stream(s, p, rows.schema), "user_id", "risk_level")
+
+
+@query("sk13_state_table", "SELECT * FROM (VALUES ('load','7 tables'),('features','19 columns')) t(stage,detail)")
+def sk13(s, d):
+    p = new_path(s, "sk13")
+    for name, detail in (("load", "7 tables"), ("features", "19 columns"), ("load", "7 tables")):
+        sinks.mark_done(s, p, name, detail)
+    return sinks.done_stages(s, p)

@@ -75,3 +75,20 @@ def stx2(s, d):
 def stx3(s, d):
     out = st.run_to_table(st.sessions(_stream(s, d), "ts", "2 hours", "60 days", "user_id"), "complete")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("st5_checkpointed_restart", "SELECT event_id FROM events")
+def st5(s, d):
+    """Two runs on one checkpoint: the second takes up where the first ended, and no row comes twice."""
+    e = table(s, d, "events").select("event_id")
+    src, out, at = (new_path(s, f"st5-{x}") for x in ("in", "out", "checkpoint"))
+    for half in (0, 1):
+        e.where(F.col("event_id") % 2 == half).coalesce(2).write.mode("append").parquet(src)
+        st.file_stream(s, src, e.schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(e.schema).parquet(out)
+
+
+@query("st7_pacing", "SELECT * FROM (VALUES (0,0.0::DOUBLE,1.0::DOUBLE),(1,1.1::DOUBLE,2.0::DOUBLE),(2,1.1::DOUBLE,4.0::DOUBLE),(3,1.1::DOUBLE,8.0::DOUBLE)) t(call,wait,retry)")
+def st7(s, d):
+    rows = [(i, st.paced(0.0, None if i == 0 else 0.0), st.backoff(i)) for i in range(4)]
+    return s.createDataFrame(rows, "call int, wait double, retry double")

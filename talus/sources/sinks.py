@@ -69,3 +69,22 @@ def put_rows(df: DataFrame, put: Callable[[dict[str, str]], None]) -> DataFrame:
 def manifest(df: DataFrame) -> str:
     """A small state record of a written table."""
     return json.dumps({"columns": df.columns, "schema": json.loads(df.schema.json())})
+
+
+def with_fallback(df: DataFrame, path: str, fallback: str) -> str:
+    """Write Parquet to path; where that can't be written, CSV to the fallback. Gives the place written."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    except Exception:  # noqa: BLE001
+        df.write.mode("overwrite").option("header", True).csv(fallback)
+        return fallback
+
+
+def mark_done(spark, path: str, stage_name: str, detail: str = "") -> None:
+    """Add a finished stage to a state table; a write that fails leaves the table as it was."""
+    spark.range(1).select(F.lit(stage_name).alias("stage"), F.lit(detail).alias("detail")).coalesce(1).write.mode("append").json(path)
+
+
+def done_stages(spark, path: str) -> DataFrame:
+    return spark.read.schema("stage string, detail string").json(path).groupBy("stage").agg(F.max("detail").alias("detail"))

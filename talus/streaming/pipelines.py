@@ -98,3 +98,14 @@ def error_alert(df: DataFrame, failed, limit: float = 0.20) -> DataFrame:
 def within_ttl(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     """Rows that haven't expired at as_of."""
     return df.where(F.unix_timestamp(F.col(ts).cast("timestamp")) + days * 86400 > F.unix_timestamp(as_of))
+
+
+def paced(now: float, last: float | None, least: float = 1.1, jitter: float = 0.0) -> float:
+    """Seconds to wait before the next call of a rate-limited service, at least `least` after the last one."""
+    return 0.0 if last is None else max(0.0, last + least + jitter - now)
+
+
+def backoff(attempt: int, base: float = 1.0, cap: float = 30.0, share: float = 0.0) -> float:
+    """Exponential waits up to the cap, lengthened by a share (0 to 1) of themselves."""
+    wait = min(cap, base * 2**attempt)
+    return wait + share * wait
