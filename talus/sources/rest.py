@@ -151,10 +151,10 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if start["done"]:
-            return iter(()), start
+            return iter([]), start
         page = self._page(start["cursor"])
         after = cursor_of(page)
-        return (_row(self.schema, r) for r in rows_of(page)), {"cursor": after or start["cursor"], "done": 0 if after else 1}
+        return iter([_row(self.schema, r) for r in rows_of(page)]), {"cursor": after or start["cursor"], "done": 0 if after else 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         cursor = start["cursor"]

@@ -195,3 +195,26 @@ def test_next_after_of_a_hot_key(spark):
     want = {i: min((t2 for _, u2, t2, s2 in data if u2 == u and not s2 and t2 > t), default=None) for i, u, t, s in data if s}
     assert {x.id: x.next_end for x in events.next_after(d, *args).collect()} == want
     assert {x.id: x.next_end for x in events.next_after_split(d, *args).collect()} == want
+
+
+class _Cursor(rest.RestSource):
+    @classmethod
+    def name(cls):
+        return "talus_rest_cursor"
+
+    @staticmethod
+    def fetch(url):
+        import json
+
+        at = int(url.split("/")[-1] or 0)
+        return 200, {}, json.dumps({"data": [{"user_id": i} for i in range(at, at + 5)], "nextCursor": at + 5 if at < 20 else None})
+
+
+def test_cursor_stream_reads_every_row_once(spark, tmp_path):
+    import tests.test_semantics as here
+
+    spark.dataSource.register(here._Cursor)
+    q = spark.readStream.format("talus_rest_cursor").option("url", "x/{cursor}").load().writeStream.format("memory").queryName("cursor_rows").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.user_id for r in spark.table("cursor_rows").collect()) == list(range(25))
