@@ -149,10 +149,10 @@ def read(listed: DataFrame) -> DataFrame:
                 known = [int(i) if k else None for i, k in zip(f.doc_ids, f.known)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(known, pa.int64()), "start": pa.array(before + starts, pa.int64()), "n_tokens": pa.array(f.ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    # one row per file of up to FILE_IDS ids
     order = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
     placed = listed.select("uri", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
-    return placed.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task per file of up to FILE_IDS ids
+    return placed.repartition(max(1, listed.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
