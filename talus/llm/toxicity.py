@@ -24,7 +24,9 @@ BITS = 20
 #: Bounds of the rows that the classifiers are fitted on.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 #: What a feature needs to take part, and the shrinkage of a step.
-MIN_SHARE, MIN_LIFT, MIN_SIGMAS, SHRINK = 0.02, 3.0, 9.0, 0.003
+MIN_SHARE, MIN_LIFT, MIN_SIGMAS, SHRINK = 0.02, 3.0, 6.0, 0.003
+#: The loss is flat above this margin: a prior that is a little off then can't outweigh the clean rows.
+CEILING = 4.0
 STRIP = b".,;:!?()[]{}<>\"'|*_-"
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
@@ -114,6 +116,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for step in range(1, rounds + 1):
             f = np.bincount(owner, w[flat], len(each)) + b
+            over = f > CEILING
+            f = np.minimum(f, CEILING)
             p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
             plus, minus = np.logaddexp(0, -f), np.logaddexp(0, f)
             negative_risk = minus[~y].sum() / n_u - prior * minus[y].sum() / n_p
@@ -123,6 +127,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members
                 g[~y] = p[~y] / n_u
             else:
                 g[y], g[~y] = prior / n_p * p[y], -p[~y] / n_u
+            g[over] = 0.0
             gw, gb = np.bincount(flat, g[owner], len(known)), g.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
             rate = 0.15
