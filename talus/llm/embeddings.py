@@ -23,13 +23,15 @@ from talus.runtime import stage
 THRESHOLD = 0.93
 #: Members of a block of a bucket.
 BLOCK = 512
+#: Inner products computed at once.
+PRODUCTS = 4 << 20
 #: Chance with which a pair at the threshold shares a bucket in some table.
 RECALL = 0.995
 
 
 def table_bits(rows: int) -> int:
     """Bits of a table's hash: buckets hold some hundred vectors, whatever the number of rows."""
-    return min(40, max(8, math.ceil(math.log2(max(2, rows) / 512))))
+    return min(24, max(8, math.ceil(math.log2(max(2, rows) / 512))))
 
 
 def table_count(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -55,7 +57,9 @@ def hashed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 x = np.array(x, np.float64)
                 if np.isfinite(x).all() and x.any():
                     by_dim.setdefault(len(x), []).append((vec, label, x))
-            for dim, rows in by_dim.items():
+            step = max(1, PRODUCTS // (bits * tables))
+            pieces = [(dim, rows[x : x + step]) for dim, rows in by_dim.items() for x in range(0, len(rows), step)]
+            for dim, rows in pieces:
                 m = np.stack([r[2] for r in rows])
                 unit = m / np.abs(m).max(axis=1, keepdims=True)
                 signs = (unit @ planes(dim, bits * tables) >= 0).reshape(len(rows), tables, bits)
