@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talus.functions import clean, risk
 from talus.operators import graph
 from talus.operators.events import gaps, is_night, next_after, zscore
+from talus.runtime import stage
 
 
 def retention(twd: DataFrame, crypto: DataFrame, minutes: float = 10) -> DataFrame:
@@ -50,8 +51,9 @@ def volume_asymmetry(users: DataFrame, twd: DataFrame, crypto: DataFrame, trades
 
 def graph_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
     """Hop columns of every node with an edge; only seeds with edges are searched from."""
+    edges = stage(edges.select("src", "dst"), "edges")
     nodes = edges.select(F.col("src").alias("node")).distinct()
-    hops, near = graph.distances(edges, seeds, max_hops, keep_isolated_seeds=False), graph.neighbour_counts(edges, seeds)
+    hops, near = graph.distances(edges, seeds, max_hops, keep_isolated_seeds=False, written=True), graph.neighbour_counts(edges, seeds)
     joined = nodes.join(hops, "node", "left").join(near, "node", "left")
     d = F.coalesce("hops", F.lit(max_hops + 1))
     return joined.select(F.col("node").alias("user_id"), d.alias("min_hops_to_blacklist"), (d == 1).alias("is_direct_neighbor"), F.coalesce("n", F.lit(0)).alias("blacklist_neighbor_count"), (d <= max_hops).alias("in_blacklist_network"), risk.hop_risk_level(d).alias("hop_risk_level"))

@@ -70,14 +70,16 @@ def salted(edges: DataFrame, hot: DataFrame, salts: int = 16) -> DataFrame:
     return marked.select(*edges.columns, salt.cast("int").alias("salt"))
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolated_seeds: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolated_seeds: bool = True, keys: tuple[str, ...] = (), written: bool = False) -> DataFrame:
     """(keys..., node, hops): the least number of hops from any seed (node), up to max_hops.
 
     edges are symmetric. Each hop joins the frontier to the edges, drops what has a distance
     already and is written out, so no hop re-runs the ones before. keys (a fold, say) keep
-    searches apart. Seeds without edges have distance 0 only if keep_isolated_seeds.
+    searches apart. Seeds without edges have distance 0 only if keep_isolated_seeds. Edges that
+    are a written table already (written) are read from there, others are written out first.
     """
     max_hops = min(max_hops, HARD_CAP)
+    edges = edges if written else stage(edges.select("src", "dst"), "edges")
     ids = [*keys, "node"]
     start = seeds.select(*ids).distinct()
     if not keep_isolated_seeds:
@@ -166,7 +168,7 @@ def hop_features(edges: DataFrame, seeds: DataFrame, ip_features: DataFrame, max
     """
     edges = stage(edges, "edges")
     nodes = edges.select(F.col("src").alias("node")).where("node > 0").union(seeds.select("node")).distinct()
-    hops = distances(edges, seeds, max_hops)
+    hops = distances(edges, seeds, max_hops, written=True)
     near = neighbour_counts(edges, seeds)
     flags = seeded_components(edges, seeds).select("node", "in_network") if network == "component" else near.select("node", F.lit(True).alias("in_network"))
     joined = nodes.join(hops, "node", "left").join(near, "node", "left").join(flags, "node", "left").join(ip_features.withColumnRenamed("user_id", "node"), "node", "left")
