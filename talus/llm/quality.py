@@ -1,7 +1,8 @@
 """Quality rules in DataFrame functions only: per-document rules and cross-document line frequency.
 
 A line of a host (the source) that more distinct documents hold than the host's limit is
-removed from all of them; a document that loses too many of its words is depleted and rejected.
+removed from all of them; a document that loses too many of its words is depleted and rejected,
+and keep_good() hands the others on without those lines.
 The limit is a share of the host's documents with a floor, so it means the same at any size.
 """
 
@@ -64,6 +65,23 @@ def covered(positions: Column) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def tidied(line: Column) -> Column:
+    """A line as it is compared: trimmed, single spaces, lower case, digits as 0."""
+    return F.translate(F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACE)), SPLIT, " ")), "0123456789", "0000000000")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are in the array; a null array leaves it as it is."""
+    has_words = lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~(has_words(x) & F.array_contains(gone, F.xxhash64(tidied(x)))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def row_key(doc_id: Column, text: Column, host: Column) -> Column:
+    """The hash of a row's id, text and host."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")), F.coalesce(host.cast("string"), F.lit("\x00")))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """A row per row of docs with its base counts and its distinct normalised lines (hash, words)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -72,12 +90,12 @@ def features(docs: DataFrame) -> DataFrame:
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     one = base.select(
-        "doc_id", "host", F.xxhash64("doc_id", "text").alias("row_key"), words_of(text).alias("words"),
+        "doc_id", "host", row_key(F.col("doc_id"), text, F.col("host")).alias("row_key"), words_of(text).alias("words"),
         bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"),
     )
     two = one.withColumn("keys", window_keys(F.col("words")))
     three = two.withColumn("positions", repeated_positions(F.col("words"), F.col("keys")))
-    tidy = F.transform("lines", lambda x: F.translate(F.lower(F.regexp_replace(F.btrim(x, F.lit(SPACE)), SPLIT, " ")), "0123456789", "0000000000"))
+    tidy = F.transform("lines", tidied)
     counted = three.withColumn("tidy", tidy)
     per_line = F.transform("tidy", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ", -1)).cast("long").alias("words")))
     return counted.select(
@@ -88,8 +106,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, left: float = LEFT_SHARE) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): counts, base_failed, removed_words, kept, row_key.
+    """One row per row of docs (doc_id, text, source): counts, base_failed, removed_words, kept, row_key, removed_lines.
 
+    removed_lines holds the hashes of the lines that go, null if none does; see without_lines().
     Null and empty texts have no words and fail the base rules; a null source is a host of its
     own; rows that repeat id and text count as one document of the host and get equal rows;
     other columns are ignored; an empty table gives no rows. Texts are read whole.
@@ -103,16 +122,22 @@ def quality(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE,
     hit = lines.join(common, ["host", "line"]).groupBy("row_key", "line", "words").agg(F.count("*").alias("times"))
     # repeated rows double `times` and their own number alike
     rows = made.groupBy("row_key").agg(F.count("*").alias("rows")).where("rows > 1")
-    removed = hit.join(rows, "row_key", "left").groupBy("row_key").agg(F.sum(F.col("words") * F.col("times") / F.coalesce("rows", F.lit(1))).cast("long").alias("removed_words"))
+    removed = hit.join(rows, "row_key", "left").groupBy("row_key").agg(F.sum(F.col("words") * F.col("times") / F.coalesce("rows", F.lit(1))).cast("long").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = made.drop("per_line", "host").join(removed, "row_key", "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     depleted = (F.col("n_words") - F.col("removed_words")) < F.col("n_words") * left
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "removed_words", "row_key")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "removed_words", "row_key", "removed_lines")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep."""
-    good = quality(docs).where("kept").select(F.col("row_key").alias("__key")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("__key", key).join(good, "__key", "left_semi").select(*docs.columns)
+    """The rows of docs, with all their columns, that the rules keep, their text without the host's common lines.
+
+    Texts that lose no line stay as they are; n_chars, if there is one, is counted again where a line went.
+    """
+    good = quality(docs).where("kept").select(F.col("row_key").alias("__key"), F.col("removed_lines").alias("__gone")).distinct()
+    key = row_key(F.col("doc_id"), F.col("text"), F.col("source"))
+    left = docs.withColumn("__key", key).join(good, "__key").withColumn("text", without_lines(F.col("text"), F.col("__gone")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return left.select(*docs.columns)

@@ -14,7 +14,7 @@ def id_crc(column: str = "doc_id"):
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key")
+    return quality.quality(table(spark, sf_dir, "documents")).drop("row_key", "removed_lines")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,22 @@ def test_common_lines_are_removed_and_depleted_documents_rejected(docs_of):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_kept_texts_lose_their_common_lines(docs_of):
+    rng = random.Random(4)
+    body = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))
+    bodies = {i: (body(), body()) for i in range(40)}
+    rows = [(i, f"{a}\n  Menu 7  home\n\n{b}\nmenu {i % 10} HOME", "hot") for i, (a, b) in bodies.items()]
+    rows += [(900, rows[0][1], "other"), (0, rows[0][1], "other"), (901, f"{body()}\nmenu 1 home", None), (902, body() + " \n\tx \n", "hot")]
+    got = {(r.doc_id, r.source): r for r in quality.keep_good(docs_of(rows)).collect()}
+    assert len(got) == len(rows)
+    for i, (a, b) in bodies.items():
+        assert got[i, "hot"].text == f"{a}\n\n{b}" and got[i, "hot"].n_chars == len(f"{a}\n\n{b}")
+    for i, text, source in rows[40:]:
+        assert got[i, source].text == text and got[i, source].n_chars == len(text)
+    removed = {(r.doc_id, r.removed_words) for r in quality.quality(docs_of(rows)).collect()}
+    assert {(0, 6), (0, 0), (900, 0), (39, 6)} <= removed
+
+
 def test_empty_tables(docs_of):
     empty = docs_of([(1, "x")]).where("false")
     assert quality.quality(empty).count() == licenses.scan(empty).count() == neardup.near_duplicates(empty).count() == 0
