@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import licenses, neardup, packing, quality, tokens
+from talus.llm import licenses, neardup, packing, quality, queries, tokens
 from talus.runtime import table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -62,6 +63,25 @@ def test_common_lines_are_removed_and_depleted_documents_rejected(docs_of):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_quality_equals_its_sql_where_documents_are_depleted(spark, tmp_path):
+    rng = random.Random(6)
+    body = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    menu = " ".join(f"menu{i}" for i in range(90))
+    rows = [(i, f"{body(60)}\n{menu}" if i < 40 else f"{body(12)}\n {menu.upper()} \n{menu}" if i < 50 else body(70), "en", "hot", 0) for i in range(150)]
+    rows += [(200 + i, f"{body(12)}\n{menu}", "en", "small", 0) for i in range(20)] + [(300 + i, f"{body(12)}\n{menu}", "en", "next", 0) for i in range(21)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op1_quality_rules"])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    found = sorted(tuple(r) for r in got.select(*names).collect())
+    assert found == sorted(want.fetchall())
+    depleted = {r.doc_id for r in got.where("NOT kept AND NOT base_failed").collect()}
+    assert depleted == {*range(40, 50), *range(300, 321)}
+
+
 def test_kept_texts_lose_their_common_lines(docs_of):
     rng = random.Random(4)
     body = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))
