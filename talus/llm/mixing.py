@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talus.runtime import stage
 
-#: Steps of the inversion; a rate is at most MAX_RATE, whose tail beyond the steps is below 1e-15.
+#: Steps of the inversion; the rate of one draw is at most MAX_RATE, whose tail beyond the steps is below 1e-15.
 STEPS, MAX_RATE = 64, 16.0
 
 
@@ -30,12 +30,21 @@ def poisson(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["k"]
 
 
+def copies_of(*of: Column, rate: Column, seed: int) -> Column:
+    """A number of Poisson(rate), of any rate: the sum of ceil(rate / MAX_RATE) independent draws of equal rates."""
+    draws = F.greatest(F.lit(1), F.ceil(rate / MAX_RATE).cast("int"))
+    part = rate / draws
+    first = poisson(uniform(*of, seed=seed), part)
+    more = F.aggregate(F.sequence(F.lit(2), draws), F.lit(0), lambda n, j: n + poisson(uniform(*of, j, seed=seed), part))
+    return F.when(draws > 1, first + more).otherwise(first)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7) -> DataFrame:
     """(source, n, rate): how often a row of a source is repeated on average.
 
     weights maps sources to shares of the output (a source that is absent gets none); without
     them a source's share is its number of rows to the power `temperature`. The output has as
-    many rows as the input on average, unless a rate is above MAX_RATE and is held there.
+    many rows as the input on average, however large the rates (none if no source has a share).
     A null source is a source of its own.
     """
     counts = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
@@ -47,7 +56,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     shares = stage(counts.withColumn("share", share), "mix-sources")
     total = shares.agg(F.sum("n").alias("rows"), F.sum("share").alias("shares")).first()
     per_share = F.lit(float(total.rows / total.shares if total.shares else 0.0))
-    return shares.select("source", "n", F.least(F.lit(MAX_RATE), F.col("share") * per_share / F.col("n")).alias("rate"))
+    return shares.select("source", "n", (F.col("share") * per_share / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, seed: int = 7, copy_column: str | None = "copy") -> DataFrame:
@@ -61,7 +70,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     columns = docs.columns
     d, r = docs.alias("d"), rates(docs, weights, temperature).alias("r")
     rate = F.col("r.rate")
-    k = poisson(uniform(F.col("d.doc_id"), F.xxhash64("d.text"), seed=seed), rate)
+    k = copies_of(F.col("d.doc_id"), F.xxhash64("d.text"), rate=rate, seed=seed)
     joined = d.join(r, F.col("d.source").cast("string").eqNullSafe(F.col("r.source")))
     keep = [F.col(f"d.`{c}`") for c in columns if c != copy_column]
     counted = joined.select(*keep, k.alias("__k"), F.xxhash64("d.doc_id", "d.text", F.lit(seed)).alias("__h"))

@@ -97,6 +97,21 @@ def test_mixing_target_weights_and_odd_rows(docs_of):
     assert mixing.mix(docs, copy_column=None).columns == docs.columns
 
 
+def test_mixing_meets_weights_whose_rates_are_large(spark, docs_of):
+    docs = docs_of([(i, f"text {i}", "rare" if i % 100 == 0 else "big") for i in range(10_000)])
+    weights = {"rare": 0.5, "big": 0.5}
+    assert {r.source: round(r.rate, 6) for r in mixing.rates(docs, weights).collect()} == {"rare": 50.0, "big": round(5000 / 9900, 6)}
+    rows = mixing.mix(docs, weights).collect()
+    n = collections.Counter(r.source for r in rows)
+    assert abs(n["rare"] - 5000) < 5 * math.sqrt(5000) and abs(n["big"] - 5000) < 5 * math.sqrt(5000)
+    of = collections.Counter(r.doc_id for r in rows if r.source == "rare")
+    copies = {(r.doc_id, r.copy) for r in rows if r.source == "rare"}
+    assert copies == {(i, k) for i, c in of.items() for k in range(c)}
+    for rate in (16.5, 50.0, 400.0):
+        k = [r[0] for r in spark.range(5000).select(mixing.copies_of(F.col("id"), rate=F.lit(rate), seed=3)).collect()]
+        assert abs(np.mean(k) - rate) < 5 * math.sqrt(rate / 5000) and abs(np.var(k) / rate - 1) < 0.12
+
+
 def lm_reference(rows, held):
     words = {k: (t or "").encode().lower().split() + [None] for k, (_, t) in enumerate(rows)}
     c = collections.Counter(x for k, w in words.items() if not held(rows[k][0]) for x in w)
