@@ -51,6 +51,11 @@ def j5(s, d):
     return graph.shared_key_edges(w.events(s, d), "source_ip", cap=5)
 
 
+@query("j5_capped_clique_50", f"WITH {w.EV}, m AS (SELECT DISTINCT source_ip AS k, user_id AS u FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY u) AS n FROM m), c AS (SELECT * FROM r WHERE n<=50) SELECT DISTINCT a.u AS src, b.u AS dst FROM c a JOIN c b USING(k) WHERE a.u<b.u")
+def j5full(s, d):
+    return graph.shared_key_edges(w.events(s, d), "source_ip", cap=50)
+
+
 @query("j6_ip_hour_cooccurrence", f"WITH {w.EV}, m AS (SELECT DISTINCT source_ip||'/'||strftime(date_trunc('hour',created_at),'%Y-%m-%d %H') AS k, user_id AS u FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY u) AS n FROM m), c AS (SELECT * FROM r WHERE n<=20) SELECT DISTINCT a.u AS src, b.u AS dst FROM c a JOIN c b USING(k) WHERE a.u<b.u")
 def j6(s, d):
     k = F.concat_ws("/", "source_ip", F.date_format(F.date_trunc("hour", "created_at"), "yyyy-MM-dd HH"))

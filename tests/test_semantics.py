@@ -1,5 +1,7 @@
 """Hand-made cases for what is easily got wrong: ties, closures, isolated seeds, repeats, nulls."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import clean, risk, text
 from talus.operators import evaluate, events, features, graph, ml, validate
+from talus.plans import catalog, world
 from talus.sources import rest
 from talus.streaming import pipelines
 
@@ -41,6 +44,19 @@ def test_shared_ip_is_two_hops_or_one(spark):
     assert dict(rows(graph.distances(graph.symmetric(graph.shared_key_edges(m, "ip")), nodes_of(spark, [1])), "node", "hops"))[2] == 1
 
 
+def test_clique_of_up_to_fifty_users_a_key(spark):
+    catalog.load()
+    sf = "/root/testdata/sf0.01"
+    of = {}
+    for r in world.events(spark, sf).select("source_ip", "user_id").distinct().where("source_ip IS NOT NULL AND user_id IS NOT NULL").collect():
+        of.setdefault(r.source_ip, []).append(r.user_id)
+    assert max(map(len, of.values())) > 50
+    want = {p for users in of.values() for p in itertools.combinations(sorted(users)[:50], 2)}
+    assert rows(catalog.QUERIES["j5_capped_clique_50"](spark, sf), "src", "dst") == sorted(want)
+    few = {p for users in of.values() for p in itertools.combinations(sorted(users)[:5], 2)}
+    print(len(few), len(want), sum(math.comb(min(5, len(u)), 2) for u in of.values()), sum(math.comb(min(50, len(u)), 2) for u in of.values()))
+
+
 def test_long_chain_is_one_component(spark):
     e = edges_of(spark, [(i, i + 1) for i in range(1, 26)] + [(100, 101)])
     assert {c for _, c in rows(graph.components(e), "node", "component")} == {1, 100}
