@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import licenses, neardup, packing, quality, queries, tokens
+from talus.llm import bitpack, licenses, neardup, packing, quality, queries, tokens
 from talus.runtime import table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -195,12 +195,30 @@ def test_sketch_fills_every_bin_and_estimates():
     assert (s != np.iinfo(np.uint64).max).all() and abs((s[0] == s[1]).mean() - 0.8) < 0.12
 
 
-def test_token_ids_equal_the_librarys(spark, sf):
+def test_token_ids_equal_a_fresh_tokenizers(spark, sf):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_path())
     enc = tokens.TextEncoder(tokens.default_path())
     texts = [r.text for r in table(spark, sf, "documents").limit(60).collect()]
-    texts += ["", " ", "a  b", " a\n b", "it's  x.\n\n y ", "日本語 テキ, ok", "a　 b", "\U00020bb7 x.", "<|endoftext|> y", "tab\tx\r\ny z . ,", "é.à, ǅ ª", "x\n"]
+    texts += ["", " ", "a  b", " a\n b", "it's  x.\n\n y ", "日本語 テキ, ok", "a　 b", "\U00020bb7 x.", "tab\tx\r\ny z . ,", "é.à, ǅ ª", "x\n"]
+    texts += ["<|endoftext|> y", "x <|endoftext|> y", "x<|endoftext|>", "<|endoftext|>", "two <|endoftext|>\n <|endoftext|> of them", "<|endoftext|", "< |endoftext|>"]
     for t in texts:
-        assert list(enc.ids(t)) == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert list(enc.ids(t)) == fresh.encode(t, add_special_tokens=False).ids
+    assert enc.ids("x <|endoftext|> y").tolist().count(50256) == 1
+
+
+def test_packing_and_token_files_take_the_librarys_ids(docs_of):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_path())
+    texts = {1: "x <|endoftext|> y", 2: "plain words here.\nand a line", 3: "", 4: None, 5: "<|endoftext|>"}
+    ids = {i: fresh.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    packed = {r.doc_id: r for r in packing.pack(docs_of(list(texts.items())), tokens.default_path()).collect()}
+    assert {i: (r.length, r.ids_crc32) for i, r in packed.items()} == {i: (len(x) + 1, crc([*x, 0])) for i, x in ids.items()}
+    filed = {r.doc_id: r for r in bitpack.round_trip(docs_of(list(texts.items())), tokens.default_path()).collect()}
+    assert {i: (r.n_tokens, r.ids_crc32) for i, r in filed.items()} == {i: (len(x) + 1, crc([*x, 2])) for i, x in ids.items()}
 
 
 def test_packing(docs_of):
