@@ -62,18 +62,16 @@ WORDS = f"list_filter(string_split_regex(coalesce(text,''), '{SPACE}'), lambda x
 
 OP1 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text,'') AS text, {WORDS} AS w FROM documents),
-l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-f AS (SELECT doc_id, source, line, list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '') AS lw FROM l),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+f AS (SELECT doc_id, source, text, line, list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '') AS lw FROM l),
 g AS (SELECT * FROM f WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM g GROUP BY 1),
 win AS (SELECT doc_id, unnest(range(len(w)-2)) AS i, w FROM d WHERE len(w) >= 3),
 key AS (SELECT doc_id, i, w[i+1] AS a, w[i+2] AS b, w[i+3] AS c FROM win),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM key),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, (SELECT unnest([0,1,2]) AS o) WHERE n > 1 GROUP BY 1),
-norm AS (SELECT doc_id, source, translate(lower(array_to_string(lw, ' ')), '0123456789', '0000000000') AS line, len(lw) AS words FROM g),
-uses AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM norm GROUP BY 1, 2),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
-common AS (SELECT u.source, u.line FROM uses u JOIN hosts h USING(source) WHERE u.docs > 20 AND u.docs > h.docs * 0.10),
+norm AS (SELECT doc_id, source, text, translate(lower(array_to_string(lw, ' ')), '0123456789', '0000000000') AS line, len(lw) AS words FROM g),
+common AS (SELECT source, line FROM norm GROUP BY 1, 2 HAVING count(DISTINCT text) > 10),
 gone AS (SELECT doc_id, sum(words) AS removed FROM norm JOIN common USING(source, line) GROUP BY 1),
 r AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))),0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
  coalesce(n_dup_lines,0) AS n_dup_lines, coalesce(n_repeat_words,0) AS n_repeat_words, CAST(coalesce(removed,0) AS BIGINT) AS removed_words FROM d LEFT JOIN dup USING(doc_id) LEFT JOIN rep USING(doc_id) LEFT JOIN gone USING(doc_id))
