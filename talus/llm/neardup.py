@@ -5,10 +5,13 @@ names, in round t+j to bin j, with the value i plus a hashed fraction; a bin kee
 value, and the rounds end when every bin is full, at the latest after round 2t-1. Equal
 coordinates of two sets are as likely as their Jaccard similarity, with concentration bounds.
 
-Documents with equal sets form one class. Classes that share a band are compared on their full
-sets: first each with few pivots of its bucket; then, where the pivots' links left a bucket in
-several components, all members of such buckets' families, in blocks. A pair inside one
-component can't change the components, so none has to be formed.
+Documents with equal sets form one class. Classes that share a band (a bucket) are compared on
+their full sets. Buckets are range-partitioned by key and a hash of the member, so a hot bucket
+lies in many partitions; each partition cuts its stretch of a bucket into blocks, compares a
+block's members with the block's few pivots, and the blocks' pivots meet each other. Where a
+bucket is still in several components after these rounds, its members are compared in pairs of
+blocks, without those blocks that lie in one and the same component: a pair inside a component
+can't change the components, so none has to be formed.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.text import WordHashes, binary, mix, slices
@@ -26,8 +30,10 @@ from talus.runtime import stage
 
 #: A pair of similarity 0.8 shares one of 30 bands of 5 coordinates with probability over 0.99999.
 BANDS, ROWS = 30, 5
-#: Members of a block of a family.
-BLOCK = 256
+#: Members of a block that meet the block's pivots, and of a block whose members are all compared.
+STRIP, BLOCK = 128, 256
+#: Rows that a task holds of its stretch of the buckets, and parts a large bucket is dealt into.
+HELD, SALTS = 200_000, 16
 _COEFFICIENTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -90,28 +96,31 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         for batch in slices(batches, "text"):
             sets = _sets(binary(batch.column("text")), table, width)
             n = np.array([len(s) for s in sets], np.int64)
-            with np.errstate(over="ignore"):
-                s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                s2 = np.array([mix(s ^ _COEFFICIENTS[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             full = [s for s in sets if len(s)]
             keys = band_keys(sketch(full, bands * rows), bands, rows).view(np.int64).ravel() if full else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *_sums(sets), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
+def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two sums over each set that fix it."""
+    with np.errstate(over="ignore"):
+        return [pa.array(np.array([mix(x ^ salt).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)) for salt in (np.uint64(0), _COEFFICIENTS[1])]
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the sorted 64-bit shingles of each row as bytes."""
+    """(doc_id, s1, s2, shingles): the sorted 64-bit shingles of each row as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in slices(batches, "text"):
-            sets = [s.tobytes() for s in _sets(binary(batch.column("text")), table, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = _sets(binary(batch.column("text")), table, width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_sums(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "s1", "s2", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, s1 long, s2 long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,42 +138,130 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
-    return members.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return members.drop("component").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _split(live: DataFrame) -> DataFrame:
-    """The members of buckets that hold two components or more."""
-    split = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return live.join(split, "key")
+def strips(live: DataFrame, pivots: int, percent: int, turn: int) -> DataFrame:
+    """Rows of kind 0 are pairs (a, b) to compare, of kind 1 pivots (key, a, n, component) of buckets
+    that lie in several strips, of kind 2 the members (key, a, n, component) of buckets of two or more.
 
+    live (key, node, n, component) is dealt by ranges of (key, hash of the node).
+    """
+    names = ["kind", "key", "a", "b", "n", "component"]
+    schema = "kind int, key long, a long, b long, n long, component long"
+
+    def rows(key: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        cut = sizes > STRIP
+        cut[0], cut[-1] = cut[0] or first, cut[-1] or last
+        start, size, is_cut = (np.repeat(x, sizes) for x in (starts, sizes, cut))
+        at = np.arange(len(key))
+        base = start + (at - start) // STRIP * STRIP
+        a, b = [], []
+        for k in range(pivots):
+            p = np.minimum(base + k, len(key) - 1)
+            ok = (base + k < at) & (comp[p] != comp) & (np.minimum(n[p], n) * 100 >= np.maximum(n[p], n) * percent)
+            a.append(np.minimum(node[p[ok]], node[ok]))
+            b.append(np.maximum(node[p[ok]], node[ok]))
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        up = np.flatnonzero(is_cut & (base == at))
+        keep = np.flatnonzero((size > 1) | is_cut) if turn == 0 else np.zeros(0, np.int64)
+        none, zero = np.zeros(pairs.shape[1], np.int64), np.zeros(len(up) + len(keep), np.int64)
+        own = np.concatenate([up, keep])
+        kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(none), len(up), len(keep)])
+        columns = [kinds, np.concatenate([none, key[own]]), np.concatenate([pairs[0], node[own]]), np.concatenate([pairs[1], zero]), np.concatenate([none, n[own]]), np.concatenate([none, comp[own]])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-def family_links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what the pivots left apart: whole families are compared, block by block.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, first = [], 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy() for c in ("key", "node", "n", "component")])
+            count += batch.num_rows
+            if count >= HELD:
+                columns = [np.concatenate(c) for c in zip(*held)]
+                end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+                end, whole = (end, True) if end else (count, False)
+                yield rows(*(c[:end] for c in columns), first, not whole)
+                held, count, first = [[c[end:] for c in columns]], count - end, not whole
+        if count:
+            yield rows(*(np.concatenate(c) for c in zip(*held)), first, True)
+
+    ordered = live.withColumn("h", F.xxhash64("node", F.lit(turn))).repartitionByRange("key", "h").sortWithinPartitions("key", "h")
+    return ordered.select("key", "node", "n", "component").mapInArrow(run, schema)
+
+
+def pivot_pairs(up: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) among the strips' pivots of each bucket: a STRIP-th of the bucket, level by level."""
 
-    A family is what shared buckets connect. Its members are dealt into blocks of about BLOCK,
-    and each two blocks are one task's work: the exact intersections of all their pairs as
-    products of 0/1 matrices. A task returns, for each linked member, the least id of its
-    component there, and no pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column("members").to_pylist():
+                level = [(m["a"], m["n"], m["component"]) for m in members]
+                while len(level) > 1:
+                    for x in range(0, len(level), STRIP):
+                        p, *others = level[x : x + STRIP]
+                        for o in others:
+                            if p[2] != o[2] and 100 * min(p[1], o[1]) >= percent * max(p[1], o[1]):
+                                a.append(min(p[0], o[0]))
+                                b.append(max(p[0], o[0]))
+                    level = level[::STRIP]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    grouped = up.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "n", "component"))).alias("members")).where(F.size("members") > 1)
+    return grouped.select("members").mapInArrow(run, "a long, b long")
+
+
+def block_links(live: DataFrame, sets: DataFrame, percent: int, covered: int, torn: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the pivots left apart: such buckets are compared whole, block by block.
+
+    Buckets of up to `covered` members have been compared already, but for the torn ones (key),
+    which lay in several strips; of buckets with the same members one is compared. Members are sorted by component, cut into blocks of up to BLOCK, and
+    each two blocks of a bucket that don't lie in one and the same component are one task's work:
+    the exact intersections of all their pairs as products of 0/1 matrices. A task returns, for
+    each linked member, the least id of its component there, and no pairs.
     """
-    star = live.join(live.groupBy("key").agg(F.min("doc_id").alias("hub")), "key").select("doc_id", "hub").distinct()
-    names = connected_components(star, "doc_id", "hub")
-    docs = live.select("doc_id").distinct().join(names.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id", "left")
-    docs = docs.withColumn("family", F.coalesce("family", "doc_id"))
-    cut = docs.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = docs.join(cut, "family").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int"))
-    dealt = stage(dealt.join(sets, "doc_id"), "dup-families")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("family", "doc_id", "shingles", "side", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
+    whole = live.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    whole = whole.where("low < high AND m > 2").join(torn.select("key", F.lit(True).alias("torn")).distinct(), "key", "left")
+    open_ = whole.where((F.col("m") > covered) | F.col("torn")).groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    salted = open_.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    left = live.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, size, number, part = None, 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            blocks = []
+            for key in batch.column("key").to_pylist():
+                if key != last or size == BLOCK:
+                    last, size, number = key, 0, number + 1
+                size += 1
+                blocks.append(part << 32 | number)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "node", "component")] + [pa.array(blocks, pa.int64())], ["key", "node", "component", "block"])
+
+    order = ["key", "component", "node"]
+    dealt = stage(left.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, "key long, node long, component long, block long"), "dup-blocks")
+    # one row per block: a BLOCK-th of the members
+    ends = dealt.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = ends.alias("x"), ends.alias("y")
+    one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    pairs = x.join(y, "key").where((F.col("x.block") <= F.col("y.block")) & ~one).select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    pairs = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    filled = dealt.select("block", "node").join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        side, ids = group.column("side").to_numpy(), group.column("doc_id").to_numpy()
+        side, ids = group.column("block").to_numpy(), group.column("node").to_numpy()
         each = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         n = np.array([len(x) for x in each], np.int64)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
@@ -202,7 +299,7 @@ def family_links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = np.flatnonzero(least != ids)
         return pa.Table.from_arrays([pa.array(least[at]), pa.array(ids[at])], ["a", "b"])
 
-    return stage(dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long"), "dup-family-links")
+    return stage(pairs.join(filled, "block").groupBy("i", "j").applyInArrow(run, "a long, b long"), "dup-block-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
@@ -211,52 +308,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     Words are lower-cased A-Z. A row with fewer words than the width has its whole sequence as
     its one shingle; a null text or one without words has an empty set and links with nothing.
     component_id is the smallest doc_id reachable over links; kept says that it is the row's
-    own. Rows that repeat a doc_id are joined by that id. A null doc_id is left by itself, with
-    a null component, and kept. Other columns are ignored; an empty table gives no rows.
+    own. Rows that repeat a doc_id are joined by that id, whatever their texts, and all links of
+    their texts count. A null doc_id is left by itself, with a null component, and kept. Other
+    columns are ignored; an empty table gives no rows. Texts are read whole, however long.
     """
     made = stage(sketches(docs, width, bands, rows), "dup-sketches")
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # the class of equal sets, named by its smallest id
-    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    copies = stage(
-        full.select("doc_id", "s1", "s2", "n_shingles").join(classes.where("size > 1"), ["s1", "s2", "n_shingles"]).select("doc_id", "rep").where("doc_id <> rep").distinct(),
-        "dup-copies",
-    )
-    others = full.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    keyed = others.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stage(keyed.join(shared, "key").distinct(), "dup-members")
-    wanted = members.select("doc_id").distinct()
-    sets = stage(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "dup-sets")
-    links, components = None, None
-    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    live = members.withColumn("component", F.col("doc_id"))
+    repeated = full.groupBy("doc_id").agg(F.count("*").alias("n"), ((F.min("s1") < F.max("s1")) | (F.min("s2") < F.max("s2"))).alias("several")).where("n > 1")
+    repeated = stage(repeated.select("doc_id", "several"), "dup-repeated")
+    several = None if repeated.where("several").isEmpty() else repeated.where("several").select("doc_id", "several")
+
+    def named(df: DataFrame) -> DataFrame:
+        """With node: the id, or a number of its own (below 0) for each set of an id that has several."""
+        if several is None:
+            return df.withColumn("node", F.col("doc_id"))
+        own = -F.xxhash64("doc_id", "s1", "s2").bitwiseAND(F.lit((1 << 63) - 1)) - 1
+        return df.join(several, "doc_id", "left").withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several")
+
+    full = named(full)
+    if not repeated.isEmpty():
+        full = stage(full.dropDuplicates(["node"]), "dup-rows")
+    # the class of equal sets, named by its smallest node
+    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    copies = stage(full.select("node", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("node <> rep").select("node", "rep"), "dup-copies")
+    others = full.join(copies, "node", "left_anti")
+    keyed = others.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"), F.col("node").alias("component"))
+
+    sets = links = components = members = None
     for turn, count in enumerate(pivots):
-        if turn:
-            live = stage(_split(_labelled(members, components)), "dup-live")
-        b = live.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-        # the members with the least hashes of a bucket, at most `count` per bucket
-        draw = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(count)))
-        chosen = salted.groupBy("key", "salt").agg(F.min(draw).alias("p")).select("key", "p.*")
-        pairs = chosen.join(b, "key").where((F.col("c_a") != F.col("c_b")) & alike)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stage(verified(pairs, sets, percent), "dup-links")
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links, "a", "b")
-    live = stage(_split(_labelled(members, components)), "dup-live")
-    if not live.isEmpty():
-        links = links.unionByName(family_links(live, sets, percent))
-        components = connected_components(links, "a", "b")
-    ends = copies.select(F.col("doc_id").alias("node"), "rep")
-    merged = ends.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    merged = merged.unionByName(components)
-    if not made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        # a repeated id joins the classes of its texts
-        merged = connected_components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "a", "b")
+        live = keyed if turn == 0 else _labelled(members, components)
+        found = stage(strips(live, count, percent, turn), "dup-strips")
+        if turn == 0:
+            members = found.where("kind = 2").select("key", F.col("a").alias("node"), "n", "component")
+            wanted = members.select("node").distinct()
+            ids = wanted if several is None else full.select("doc_id", "node").join(wanted, "node", "left_semi").select("doc_id").distinct()
+            texts = docs.select("doc_id", "text").join(ids.toDF("doc_id"), "doc_id", "left_semi")
+            sets = named(full_sets(texts, width)).where("octet_length(shingles) > 0").select("node", "shingles")
+            sets = stage(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "dup-sets")
+        pairs = found.where("kind = 0").select("a", "b").unionByName(pivot_pairs(found.where("kind = 1"), percent)).distinct()
+        new = stage(verified(pairs, sets, percent), "dup-links")
+        links = new if links is None else links.unionByName(new)
+        components = stage(connected_components(links, "a", "b"), "dup-components")
+    live = stage(_labelled(members, components), "dup-live")
+    links = links.unionByName(block_links(live, sets, percent, pivots[-1] + 1, found.where("kind = 1")))
+    if several is not None:  # the sets of an id meet
+        nodes = full.select("doc_id", "node").join(several, "doc_id", "left_semi")
+        links = links.unionByName(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+        links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    components = connected_components(links, "a", "b")
+    if several is None:
+        ends = copies.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+        merged = ends.unionByName(components).withColumnRenamed("node", "doc_id")
+    else:
+        labelled = stage(_labelled(full.select("doc_id", "node"), components), "dup-labelled")
+        least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
+        merged = labelled.join(least, "component").select("doc_id", F.col("least").alias("component")).distinct()
     return (
         made.select("doc_id", "n_shingles")
-        .join(merged.select(F.col("node").alias("doc_id"), "component").distinct(), "doc_id", "left")
+        .join(merged, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -202,6 +202,53 @@ def test_repeated_and_null_ids(docs_of):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("None", "None", True)]
 
 
+def with_repeats(rows, width):
+    """brute_components over rows whose ids may repeat: the rows of an id are one node."""
+    single = brute_components([(k, t) for k, (_, t) in enumerate(rows)], width)
+    up = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        other = rows[single[k][1]][0]
+        if i is not None and other is not None:
+            x, y = find(i), find(other)
+            up[max(x, y)] = min(x, y)
+    return collections.Counter((i, single[k][0], find(i) if i is not None else None) for k, (i, _) in enumerate(rows))
+
+
+def test_repeated_ids_in_any_order(docs_of):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{i}" for i in range(100)] for x in "abc")
+    near = lambda w: " ".join([*w[:99], f"e{rng.randrange(10**6)}"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, near(c)), (5, near(a)), (7, ""), (7, near(c)), (6, "some other words of its own"), (6, None), (6, "some other words of its own"), (-4, " ".join(b))]
+    for _ in range(3):
+        rng.shuffle(rows)
+        want = with_repeats(rows, 4)
+        got = neardup.near_duplicates(docs_of(rows), width=4).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_hot_buckets_are_cut_into_strips_and_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "STRIP", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(11)
+    rows, n = [], 0
+    for family in range(3):
+        base = [f"{family}t{k}" for k in range(100)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(rows), width=4, pivots=(1,)).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_sketch_fills_every_bin_and_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
