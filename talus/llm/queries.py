@@ -93,4 +93,18 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_by
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_minhash_near_dedup": OP8, "op9_warc": OP9}
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(node, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.node WHERE r.c < e.b),
+m AS (SELECT node, min(c) AS c FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, vec_id = m.c AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN m ON m.node = vec_id"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_minhash_near_dedup": OP8, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
