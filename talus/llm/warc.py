@@ -1,14 +1,19 @@
-"""WARC archives of captures, with an index built by merging locally sorted runs.
-
-Each task writes one archive (a gzip member per record) and its run: the captures of that
-archive, sorted by URL key, timestamp and id. Runs are cut at common splitters, and each range
-of keys is merged from the runs' segments through a loser tree, which gives capture histories
-in global order.
+"""WARC archives of captures, with an index built by an external merge of locally sorted runs.
+
+Each task writes archives (a gzip member per record) and next to each its run: a file of the
+archive's captures, sorted by URL key, timestamp and id, in blocks that can be read one by one.
+What travels is a row per block: its place, and its first and last sort key. Splitters, drawn
+from these rows, cut the key space into ranges; for each range up to FAN runs are merged through
+a loser tree that holds one block of each, into a longer run or, in the last level, into the
+index: the capture histories in global order. The index then says what is read where.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
@@ -16,7 +21,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.llm import files
@@ -28,8 +33,14 @@ MIN_REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 LEVEL = 1
-#: Raw bytes after which an archive is closed.
+#: Bytes after which an archive is closed.
 ARCHIVE_BYTES = 256 << 20
+#: Captures in a block of a run, blocks in a range on average, ranges at most, and runs that one loser tree merges.
+BLOCK_ROWS, RANGE_BLOCKS, MAX_RANGES, FAN = 1024, 200, 10_000, 64
+#: Block rows that are drawn for each splitter.
+DRAWN = 20
+#: Bytes read at once, and parts that the copies of one payload are dealt into.
+CHUNK, SALTS = 4 << 20, 8
 
 
 class LoserTree:
@@ -130,55 +141,96 @@ def parse(data: bytes) -> dict:
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of each gzip member."""
-    at = 0
+    """(offset, length, record) of each gzip member, in time linear in the bytes."""
+    view, at, step = memoryview(data), 0, 1 << 16
     while at < len(data):
-        d = zlib.decompressobj(31)
-        body = d.decompress(memoryview(data)[at:])
-        used = len(data) - at - len(d.unused_data)
-        yield at, used, body
+        d, to, body = zlib.decompressobj(31), at, []
+        while not d.eof and to < len(data):
+            body.append(d.decompress(view[to : to + step]))
+            to = min(len(data), to + step)
+        used = to - len(d.unused_data) - at
+        yield at, used, b"".join(body)
         at += used
 
 
-RUN = "key string, stamp string, page_id long, payload_digest string, record_type string, file string, offset long, length long"
+CAPTURE = pa.schema([("sort_key", pa.binary()), ("key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+BLOCKS = "run long, uri string, offset long, bytes long, rows long, first binary, last binary"
+_BLOCKS = pa.schema([("run", pa.int64()), ("uri", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("rows", pa.int64()), ("first", pa.binary()), ("last", pa.binary())])
+
+
+def sort_key(key: str, stamp: str, page: int | None, part: int, n: int, offset: int) -> bytes:
+    """Bytes that sort as (key, stamp, page, with null first, archive, offset) do."""
+    number = b"\0" if page is None else b"\1" + (page + (1 << 63)).to_bytes(8, "big")
+    return key.encode("utf-8", "surrogatepass").replace(b"\0", b"\1") + b"\0" + stamp.encode() + number + struct.pack(">IIQ", part, n, offset)
+
+
+def write_run(uri: str, run: int, rows: Iterator[tuple]) -> pa.RecordBatch:
+    """Write sorted captures as a run; gives its block rows."""
+    made, at = [], 0
+    with files.create(uri) as out:
+        while piece := list(itertools.islice(rows, BLOCK_ROWS)):
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*piece), CAPTURE)], schema=CAPTURE)
+            with pa.ipc.new_stream(sink, CAPTURE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            data = sink.getvalue()
+            out.write(data)
+            made.append((run, uri, at, len(data), len(piece), piece[0][0], piece[-1][0]))
+            at += len(data)
+    return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], f.type) for k, f in enumerate(_BLOCKS)], schema=_BLOCKS)
+
+
+def read_blocks(blocks: list[dict], low: bytes, high: bytes | None) -> Iterator[tuple]:
+    """The captures from low to below high of a run's blocks, one block in memory at a time."""
+    for b in blocks:
+        with files.open_file(b["uri"]) as f:
+            f.seek(b["offset"])
+            table = pa.ipc.open_stream(f.read(b["bytes"])).read_all()
+        for row in zip(*(c.to_pylist() for c in table.columns)):
+            if row[0] >= low and (high is None or row[0] < high):
+                yield row
 
 
 def write(pages: DataFrame, path: str, when: Column | None = None) -> DataFrame:
-    """Write every row of pages (page_id, url, html) to archives below path; gives the runs.
+    """Write every row of pages (page_id, url, html) to archives and runs below path; gives the runs' block rows.
 
     Of rows with equal payloads of MIN_REVISIT_BYTES or more, the smallest page_id is written in
     full (rows that repeat that id too) and the others revisit it. A null html is an empty
     payload; a null url has the empty key; a null page_id never is a group's first unless all
-    are null. `when` is the capture time, by default a second per id from 2020 on.
+    are null. Payloads are written whole, however long. Other columns are ignored; an empty
+    table gives no archive. `when` is the capture time, by default a second per id from 2020 on.
+    Archives and runs of lost attempts stay behind, but no block row names them.
     """
     seconds = F.unix_seconds(when.cast("timestamp")) if when is not None else F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1 << 31))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), seconds.alias("seconds"))
-    firsts = base.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = base.select("page_id", "digest").join(firsts, "digest").where("NOT page_id <=> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
+    firsts = base.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = base.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    again = salted.join(firsts, ["digest", "salt"]).where("NOT page_id <=> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     typed = base.join(again, base.page_id.eqNullSafe(F.col("p")) & (base.digest == F.col("d")), "left").select("page_id", "url", "html", "digest", "seconds", "refers_to")
-    names = ["key", "stamp", "page_id", "payload_digest", "record_type", "file", "offset", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, at, rows, out, uri = TaskContext.get(), 0, 0, [], None, ""
+        part = task.partitionId()
 
         def close() -> pa.RecordBatch:
             out.close()
-            rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[6]))  # the local run
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.sort()  # the local run, by its sort keys
+            return write_run(uri.removesuffix(".warc.gz") + ".run", part << 32 | n, iter(rows))
 
         for batch in slices(batches, "html"):
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "seconds")]
             for page, url, digest, refers, seconds, payload in zip(*columns, binary(batch.column("html"))):
                 if out is None:
-                    uri = f"{path}/captures-{task.partitionId():06d}-{n:05d}-{task.taskAttemptId()}.warc.gz"
+                    uri = f"{path}/captures-{part:06d}-{n:05d}-{task.taskAttemptId()}.warc.gz"
                     out, at, rows, n = files.create(uri), 0, [], n + 1
                 moment = datetime.fromtimestamp(0, timezone.utc) + timedelta(seconds=seconds)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(record(page, url, payload, digest, refers, moment)) + packer.flush()
                 out.write(member)
-                rows.append((url_key(url), moment.strftime("%Y%m%d%H%M%S"), page, digest, "response" if refers is None else "revisit", uri, at, len(member)))
+                key, stamp = url_key(url), moment.strftime("%Y%m%d%H%M%S")
+                rows.append((sort_key(key, stamp, page, part, n, at), key, stamp, page, digest, "response" if refers is None else "revisit", uri, at, len(member)))
                 at += len(member)
                 if at >= ARCHIVE_BYTES:
                     yield close()
@@ -187,59 +239,144 @@ def write(pages: DataFrame, path: str, when: Column | None = None) -> DataFrame:
             yield close()
 
     files.make_folder(path)
-    return stage(typed.mapInArrow(run, RUN), "warc-runs")
+    return stage(typed.mapInArrow(run, BLOCKS), "warc-blocks")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs' captures in global order: (part, place) orders them, capture numbers a key's history from 0 within part.
+def splitters(blocks: DataFrame, n: int) -> list[bytes]:
+    """The lower bounds of the ranges but for the first: about one for RANGE_BLOCKS of the n blocks, MAX_RANGES - 1 at most.
 
-    A popular key may fall into several ranges, as the ranges split by time and id too.
+    Like a range partitioner's, they come from a drawn share of the rows, DRAWN for each range.
     """
-    order = ["key", "stamp", "page_id", "file", "offset"]
-    names = ["key", "stamp", "page_id", "payload_digest", "record_type", "file", "offset", "length"]
+    ranges = min(MAX_RANGES, -(-n // RANGE_BLOCKS))
+    step = max(1, n // (ranges * DRAWN))
+    drawn = blocks.where(F.pmod(F.xxhash64("first"), F.lit(step)) == 0).select("first").limit(4 * DRAWN * MAX_RANGES).collect() if ranges > 1 else []
+    keys = sorted({bytes(r["first"]) for r in drawn})
+    every = max(1, len(keys) // ranges)
+    return keys[every::every]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[str, list[tuple]] = {}
-        for batch in batches:  # sorted by file and, within it, as the run is
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                segments.setdefault(row[5], []).append(row)
-        key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[5], r[6])
-        merged = [r for _, r in LoserTree([((key(r), r) for r in s) for s in segments.values()])]
-        part = TaskContext.get().partitionId()
-        for x in range(0, len(merged), 10_000):
-            piece = merged[x : x + 10_000]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*piece), kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(piece), pa.int32()), pa.array(range(x, x + len(piece)), pa.int64())], [*names, "part", "place"])
-
-    ranged = runs.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
-    return stage(ranged.sortWithinPartitions("file", *[F.col(c).asc_nulls_first() for c in order[:3]], "offset").select(names).mapInArrow(run, RUN + ", part int, place long"), "warc-index")
-
-
-def read(runs: DataFrame) -> DataFrame:
-    """Every record of the runs' archives: page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+def dealt(blocks: DataFrame, bounds: list[bytes]) -> DataFrame:
+    """With part: a row for each range that a block's captures lie in."""
+    shared = blocks.sparkSession.sparkContext.broadcast(bounds)  # MAX_RANGES keys at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
+        for batch in batches:
+            at, parts = [], []
+            for k, (first, last) in enumerate(zip(batch.column("first").to_pylist(), batch.column("last").to_pylist())):
+                for part in range(bisect.bisect_right(bounds, first), bisect.bisect_right(bounds, last) + 1):
+                    at.append(k)
+                    parts.append(part)
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(parts, pa.int32())], [*batch.schema.names, "part"])
+
+    return blocks.mapInArrow(run, BLOCKS + ", part int")
+
+
+def _merged(segments: list[dict], low: bytes, high: bytes | None) -> Iterator[tuple]:
+    by_run: dict[int, list[dict]] = {}
+    for b in sorted(segments, key=lambda b: (b["run"], b["first"])):
+        by_run.setdefault(b["run"], []).append(b)
+    return iter(LoserTree([read_blocks(bs, low, high) for bs in by_run.values()]))
+
+
+INDEX = "key string, stamp string, page_id long, payload_digest string, record_type string, file string, offset long, length long, part int, place long, nth long"
+
+
+def merge_runs(blocks: DataFrame, path: str) -> DataFrame:
+    """The runs' captures in global order: (part, place) orders them, capture numbers a key's history from 0.
+
+    A popular key may fall into several ranges, as the ranges split by time and id too.
+    """
+    spark = blocks.sparkSession
+    size = blocks.agg(F.count("*").alias("n"), F.count_distinct("run").alias("runs")).first()
+    bounds = splitters(blocks, size.n) if size.n else []
+    shared = spark.sparkContext.broadcast([b"", *bounds, None])
+    cut, runs = dealt(blocks, bounds), size.runs
+
+    def tasks(cut: DataFrame, groups: int) -> DataFrame:
+        """A row per range and group of runs: the rows of its blocks, RANGE_BLOCKS on average."""
+        group = F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int") if groups > 1 else F.lit(0)
+        block = F.struct("run", "uri", "offset", "bytes", "first")
+        each = cut.groupBy("part", group.alias("grp")).agg(F.collect_list(block).alias("segments"))
+        return each.repartition(max(1, min(MAX_RANGES, len(bounds) + 1) * groups), "part", "grp")
+
+    level = 0
+    while runs > FAN:
+        groups, level = -(-runs // FAN), level + 1
+
+        def longer(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    low, high = shared.value[row["part"]], shared.value[row["part"] + 1]
+                    uri = f"{path}/merged-{level}-{row['grp']:06d}-{row['part']:05d}-{TaskContext.get().taskAttemptId()}.run"
+                    made = write_run(uri, row["grp"], _merged(row["segments"], low, high))
+                    yield pa.RecordBatch.from_arrays([*made.columns, pa.array([row["part"]] * made.num_rows, pa.int32())], [*made.schema.names, "part"])
+
+        cut = stage(tasks(cut, groups).mapInArrow(longer, BLOCKS + ", part int"), "warc-level")
+        runs = cut.select("run").distinct().count()
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column("file").to_pylist():
-                rows = []
-                for at, _, body in records(files.read(uri)):
-                    rows.append((*parse(body).values(), uri, at))
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for row in batch.to_pylist():
+                rows = _merged(row["segments"], shared.value[row["part"]], shared.value[row["part"] + 1])
+                place, last, nth = 0, None, 0
+                while piece := list(itertools.islice(rows, 10_000)):
+                    count = []
+                    for r in piece:
+                        last, nth = r[1], nth + 1 if r[1] == last else 0
+                        count.append(nth)
+                    columns = [pa.array(c, f.type) for c, f in zip(list(zip(*piece))[1:], list(CAPTURE)[1:])]
+                    spot = pa.array(range(place, place + len(piece)), pa.int64())
+                    place += len(piece)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([row["part"]] * len(piece), pa.int32()), spot, pa.array(count, pa.int64())], [*CAPTURE.names[1:], "part", "place", "nth"])
+
+    made = stage(tasks(cut, 1).mapInArrow(index, INDEX), "warc-index")
+    # only a range's first and last key can be in other ranges: two rows per range
+    ends = made.groupBy("part").agg(F.min_by("key", "place").alias("a"), F.max_by("key", "place").alias("b"))
+    ends = ends.select("part", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+    counts = made.join(F.broadcast(ends), ["part", "key"]).groupBy("part", "key").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select("part", "key", before.alias("earlier")).where("earlier > 0")
+    numbered = made.join(F.broadcast(earlier), ["part", "key"], "left")  # MAX_RANGES rows at most
+    return numbered.withColumn("capture", F.col("nth") + F.coalesce("earlier", F.lit(0))).drop("earlier", "nth")
+
+
+def read(index: DataFrame) -> DataFrame:
+    """The record of every row of the index: page_id, payload_bytes, payload_digest, record_type, refers_to, and its place in the index.
+
+    The index drives the reads: a task has the captures of some archives in the order of their
+    offsets, and reads each archive from front to back, CHUNK bytes at a time.
+    """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kept = ["key", "part", "place", "capture"]
 
-    listed = stage(runs.select("file").distinct(), "warc-files")
-    # a task per archive of up to ARCHIVE_BYTES
-    return listed.repartition(max(1, listed.count())).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, f, start, held = None, None, 0, b""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = []
+            for file, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
+                if file != uri:
+                    if f is not None:
+                        f.close()
+                    uri, f, start, held = file, files.open_file(file), 0, b""
+                if at < start or at + size > start + len(held):
+                    f.seek(at)
+                    start, held = at, f.read(max(CHUNK, size))
+                rows.append(tuple(parse(zlib.decompress(held[at - start : at - start + size], 31)).values()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *(batch.column(c) for c in kept)], [*names, *kept])
+        if f is not None:
+            f.close()
+
+    ordered = index.select("file", "offset", "length", *kept).repartition("file").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, key string, part int, place long, capture long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archives written, indexed and read back: a row per page with its place in the merged index."""
-    runs = write(pages, new_path(pages.sparkSession, "warc"))
-    index = merge_runs(runs).select("file", "offset", F.col("part").alias("index_part"), F.col("place").alias("index_place"), F.col("key").alias("url_key"))
-    return read(runs).join(index.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "index_part", "index_place")
+    """Archives written, indexed and read back by the index: a row per page with its place in the histories."""
+    path = new_path(pages.sparkSession, "warc")
+    index = merge_runs(write(pages, path), path)
+    return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), F.col("part").alias("index_part"), F.col("place").alias("index_place"), "capture")

@@ -45,6 +45,22 @@ def test_token_files_round_trip(docs_of):
     assert bitpack.round_trip(docs_of(rows).where("false"), tokens.default_path()).count() == 0
 
 
+def test_records_are_read_in_linear_time():
+    import gzip
+    import time
+
+    body = "".join(random.Random(1).choices("abcdefgh", k=2000)).encode()
+
+    def took(n):
+        data = gzip.compress(body, 1) * n
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.records(data)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 12 * took(4_000)
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(12):
@@ -81,12 +97,37 @@ def test_warc_round_trip(spark):
     assert [r.url_key for r in order] == sorted(r.url_key for r in got)
 
 
+def test_runs_are_merged_in_levels_and_ranges(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("RANGE_BLOCKS", 5), ("FAN", 3), ("ARCHIVE_BYTES", 3000), ("DRAWN", 4), ("CHUNK", 500)):
+        monkeypatch.setattr(warc, name, value)
+    rng = random.Random(7)
+    rows = [(i, f"http://h{rng.randrange(9) if rng.random() < 0.7 else 0}.org/{rng.randrange(4)}", f"body {i} " * 20) for i in range(900)] + [(None, "http://h1.org/1", "x"), (5, "http://h0.org/0", "again"), (5, "http://h0.org/0", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    path = new_path(spark, "warc-levels")
+    blocks = warc.write(pages, path)
+    assert blocks.select("run").distinct().count() > 9  # three levels
+    index = warc.merge_runs(blocks, path).collect()
+    assert len({r.part for r in index}) > 3
+    index.sort(key=lambda r: (r.part, r.place))
+    seen = [(r.key, r.stamp, -1 if r.page_id is None else r.page_id) for r in index]
+    assert seen == sorted(seen) and len(seen) == len(rows)
+    nth = {}
+    for r in index:
+        assert r.capture == nth.get(r.key, 0)
+        nth[r.key] = r.capture + 1
+    got = warc.read(warc.merge_runs(blocks, path)).collect()
+    assert sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes) for r in got) == sorted((-1 if i is None else i, len(h.encode())) for i, _, h in rows)
+
+
 def test_archives_are_gzip_members(spark):
-    runs = warc.write(spark.createDataFrame(page_rows(), "page_id long, url string, html string"), new_path(spark, "warc-test")).collect()
-    for r in runs:
+    path = new_path(spark, "warc-test")
+    index = warc.merge_runs(warc.write(spark.createDataFrame(page_rows(), "page_id long, url string, html string"), path), path).collect()
+    assert len(index) == len(page_rows())
+    for r in index:
         data = files.read(r.file)
         body = zlib.decompress(data[r.offset : r.offset + r.length], 31)
         assert body.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n") and warc.parse(body)["page_id"] == r.page_id
+        assert (r.offset, r.length, body) in set(warc.records(data))
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
 
