@@ -1,25 +1,33 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-p(w | h) = p(class(w) | h) * p(w | class(w)).  The KEPT most frequent training tokens are
-classes of their own; every other token belongs to one of SUFFIXES classes by its last two
-characters, so unseen tokens have a class too. The class distribution is a softmax over hashed
-n-gram and skip features of the three tokens before; a token within a class has its add-0.1
-share of the class's training tokens, as in the base model.
+p(w | h) = p(class(w) | h) * p(cell(w) | class(w), h) * p(w | cell(w)).  The KEPT most frequent
+training tokens and the end are classes of their own; every other token belongs to one of
+SUFFIXES classes by its last two characters, so unseen tokens have a class too, and within it to
+one of 2^bits cells by its hash. Both softmaxes take features of the tokens before:
+  class  hashed n-grams and skips: the class before, with and without the coarse group of the
+         one before it, the groups of the second and third token before, and the word before
+         itself, hashed to a row of its class and cell
+  cell   the cell, and the cell with the coarse group of the token before
+A token within a cell has its add-0.1 share of the cell's training tokens, as in the base model.
+The number of cells, and with it of word rows, grows with the number of distinct training tokens
+(one for each CELL_TYPES of them, up to 2^8 a class, which is what every task holds of the model).
 
 Passes, each over written tables:
   blocks   texts -> blocks of documents: token positions in the block's own vocabulary, and
-           that vocabulary's 64-bit hashes with counts, dealt into buckets
-  buckets  the blocks' vocabularies meet by hash; exact training counts go back to the blocks
-  encode   block by block: base score, within-class score, and a class per token
-  counts   class contexts of the training tokens, summed over the corpus
-  rounds   each round every task adds up the gradient of its contexts; the driver applies the
-           summed step to the weights and sends them out again
-  score    a table of log probabilities by context and class, read for every token
+           that vocabulary's sorted 64-bit hashes with counts
+  buckets  the blocks' vocabularies meet by ranges of the hash, as many as hold BUCKET_TYPES
+           entries each; exact training counts go back to the blocks
+  encode   block by block: base score, share within the cell, and a class and cell per token
+  counts   what the features' observed counts are sums of, added up in a tree
+  rounds   each round every task adds up the expected counts of its contexts; the driver applies
+           the summed gradient to the weights and sends them out again
+  score    sparse look-ups of the features' weights for every token, in numpy batches
 What a block or a bucket holds doesn't grow with the corpus (the number of either does).
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +48,10 @@ CLASSES = 1 + KEPT + SUFFIXES
 GROUPS = 8
 #: Rows of the hashed weight table.
 FEATURE_ROWS = 1 << 12
+#: Bits of the hash that name a cell at most, and distinct tokens per cell.
+CELL_BITS, CELL_TYPES = 8, 128
+#: Entries of a bucket, about.
+BUCKET_TYPES = 1 << 20
 #: Distinct tokens of a block from which on it is closed.
 BLOCK_TYPES = 50_000
 #: Tokens of a block from which on it is closed, however few distinct ones it has.
@@ -61,9 +73,9 @@ def suffix_class(word: bytes) -> int:
     return zlib.crc32(word[-8:].decode("utf-8", "ignore")[-2:].encode()) % SUFFIXES
 
 
-def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 0 hold a block's documents, rows of kind 1 a bucket of its vocabulary."""
-    names = ["kind", "block", "bucket", "a", "b", "c", "d", "e"]
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows of kind 0 hold a block's documents, rows of kind 1 its vocabulary in the order of the hashes."""
+    names = ["kind", "block", "types", "a", "b", "c", "d", "e"]
 
     def rows(block: int, docs: list[tuple[int | None, bool, np.ndarray]], vocab: _Block) -> pa.RecordBatch:
         kind = np.dtype("<u2") if len(vocab) <= 1 << 16 else np.dtype("<u4")
@@ -76,20 +88,17 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         words = list(vocab)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         suffixes = np.fromiter(map(suffix_class, words), np.uint8, len(words))
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         ids = np.array([d[0] if d[0] is not None else 0 for d in docs], np.int64)
-        # tokens are stored as places in bucket order, so that the buckets' answers line up
+        # tokens are stored as places in the order of the hashes, so that the buckets' answers line up
+        order = np.argsort(hashes, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        marks = suffixes[order].tobytes() + hashes[order].astype("<u4").tobytes()
-        out = [(0, block, 0, ids.tobytes() + known.tobytes(), held.tobytes(), lengths.tobytes(), place[tokens].astype(kind).tobytes(), marks)]
-        for k in range(buckets):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                out.append((1, block, k, hashes[at].tobytes(), counts[at].tobytes(), suffixes[at].tobytes(), b"", b""))
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        hashes, suffixes = hashes[order], suffixes[order].tobytes()
+        out = [
+            (0, block, 0, ids.tobytes() + known.tobytes(), held.tobytes(), lengths.tobytes(), place[tokens].astype(kind).tobytes(), suffixes + hashes.astype("<u4").tobytes()),
+            (1, block, len(words), hashes.tobytes(), counts[order].tobytes(), suffixes, b"", b""),
+        ]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +115,34 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield rows(part << 32 | made, held, vocab)
 
-    return docs.mapInArrow(run, "kind int, block long, bucket int, a binary, b binary, c binary, d binary, e binary")
+    return docs.mapInArrow(run, "kind int, block long, types long, a binary, b binary, c binary, d binary, e binary")
+
+
+def bucket_bits(types: int) -> int:
+    """The top bits of the hash that name a bucket, so that a bucket has about BUCKET_TYPES of the blocks' entries."""
+    return max(4, math.ceil(math.log2(max(1, types) / BUCKET_TYPES)))
+
+
+def sliced(made: DataFrame, bits: int) -> DataFrame:
+    """(block, bucket, a, b, c): the blocks' vocabularies cut by the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("block", "a", "b", "c"))):
+                top = (np.frombuffer(a, np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+                rows = [(block, int(top[x]), a[8 * x : 8 * y], b[4 * x : 4 * y], c[x:y]) for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(top)])]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), [pa.int64(), pa.int32(), *[pa.binary()] * 3])], ["block", "bucket", "a", "b", "c"])
+
+    return made.where("kind = 1").select("block", "a", "b", "c").mapInArrow(run, "block long, bucket int, a binary, b binary, c binary")
+
+
+COUNTED = "kind int, block long, bucket int, totals binary, hash long, count long, types long"
 
 
 def count_bucket(group: pa.Table) -> pa.Table:
     """Exact training counts of a bucket's tokens: back to each block (kind 0), the most frequent
-    tokens (kind 1) and the sums by suffix class (kind 2)."""
+    tokens (kind 1) and the sums by suffix class and cell (kind 2)."""
     block, bucket = group.column("block").to_pylist(), group.column("bucket")[0].as_py()
     hashes = [np.frombuffer(x, np.uint64) for x in group.column("a").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in group.column("b").to_pylist()]
@@ -121,26 +152,42 @@ def count_bucket(group: pa.Table) -> pa.Table:
     np.add.at(total, back, np.concatenate(counts))
     ends = np.cumsum([0] + [len(h) for h in hashes])
     width = "<u4" if not len(total) or total.max() < 1 << 32 else "<u8"
-    rows = [(0, b, bucket, width[2].encode() + total[back[x:y]].astype(width).tobytes(), 0, 0, 0) for b, x, y in zip(block, ends[:-1], ends[1:])]
+    answers = [width[2].encode() + total[back[x:y]].astype(width).tobytes() for x, y in zip(ends[:-1], ends[1:])]
     top = np.lexsort((distinct, -total))[: KEPT + 1]
-    kind = suffixes[first].astype(np.int64)
-    rows += [(1, 0, int(kind[i]), b"", int(distinct[i].view(np.int64)), int(total[i]), 1) for i in top if total[i]]
-    sums, types = np.bincount(kind, total, SUFFIXES).astype(np.int64), np.bincount(kind[total > 0], minlength=SUFFIXES)
-    rows += [(2, 0, s, b"", 0, int(sums[s]), int(types[s])) for s in range(SUFFIXES) if types[s]]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "block", "bucket", "totals", "hash", "count", "types"])
+    top = top[total[top] > 0]
+    cell = suffixes[first].astype(np.int64) << CELL_BITS | (distinct & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+    sums, types = np.bincount(cell, total, SUFFIXES << CELL_BITS).astype(np.int64), np.bincount(cell[total > 0], minlength=SUFFIXES << CELL_BITS)
+    live = np.flatnonzero(types)
+    none = lambda n: np.zeros(n, np.int64)
+    n0, n1, n2 = len(answers), len(top), len(live)
+    columns = [
+        np.repeat(np.array([0, 1, 2], np.int32), [n0, n1, n2]), np.concatenate([np.array(block, np.int64), none(n1 + n2)]),
+        np.concatenate([np.full(n0, bucket, np.int64), cell[top], live]).astype(np.int32), pa.array(answers + [b""] * (n1 + n2), pa.binary()),
+        np.concatenate([none(n0), distinct[top].view(np.int64), none(n2)]), np.concatenate([none(n0), total[top], sums[live]]), np.concatenate([none(n0), none(n1) + 1, types[live]]),
+    ]
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["kind", "block", "bucket", "totals", "hash", "count", "types"])
 
 
 @dataclass
 class Vocabulary:
-    """What the classes need: at most KEPT tokens and SUFFIXES sums."""
+    """What the classes and cells need: at most KEPT tokens and a sum for each suffix class and cell."""
 
     tokens: int
     types: int
+    bits: int  # of the hash that name a cell
     kept: list[tuple[int, int, int]]  # low half of the hash, suffix class, count
     ends: int
-    suffix_tokens: np.ndarray
-    suffix_types: np.ndarray
+    cell_tokens: np.ndarray  # (SUFFIXES, 2^bits)
+    cell_types: np.ndarray
+
+    @property
+    def cells(self) -> int:
+        return 1 << self.bits
+
+    @property
+    def rows(self) -> int:
+        """Rows of the word before: one for each kept token and the end, one for each cell."""
+        return 1 + KEPT + SUFFIXES * self.cells
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
@@ -148,26 +195,28 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     top = counted.where(F.col("kind") == 1).where(F.col("hash") != int(end))
     top = top.orderBy(F.desc("count"), "hash").limit(KEPT).collect()
     last = counted.where((F.col("kind") == 1) & (F.col("hash") == int(end))).collect()
-    sums = counted.where(F.col("kind") == 2).groupBy("bucket").agg(F.sum("count").alias("n"), F.sum("types").alias("v")).collect()
-    n, v = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
+    sums = counted.where(F.col("kind") == 2).groupBy("bucket").agg(F.sum("count").alias("n"), F.sum("types").alias("v")).collect()  # SUFFIXES << CELL_BITS rows at most
+    n, v = np.zeros(SUFFIXES << CELL_BITS, np.int64), np.zeros(SUFFIXES << CELL_BITS, np.int64)
     for r in sums:
         n[r["bucket"]], v[r["bucket"]] = r["n"], r["v"]
     tokens, types = int(n.sum()), int(v.sum())
-    for r in [*top, *last]:  # tokens with a class of their own leave their suffix class
+    for r in [*top, *last]:  # tokens with a class of their own leave their cell
         n[r["bucket"]] -= r["count"]
         v[r["bucket"]] -= 1
-    kept = [(r["hash"] & 0xFFFFFFFF, r["bucket"], r["count"]) for r in top]
-    return Vocabulary(tokens, types, kept, sum(r["count"] for r in last), n, v)
+    kept = [(r["hash"] & 0xFFFFFFFF, r["bucket"] >> CELL_BITS, r["count"]) for r in top]
+    bits = min(CELL_BITS, max(0, math.floor(math.log2(max(1, types) / (SUFFIXES * CELL_TYPES)))))
+    fold = lambda x: x.reshape(SUFFIXES, -1, 1 << bits).sum(axis=1)  # noqa: E731  (a cell is named by the low bits)
+    return Vocabulary(tokens, types, bits, kept, sum(r["count"] for r in last), fold(n), fold(v))
 
 
 def encode(made: DataFrame, counted: DataFrame, voc: Vocabulary) -> DataFrame:
-    """A row per document: base score, within-class score and the classes of its tokens."""
+    """A row per document: base score, share within the cells, and the classes and cells of its tokens."""
     end = (int(xxhash.xxh3_64_intdigest(END)) & 0xFFFFFFFF, suffix_class(END), voc.ends)
     # a token is known by half its hash, its suffix class and its exact count together
     own = [(0, *end), *((1 + k, *x) for k, x in enumerate(voc.kept))]
     base_rest = np.log10(voc.tokens + ADD * (voc.types + 1)) if voc.tokens else np.log10(ADD)
-    class_rest = np.log10(voc.suffix_tokens + ADD * (voc.suffix_types + 1))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"]
+    cell_rest = np.log10(voc.cell_tokens + ADD * (voc.cell_types + 1))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes", "cells"]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         d = {c: docs.column(c)[0].as_py() for c in "abcde"}
@@ -179,50 +228,53 @@ def encode(made: DataFrame, counted: DataFrame, voc: Vocabulary) -> DataFrame:
         order = np.argsort(answers.column("part").to_numpy(), kind="stable")
         totals = answers.column("totals").to_pylist()
         c = np.concatenate([np.frombuffer(totals[i], f"<u{totals[i][:1].decode()}", offset=1).astype(np.int64) for i in order])
-        kind = 1 + KEPT + suffix
+        kind, cell = 1 + KEPT + suffix, (marks & np.uint32(voc.cells - 1)).astype(np.int64)
         for number, mark, of, count in own:
             kind[(marks == mark) & (suffix == of) & (c == count)] = number
+        cell[kind <= KEPT] = 0
         base = np.log10(c + ADD) - base_rest
-        within = np.where(kind > KEPT, np.log10(c + ADD) - class_rest[suffix], 0.0)
+        within = np.where(kind > KEPT, np.log10(c + ADD) - cell_rest[suffix, cell], 0.0)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        classes = kind.astype(np.uint8)[tokens]
         ends = starts + lengths
         sums = [np.add.reduceat(x[tokens], starts) for x in ((c > 0).astype(np.int64), base, within)]
+        per_token = [x.astype(np.uint8)[tokens] for x in (kind, cell)]
         out = [
             pa.array([int(i) if k else None for i, k in zip(ids, known)], pa.int64()), pa.array(held == 1), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
-            pa.array([classes[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary()),
+            *(pa.array([t[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary()) for t in per_token),
         ]
         return pa.Table.from_arrays(out, names)
 
     answers = counted.where("kind = 0").select(F.col("block").alias("owner"), F.col("bucket").alias("part"), "totals")
     left = made.where("kind = 0").select("block", "a", "b", "c", "d", "e")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, cells binary"
     return left.groupBy("block").cogroup(answers.groupBy("owner")).applyInArrow(run, schema)
 
 
+def before(x: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The value k tokens before each token of the concatenated documents; 0 (an end) before a document."""
+    out = np.zeros(len(x), np.int64)
+    out[k:] = x[:-k] if len(x) > k else 0
+    lens = np.diff(np.append(starts, len(x)))
+    for j in range(k):
+        out[starts[lens > j] + j] = 0
+    return out
+
+
+def word_rows(classes: np.ndarray, cells: np.ndarray, bits: int) -> np.ndarray:
+    """The row of each token as the word before another."""
+    return np.where(classes <= KEPT, classes, 1 + KEPT + ((classes - 1 - KEPT) << bits | cells))
+
+
 def contexts(classes: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """The context code of each token of the concatenated documents: last class, two coarse groups."""
-    before = []
-    for k in (1, 2, 3):
-        x = np.zeros(len(classes), np.int64)
-        x[k:] = classes[:-k] if len(classes) > k else 0
-        before.append(x)
-    for k in (1, 2, 3):  # what lies before a document counts as an end
-        for j in range(k):
-            at = starts + j
-            before[k - 1][at[at < len(classes)]] = 0
-    lens = np.diff(np.append(starts, len(classes)))
-    if (lens < 3).any():  # a short document's neighbour may have been cleared: set those again
-        place = np.arange(len(classes)) - np.repeat(starts, lens)
-        for k in (1, 2, 3):
-            x = np.zeros(len(classes), np.int64)
-            x[k:] = classes[:-k] if len(classes) > k else 0
-            before[k - 1] = np.where(place >= k, x, 0)
-    return (before[0] * GROUPS + groups[before[1]]) * GROUPS + groups[before[2]]
-
-
-CONTEXTS = CLASSES * GROUPS * GROUPS
-_CHUNK = 256
+    c1, c2, c3 = (before(classes, starts, k) for k in (1, 2, 3))
+    return (c1 * GROUPS + groups[c2]) * GROUPS + groups[c3]
+
+
+PAIRS = GROUPS * GROUPS
+CONTEXTS = CLASSES * PAIRS
+#: Cells of the counts that are written as one row.
+_CHUNK = 1 << 16
 
 
 def features(codes: np.ndarray) -> np.ndarray:
@@ -232,11 +284,13 @@ def features(codes: np.ndarray) -> np.ndarray:
     return np.stack([(mix(k.astype(np.uint64)) % np.uint64(FEATURE_ROWS)).astype(np.int64) for k in keys])
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, classes, cells, starts of the documents)"""
     for batch in slices(batches, "classes", 1 << 20):
         blobs = batch.column("classes").to_pylist()
-        lengths = np.array([len(b) for b in blobs], np.int64)
-        yield batch, np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        starts = np.concatenate([[0], np.cumsum(np.array([len(b) for b in blobs], np.int64))[:-1]])
+        cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8) if "cells" in batch.schema.names else None
+        yield batch, np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64), cells.astype(np.int64) if cells is not None else None, starts
 
 
 def bigrams(train: DataFrame) -> np.ndarray:
@@ -244,10 +298,8 @@ def bigrams(train: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for _, classes, starts in _batches(batches):
-            before = np.concatenate([[0], classes[:-1]])
-            before[starts] = 0
-            total += np.bincount(before * CLASSES + classes, minlength=CLASSES * CLASSES)
+        for _, classes, _, starts in _batches(batches):
+            total += np.bincount(before(classes, starts, 1) * CLASSES + classes, minlength=CLASSES * CLASSES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
@@ -276,44 +328,66 @@ def coarse_groups(pairs: np.ndarray, turns: int = 12) -> np.ndarray:
     return group
 
 
+@dataclass
+class Layout:
+    """Where the counts lie in one row of cells: classes by context, classes and pairs of groups by word row, cells by group and class."""
+
+    rows: int
+    bits: int
+
+    def __post_init__(self):
+        up = lambda n: -(-n // _CHUNK) * _CHUNK  # noqa: E731  (each part starts a chunk of its own)
+        self.by_row = up(CONTEXTS * CLASSES)
+        self.by_pair = self.by_row + up(self.rows * CLASSES)
+        self.by_cell = self.by_pair + up(self.rows * PAIRS)
+        self.size = self.by_cell + up((GROUPS * SUFFIXES) << self.bits)
+
+    def cells_of(self, classes: np.ndarray, cells: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        codes = contexts(classes, starts, groups)
+        row = before(word_rows(classes, cells, self.bits), starts, 1)
+        wide = np.flatnonzero(classes > KEPT)
+        inner = ((groups[codes[wide] // PAIRS] * SUFFIXES + classes[wide] - 1 - KEPT) << self.bits) | cells[wide]
+        return np.concatenate([codes * CLASSES + classes, self.by_row + row * CLASSES + classes, self.by_pair + row * PAIRS + codes % PAIRS, self.by_cell + inner])
+
+
 def _added(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros(_CHUNK * CLASSES, np.int64)
+    total = np.zeros(_CHUNK, np.int64)
     for cells, n in zip(group.column("cells").to_pylist(), group.column("n").to_pylist()):
-        total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u8").astype(np.int64)
+        total[np.frombuffer(cells, "<u2")] += np.frombuffer(n, "<u8").astype(np.int64)
     at = np.flatnonzero(total)
     return at, total[at]
 
 
-def context_counts(train: DataFrame, groups: np.ndarray) -> DataFrame:
-    """(chunk, counts): the class counts of _CHUNK contexts; CONTEXTS / _CHUNK rows at most.
+def feature_counts(train: DataFrame, groups: np.ndarray, layout: Layout) -> DataFrame:
+    """(chunk, counts): the counts of the layout's cells, _CHUNK in a row.
 
     The tasks' sums are added FAN at a time, level by level, so no task gets all of them.
     """
     schema = "part int, chunk int, cells binary, n binary"
+    chunks = layout.size // _CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS * CLASSES, np.int64)
-        for _, classes, starts in _batches(batches):
-            cells, n = np.unique(contexts(classes, starts, groups) * CLASSES + classes, return_counts=True)
-            total[cells] += n
-        at = np.flatnonzero(total)
-        size, part = _CHUNK * CLASSES, TaskContext.get().partitionId()
-        ends = np.searchsorted(at, np.arange(0, CONTEXTS * CLASSES + 1, size))
-        rows = [(part, k, (at[x:y] - k * size).astype("<u4").tobytes(), total[at[x:y]].astype("<u8").tobytes()) for k, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), pa.binary(), pa.binary()])], ["part", "chunk", "cells", "n"])
+        total = np.zeros(layout.size, np.int64)
+        for _, classes, cells, starts in _batches(batches):
+            total += np.bincount(layout.cells_of(classes, cells, starts, groups), minlength=layout.size)
+        part = TaskContext.get().partitionId()
+        for k in range(chunks):
+            n = total[k * _CHUNK : (k + 1) * _CHUNK]
+            at = np.flatnonzero(n)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n[at].astype("<u8").tobytes()], pa.binary())], ["part", "chunk", "cells", "n"])
 
     def merge(group: pa.Table) -> pa.Table:
         at, n = _added(group)
-        return pa.Table.from_arrays([group.column("part").slice(0, 1), group.column("chunk").slice(0, 1), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([n.astype("<u8").tobytes()], pa.binary())], ["part", "chunk", "cells", "n"])
+        return pa.Table.from_arrays([group.column("part").slice(0, 1), group.column("chunk").slice(0, 1), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<u8").tobytes()], pa.binary())], ["part", "chunk", "cells", "n"])
 
     def last(group: pa.Table) -> pa.Table:
-        total = np.zeros(_CHUNK * CLASSES, np.float64)
+        total = np.zeros(_CHUNK, np.float64)
         at, n = _added(group)
         total[at] = n
         return pa.Table.from_arrays([group.column("chunk").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    sums = stage(train.select("classes").mapInArrow(run, schema), "lm-sums")
+    sums = stage(train.select("classes", "cells").mapInArrow(run, schema), "lm-sums")
     parts = (sums.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
     while parts > FAN:
         sums = stage(sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("chunk", "part").applyInArrow(merge, schema), "lm-sums")
@@ -322,87 +396,188 @@ def context_counts(train: DataFrame, groups: np.ndarray) -> DataFrame:
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits = logits - logits.max(axis=-1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
 
 
-def train_rounds(counts: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The weight table after `rounds` synchronous updates over all contexts.
+@dataclass
+class Model:
+    """The weights: by hashed feature and class, by word row and class, by group and cell."""
+
+    groups: np.ndarray
+    bits: int
+    prior: np.ndarray  # (CLASSES,)
+    hashed: np.ndarray  # (FEATURE_ROWS, CLASSES)
+    words: np.ndarray  # (rows, CLASSES)
+    cells: np.ndarray  # (1 + GROUPS, SUFFIXES, 2^bits): of the cell, and of the cell with a group before it
+
+    def by_context(self, codes: np.ndarray) -> np.ndarray:
+        """What the features but the word row add up to, for each class."""
+        return self.prior + self.hashed[features(codes)].sum(axis=0)
+
+    def cell_logs(self) -> np.ndarray:
+        """Natural log p(cell | class, group before): (GROUPS, SUFFIXES, 2^bits)."""
+        return _log_softmax(self.cells[0] + self.cells[1:])
+
+
+def row_class(rows: np.ndarray, bits: int) -> np.ndarray:
+    return np.where(rows <= KEPT, rows, 1 + KEPT + ((rows - 1 - KEPT) >> bits))
+
 
-    A row's step is its gradient over the mean of observed and expected counts (a diagonal
-    preconditioner), divided among a context's four features.
+def word_chunk(chunk: int, layout: Layout) -> range:
+    """The word rows whose pairs of groups lie in a chunk."""
+    first = (chunk * _CHUNK - layout.by_pair) // PAIRS
+    return range(first, min(layout.rows, first + _CHUNK // PAIRS))
+
+
+def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model after `rounds` synchronous updates over all contexts.
+
+    A context is a word row with a pair of groups; its class distribution is a softmax of the
+    weights of its features. What a round needs of the corpus is how often each context occurs;
+    what was observed is summed up once. A weight's step is its gradient over the mean of
+    observed and expected counts (a diagonal preconditioner), divided among the features.
     """
     spark = counts.sparkSession
-    weights = np.zeros((FEATURE_ROWS, CLASSES), np.float32)
+    seen = [np.zeros((FEATURE_ROWS, CLASSES)), np.zeros((layout.rows, CLASSES)), np.zeros((GROUPS, SUFFIXES, 1 << layout.bits))]
+    for r in counts.where(~F.col("chunk").between(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK - 1)).toLocalIterator():
+        n, at = np.frombuffer(r["counts"], np.float64), r["chunk"] * _CHUNK
+        if at < layout.by_row:
+            by_code = n.reshape(-1, CLASSES)
+            codes = np.flatnonzero(by_code.sum(axis=1)) if at < CONTEXTS * CLASSES else []
+            for rows in features(at // CLASSES + np.array(codes, np.int64)):
+                np.add.at(seen[0], rows, by_code[codes])
+            continue
+        target, start = (seen[1], layout.by_row) if at < layout.by_pair else (seen[2], layout.by_cell)
+        flat = target.reshape(-1)
+        part = flat[at - start : at - start + _CHUNK]
+        part[:] = n[: len(part)]
+    model = Model(groups, layout.bits, prior, np.zeros((FEATURE_ROWS, CLASSES), np.float32), np.zeros((layout.rows, CLASSES), np.float32), np.zeros((1 + GROUPS, SUFFIXES, 1 << layout.bits), np.float32))
+    pairs = counts.where(F.col("chunk").between(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK - 1))
+    of_row = row_class(np.arange(layout.rows), layout.bits)
 
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, prior))
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, bias = shared.value
-            seen, expected = np.zeros(table.shape, np.float64), np.zeros(table.shape, np.float64)
+            model, by_code = shared.value, {}
             for batch in batches:
                 for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                    n = np.frombuffer(blob, np.float64).reshape(_CHUNK, CLASSES)
-                    live = np.flatnonzero(n.sum(axis=1))
-                    n = n[live]
-                    rows = features(chunk * _CHUNK + live)
-                    p = np.exp(_log_softmax(bias + table[rows].sum(axis=0))) * n.sum(axis=1, keepdims=True)
-                    for r in rows:
-                        np.add.at(seen, r, n)
-                        np.add.at(expected, r, p)
-            at = np.flatnonzero(seen.sum(axis=1))
-            blobs = [pa.array([x[i].astype(np.float32).tobytes() for i in at], pa.binary()) for x in (seen, expected)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *blobs], ["row", "seen", "expected"])
-
-        seen, expected = np.zeros(weights.shape), np.zeros(weights.shape)
-        for r in counts.mapInArrow(run, "row int, seen binary, expected binary").toLocalIterator():
-            seen[r["row"]] += np.frombuffer(r["seen"], np.float32)
-            expected[r["row"]] += np.frombuffer(r["expected"], np.float32)
-        step = (seen - expected) / (0.5 * (seen + expected) + 2.0)
-        weights = (weights + 0.5 * step - 0.0005 * weights).astype(np.float32)
+                    n = np.frombuffer(blob, np.float64).reshape(-1, PAIRS)
+                    found = []
+                    for k, row in enumerate(word_chunk(chunk, layout)):
+                        if not n[k].any():
+                            continue
+                        c = int(of_row[row])
+                        if c not in by_code:
+                            by_code[c] = [model.by_context(c * PAIRS + np.arange(PAIRS)), np.zeros((PAIRS, CLASSES))]
+                        p = np.exp(_log_softmax(by_code[c][0] + model.words[row])) * n[k][:, None]
+                        by_code[c][1] += p
+                        found.append((1, row, p.sum(axis=0).astype(np.float32).tobytes()))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.int32(), pa.int32(), pa.binary()])], ["kind", "row", "expected"])
+            expected = np.zeros(model.hashed.shape)
+            for c, (_, p) in by_code.items():
+                for rows in features(c * PAIRS + np.arange(PAIRS)):
+                    np.add.at(expected, rows, p)
+            at = np.flatnonzero(expected.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array([expected[i].astype(np.float32).tobytes() for i in at], pa.binary())], ["kind", "row", "expected"])
+
+        expected = [np.zeros(model.hashed.shape), np.zeros(model.words.shape)]
+        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").toLocalIterator():
+            expected[r["kind"]][r["row"]] += np.frombuffer(r["expected"], np.float32)
+        step = lambda seen, expected: (seen - expected) / (0.5 * (seen + expected) + 2.0)
+        hashed = model.hashed + 0.4 * step(seen[0], expected[0]) - 0.0005 * model.hashed
+        words = model.words + 0.4 * step(seen[1], expected[1]) - 0.0005 * model.words
+        # the cells' counts by group and class are few enough for one place
+        inner = np.exp(model.cell_logs()) * seen[2].sum(axis=2, keepdims=True)
+        cells = model.cells + 0.5 * np.concatenate([step(seen[2].sum(axis=0), inner.sum(axis=0))[None], step(seen[2], inner)]) - 0.0005 * model.cells
+        model = Model(groups, layout.bits, prior, hashed.astype(np.float32), words.astype(np.float32), cells.astype(np.float32))
         shared.destroy()
-    return weights
+    return model
 
 
-def log_table(weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """log10 p(class | context) for every context."""
-    out = np.empty((CONTEXTS, CLASSES), np.float32)
-    for x in range(0, CONTEXTS, 4096):
-        codes = np.arange(x, min(CONTEXTS, x + 4096))
-        out[codes] = _log_softmax(prior + weights[features(codes)].sum(axis=0)) / np.log(10)
-    return out.ravel()
+def normalisers(counts: DataFrame, layout: Layout, model: Model) -> np.ndarray:
+    """The log of the sum over the classes, for every word row and pair of groups."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+    of_row = row_class(np.arange(layout.rows), layout.bits)
+    chunks = counts.sparkSession.range(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK, 1, (layout.by_cell - layout.by_pair) // _CHUNK)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for chunk in batch.column("id").to_pylist():
+                rows = word_chunk(chunk, layout)
+                logs, last, by_code = np.zeros((len(rows), PAIRS), np.float32), None, None
+                for k, row in enumerate(rows):
+                    if of_row[row] != last:
+                        last = of_row[row]
+                        by_code = model.by_context(last * PAIRS + np.arange(PAIRS))
+                    x = by_code + model.words[row]
+                    top = x.max(axis=1)
+                    logs[k] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([rows.start]), pa.array([logs.tobytes()], pa.binary())], ["first", "logs"])
+
+    out = np.zeros((layout.rows, PAIRS), np.float32)
+    for r in chunks.mapInArrow(run, "first long, logs binary").toLocalIterator():
+        x = np.frombuffer(r["logs"], np.float32).reshape(-1, PAIRS)
+        out[r["first"] : r["first"] + len(x)] = x
+    shared.destroy()
+    return out
+
+
+def token_logs(model: Model, logs: np.ndarray, by_code: np.ndarray, inner: np.ndarray, classes: np.ndarray, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """log10 p(class, cell | the tokens before) of each token; by_code is by_context of all codes, inner cell_logs."""
+    codes = contexts(classes, starts, model.groups)
+    row = before(word_rows(classes, cells, model.bits), starts, 1)
+    out = by_code[codes, classes].astype(np.float64) + model.words[row, classes] - logs[row, codes % PAIRS]
+    wide = classes > KEPT
+    out[wide] += inner[model.groups[codes[wide] // PAIRS], classes[wide] - 1 - KEPT, cells[wide]]
+    return out / np.log(10)
+
+
+def fit(encoded: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> tuple[Model, np.ndarray]:
+    """The model of the encoded rows that aren't held out, with its normalisers."""
+    train = encoded.where("NOT held_out")
+    pairs = bigrams(train)
+    groups = coarse_groups(pairs)
+    prior = np.log((pairs.sum(axis=0) + ADD) / (pairs.sum() + ADD * CLASSES)).astype(np.float32)
+    layout = Layout(voc.rows, voc.bits)
+    counts = stage(feature_counts(train, groups, layout).repartition((layout.by_cell - layout.by_pair) // _CHUNK, "chunk"), "lm-counts")
+    model = train_rounds(counts, layout, groups, prior, rounds)
+    return model, normalisers(counts, layout, model)
 
-def score(docs: DataFrame, held_out, buckets: int | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Score every row of docs (doc_id, text) by a model of the rows for which held_out is false.
 
-    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Words are
-    lower-cased A-Z; each text, a null or empty one too, ends with one end token. Repeated rows
-    are scored, and learned from, one by one. Rows whose held_out is null are learned from. With
-    no training row every token is unknown. Other columns are ignored; an empty table gives no rows.
-    """
+def encoded_documents(docs: DataFrame, held_out) -> tuple[DataFrame, Vocabulary]:
     spark = docs.sparkSession
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    buckets = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made, made_path = staged(blocks(flagged, buckets), "lm-blocks")
-    counted, counted_path = staged(made.where("kind = 1").select("block", "bucket", "a", "b", "c").groupBy("bucket").applyInArrow(count_bucket, "kind int, block long, bucket int, totals binary, hash long, count long, types long"), "lm-counts")
+    made, made_path = staged(blocks(flagged), "lm-blocks")
+    bits = bucket_bits(made.agg(F.sum("types").alias("n")).first()["n"] or 0)
+    counted, counted_path = staged(sliced(made, bits).repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(count_bucket, COUNTED), "lm-buckets")
     voc = vocabulary(counted)
     encoded = stage(encode(made, counted, voc), "lm-encoded")
     drop_path(spark, made_path)
     drop_path(spark, counted_path)
-    train = encoded.where("NOT held_out")
-    pairs = bigrams(train)
-    groups = coarse_groups(pairs)
-    prior = np.log((pairs.sum(axis=0) + ADD) / (pairs.sum() + ADD * CLASSES)).astype(np.float32)
-    counts = stage(context_counts(train, groups), "lm-contexts").coalesce(8)
-    table = spark.sparkContext.broadcast(log_table(train_rounds(counts, prior, rounds), prior))
+    return encoded, voc
+
+
+def score(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
+    """Score every row of docs (doc_id, text) by a model of the rows for which held_out is false.
+
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Words are
+    lower-cased A-Z; each text, a null or empty one too, ends with one end token. Texts are read
+    whole, however long. Repeated rows are scored, and learned from, one by one. Rows whose
+    held_out is null are learned from. With no training row every token is unknown. A null
+    doc_id stays null; other columns are ignored; an empty table gives no rows.
+    """
+    encoded, voc = encoded_documents(docs, held_out)
+    model, logs = fit(encoded, voc, rounds)
+    table = docs.sparkSession.sparkContext.broadcast((model, logs, model.by_context(np.arange(CONTEXTS)).astype(np.float32), model.cell_logs().astype(np.float32)))
     n = voc.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = table.value
-        for batch, classes, starts in _batches(batches):
-            each = logs[contexts(classes, starts, groups) * CLASSES + classes].astype(np.float64)
+        for batch, classes, cells, starts in _batches(batches):
+            each = token_logs(*table.value, classes, cells, starts)
             total = np.add.reduceat(each, starts) + batch.column("within").to_numpy()
             keep = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
             yield pa.RecordBatch.from_arrays([*keep[:4], pa.array(np.full(len(starts), n, np.int64)), keep[4], pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

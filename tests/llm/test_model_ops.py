@@ -138,10 +138,71 @@ def test_lm_beats_the_base_on_held_out_text(spark, sf):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_lm_class_distribution_sums_to_one():
-    rng = np.random.default_rng(1)
-    logs = lm.log_table(rng.standard_normal((lm.FEATURE_ROWS, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32))
-    assert np.allclose((10.0 ** logs.reshape(lm.CONTEXTS, lm.CLASSES)).sum(axis=1), 1, atol=1e-3)
+def test_lm_score_equals_a_dense_model(docs_of, monkeypatch):
+    """Each token's probability by dense softmaxes over the whole small vocabulary: the scores agree, and it sums to one."""
+    monkeypatch.setattr(lm, "CELL_TYPES", 0.1)
+    monkeypatch.setattr(lm, "BUCKET_TYPES", 8)
+    rng = random.Random(4)
+    vocab = [f"w{i}{rng.choice('abcd')}" for i in range(200)] + ["the", "of"]
+    rows = [(i, " ".join(rng.choice(vocab[: 50 + i] + ["the"] * 9 + ["of"] * 5) for _ in range(rng.randrange(1, 60)))) for i in range(150)] + [(200, None), (201, "unseen words xyz")]
+    held = F.pmod(queries.id_crc(), F.lit(10)) == 0
+    docs = docs_of(rows)
+    encoded, voc = lm.encoded_documents(docs, held)
+    model, logs = lm.fit(encoded, voc, rounds=4)
+    assert voc.bits >= 2 and np.abs(model.words).max() > 0 and np.abs(model.cells[1:]).max() > 0
+    by_id = {r.doc_id: r for r in encoded.collect()}
+    # what is known of each word: its class, its cell and its count
+    known, text = {}, dict(rows)
+    counts = collections.Counter(w for i, t in rows if not by_id[i].held_out for w in [*(t or "").lower().split(), None])
+    for i, t in rows:
+        for w, c, x in zip([*(t or "").lower().split(), None], by_id[i].classes, by_id[i].cells):
+            assert known.setdefault(w, (c, x)) == (c, x)
+    inner = np.exp(model.cell_logs())
+    of_cell = collections.defaultdict(list)
+    for w, (c, x) in known.items():
+        if counts[w]:
+            of_cell[c, x].append(w)
+
+    def dense(history):
+        """p of each training word, and of one unseen word for each cell, after a history of (class, cell)."""
+        h = [*([(0, 0)] * 3), *history]
+        (c1, x1), (c2, _), (c3, _) = h[-1], h[-2], h[-3]
+        code = np.array([(c1 * lm.GROUPS + model.groups[c2]) * lm.GROUPS + model.groups[c3]])
+        row = c1 if c1 <= lm.KEPT else 1 + lm.KEPT + ((c1 - 1 - lm.KEPT) << model.bits) + x1
+        logits = model.by_context(code)[0] + model.words[row]
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        out, rest = {}, 0.0
+        for c in range(lm.CLASSES):
+            if c <= lm.KEPT:
+                own = [w for w in of_cell.get((c, 0), [])]
+                if own:
+                    out[own[0]] = p[c]
+                else:
+                    rest += p[c]
+                continue
+            for x in range(1 << model.bits):
+                words = of_cell.get((c, x), [])
+                total = sum(counts[w] for w in words) + 0.1 * (len(words) + 1)
+                share = p[c] * inner[model.groups[c1], c - 1 - lm.KEPT, x]
+                for w in words:
+                    out[w] = share * (counts[w] + 0.1) / total
+                out[c, x] = share * 0.1 / total
+        return out, rest
+
+    got = {r.doc_id: r.score for r in lm.score(docs, held, rounds=4).collect()}
+    for i in (0, 3, 7, 60, 149, 200, 201):
+        history, total = [], 0.0
+        for w in [*(text[i] or "").lower().split(), None]:
+            p, rest = dense(history)
+            assert abs(sum(p.values()) + rest - 1) < 1e-4
+            total += math.log10(p[w] if counts[w] else p[known[w]])
+            history.append(known[w])
+        assert abs(total - got[i]) < 1e-3 * max(1, abs(total))
+
+
+def test_lm_buckets_and_cells_grow_with_the_types():
+    assert lm.bucket_bits(0) == 4 and lm.bucket_bits(64 << 20) == 6 and lm.bucket_bits(1 << 34) == 14
 
 
 def test_lm_contexts_by_hand():
