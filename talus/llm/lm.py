@@ -59,8 +59,8 @@ BLOCK_TOKENS = 1 << 20
 ADD = 0.1
 END = b" "  # no word has a space
 ROUNDS = 24
-#: Partial sums that one task adds up.
-FAN = 32
+#: Partial sums that one task adds up, and tasks of a round (its work is bounded by the size of the model).
+FAN, TASKS = 32, 16
 
 
 class _Block(dict):
@@ -439,7 +439,7 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
     observed and expected counts (a diagonal preconditioner), divided among the features.
     """
     spark = counts.sparkSession
-    seen = [np.zeros((FEATURE_ROWS, CLASSES)), np.zeros((layout.rows, CLASSES)), np.zeros((GROUPS, SUFFIXES, 1 << layout.bits))]
+    seen = [np.zeros((FEATURE_ROWS, CLASSES)), np.zeros((layout.rows, CLASSES), np.float32), np.zeros((GROUPS, SUFFIXES, 1 << layout.bits))]
     for r in counts.where(~F.col("chunk").between(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK - 1)).toLocalIterator():
         n, at = np.frombuffer(r["counts"], np.float64), r["chunk"] * _CHUNK
         if at < layout.by_row:
@@ -453,7 +453,7 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
         part = flat[at - start : at - start + _CHUNK]
         part[:] = n[: len(part)]
     model = Model(groups, layout.bits, prior, np.zeros((FEATURE_ROWS, CLASSES), np.float32), np.zeros((layout.rows, CLASSES), np.float32), np.zeros((1 + GROUPS, SUFFIXES, 1 << layout.bits), np.float32))
-    pairs = counts.where(F.col("chunk").between(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK - 1))
+    pairs = stage(counts.where(F.col("chunk").between(layout.by_pair // _CHUNK, layout.by_cell // _CHUNK - 1)).repartition(TASKS), "lm-pairs")
     of_row = row_class(np.arange(layout.rows), layout.bits)
 
     for turn in range(rounds):
@@ -463,7 +463,7 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
             model, by_code = shared.value, {}
             for batch in batches:
                 for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                    n = np.frombuffer(blob, np.float64).reshape(-1, PAIRS)
+                    n = np.frombuffer(blob, np.float64).astype(np.float32).reshape(-1, PAIRS)
                     found = []
                     for k, row in enumerate(word_chunk(chunk, layout)):
                         if not n[k].any():
@@ -471,9 +471,11 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
                         c = int(of_row[row])
                         if c not in by_code:
                             by_code[c] = [model.by_context(c * PAIRS + np.arange(PAIRS)), np.zeros((PAIRS, CLASSES))]
-                        p = np.exp(_log_softmax(by_code[c][0] + model.words[row])) * n[k][:, None]
+                        p = by_code[c][0] + model.words[row]
+                        np.exp(p - p.max(axis=1, keepdims=True), out=p)
+                        p *= (n[k] / p.sum(axis=1))[:, None]
                         by_code[c][1] += p
-                        found.append((1, row, p.sum(axis=0).astype(np.float32).tobytes()))
+                        found.append((1, row, p.sum(axis=0).tobytes()))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.int32(), pa.int32(), pa.binary()])], ["kind", "row", "expected"])
             expected = np.zeros(model.hashed.shape)
@@ -483,8 +485,8 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
             at = np.flatnonzero(expected.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array([expected[i].astype(np.float32).tobytes() for i in at], pa.binary())], ["kind", "row", "expected"])
 
-        expected = [np.zeros(model.hashed.shape), np.zeros(model.words.shape)]
-        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").toLocalIterator():
+        expected = [np.zeros(model.hashed.shape), np.zeros(model.words.shape, np.float32)]
+        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").collect():  # the size of the weights, and TASKS times that of the hashed ones
             expected[r["kind"]][r["row"]] += np.frombuffer(r["expected"], np.float32)
         step = lambda seen, expected: (seen - expected) / (0.5 * (seen + expected) + 2.0)
         hashed = model.hashed + 0.4 * step(seen[0], expected[0]) - 0.0005 * model.hashed
@@ -519,7 +521,7 @@ def normalisers(counts: DataFrame, layout: Layout, model: Model) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([rows.start]), pa.array([logs.tobytes()], pa.binary())], ["first", "logs"])
 
     out = np.zeros((layout.rows, PAIRS), np.float32)
-    for r in chunks.mapInArrow(run, "first long, logs binary").toLocalIterator():
+    for r in chunks.mapInArrow(run, "first long, logs binary").collect():
         x = np.frombuffer(r["logs"], np.float32).reshape(-1, PAIRS)
         out[r["first"] : r["first"] + len(x)] = x
     shared.destroy()
@@ -543,7 +545,7 @@ def fit(encoded: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> tuple[Mode
     groups = coarse_groups(pairs)
     prior = np.log((pairs.sum(axis=0) + ADD) / (pairs.sum() + ADD * CLASSES)).astype(np.float32)
     layout = Layout(voc.rows, voc.bits)
-    counts = stage(feature_counts(train, groups, layout).repartition((layout.by_cell - layout.by_pair) // _CHUNK, "chunk"), "lm-counts")
+    counts = stage(feature_counts(train, groups, layout), "lm-counts")
     model = train_rounds(counts, layout, groups, prior, rounds)
     return model, normalisers(counts, layout, model)
 
