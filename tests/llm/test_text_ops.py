@@ -119,15 +119,44 @@ def test_empty_tables(docs_of):
     assert packing.pack(empty, tokens.default_path()).count() == 0
 
 
-def test_license_scan(docs_of):
+def contained_by_hand(text):
+    """License -> the best share of a notice's shingles in any stretch of twice its scale, by plain sets."""
+    cut = lambda t: WORD.findall((t or "").translate(str.maketrans(licenses.MARKS, " " * len(licenses.MARKS))).lower())
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    sh, best = grams(cut(text)), {}
+    for name, notices in licenses.NOTICES.items():
+        for want in (set(grams(cut(t))) for t in notices):
+            size = licenses.scale(len(want)) if want else 1
+            for start in range(0, max(1, len(sh)), size):
+                share = len(want & set(sh[start : start + 2 * size])) / len(want) if want else 0
+                if share >= licenses.CONTAINED:
+                    best[name] = max(best.get(name, 0), share)
+    return best
+
+
+def commented(text, sign, width=68):
+    import textwrap
+
+    return "\n".join(f"{sign} {line}" for line in textwrap.wrap(text, width))
+
+
+def test_license_scan_by_brute_force(docs_of):
     rng = random.Random(2)
     filler = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
-    mit = licenses.NOTICES["MIT"][2]
-    edited = mit.replace("free of charge", "free of any charge")
-    rows = [(1, f"{filler(500)}\nReleased under the MIT License.\n{filler(30)}"), (2, f"{filler(333)} {mit} {filler(7)}"), (3, filler(400)), (4, None), (5, ""), (6, "MIT License"), (7, f"{filler(20)} {edited}"), (8, "LICENSED UNDER CC BY-NC 4.0"), (8, "LICENSED UNDER CC BY-NC 4.0")]
-    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs_of(rows).withColumn("license", F.lit(1))).collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT"), (8, "CC-BY-NC-4.0")} | ({(7, "MIT")} if got.get((7, "MIT")) else set())
-    assert got[(1, "MIT")] == got[(2, "MIT")] == 1.0
+    mit, full = licenses.NOTICES["MIT"][2:4]
+    texts = [
+        f"{filler(500)}\nReleased under the MIT License.\n{filler(30)}", f"{filler(333)} {mit} {filler(7)}", filler(400), None, "", "MIT License", f"{filler(20)} {mit.replace('free of charge', 'free of any charge')}",
+        "LICENSED UNDER CC BY-NC 4.0", f"{filler(90)}\n{full}\n{filler(900)}", full[: len(full) // 2], commented(full, "//"), commented(licenses.NOTICES["GPL-3.0"][1], " *"), commented(licenses.NOTICES["BSD-3-Clause"][1], "#"),
+        " ".join(w if rng.random() > 0.01 else "xx" for w in full.split()), f"{filler(40_000)} {licenses.NOTICES['ISC'][0]}", *(f"{filler(k)} {t} {filler(70 - k)}" for k, ts in enumerate(licenses.NOTICES.values()) for t in ts),
+    ]
+    rows = [*enumerate(texts), (7, texts[7]), (None, texts[1])]
+    got = collections.defaultdict(dict)
+    for r in licenses.scan(docs_of(rows).withColumn("license", F.lit(1))).collect():
+        got[r.doc_id][r.license] = round(r.containment, 9)
+    want = {i: {k: round(v, 9) for k, v in contained_by_hand(t).items()} for i, t in rows}
+    assert got == {i: v for i, v in want.items() if v}
+    assert all(x in got for x in (1, 8, 10, 11, 12, 14)) and not got.get(9, {}).get("ISC")
+    assert licenses.scan(docs_of(rows), {}).count() == 0
 
 
 def test_license_bands_meet_their_guarantee():
