@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.text import CACHE_WORDS, binary, mix, slices
+from talus.runtime import stage
 
 #: Hashed features.
 BITS = 20
-#: Bounds of the rows that the classifiers are fitted on.
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+#: Bounds of the rows that the classifiers are fitted on, unless given, and the share of the unlabelled ones that each classifier gets.
+MAX_POSITIVE, MAX_UNLABELLED, MEMBER_SHARE = 3000, 6000, 0.5
 #: What a feature needs to take part, and the shrinkage of a step.
 MIN_SHARE, MIN_LIFT, MIN_SIGMAS, SHRINK = 0.02, 3.0, 6.0, 0.003
 #: The loss is flat above this margin: a prior that is a little off then can't outweigh the clean rows.
@@ -83,13 +84,23 @@ class ToxicityModel:
     positives: int
 
 
+def speaking(toxic: np.ndarray, other: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The features that may speak for the positive class, of those in so many positive and unlabelled rows.
+
+    Such a feature is in three of the positive rows and MIN_SHARE of them, MIN_LIFT times as
+    frequent there as in unlabelled text and by MIN_SIGMAS standard deviations more often than
+    chance would have it.
+    """
+    expected = np.maximum(0.5, n_p * (other + 1) / (n_u + 1))
+    often = (toxic >= max(min(3, n_p), MIN_SHARE * n_p)) & (toxic - expected >= MIN_SIGMAS * np.sqrt(expected))
+    return np.flatnonzero(often & (toxic >= MIN_LIFT * expected))
+
+
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members: int = 3, rounds: int = 250) -> tuple[np.ndarray, float]:
-    """Mean weights and bias of `members` linear classifiers, each fitted on a random half of the unlabelled rows.
+    """Mean weights and bias of `members` linear classifiers, each fitted on the positive rows and MEMBER_SHARE of the unlabelled ones.
 
-    A feature speaks for the positive class if it is in three of its rows and MIN_SHARE of them,
-    MIN_LIFT times as frequent there as in unlabelled text and by MIN_SIGMAS standard deviations
-    more often than chance would have it; the others' weights stay 0. Weights
-    are held at 0 or more, so that no harmless word, however often it occurs, hides a toxic one.
+    Features that don't speak for the positive class have the weight 0. Weights are held at 0
+    or more, so that no harmless word, however often it occurs, hides a toxic one.
     """
     size = 1 << BITS
     weights, bias = np.zeros(size, np.float64), 0.0
@@ -98,16 +109,13 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members
     seen = {True: np.zeros(size), False: np.zeros(size)}
     for r, p in zip(rows, positive):
         seen[bool(p)][np.unique(r)] += 1
-    n_p, n_u = positive.sum(), (~positive).sum()
-    expected = np.maximum(0.5, n_p * (seen[False] + 1) / (n_u + 1))
-    often = (seen[True] >= max(min(3, n_p), MIN_SHARE * n_p)) & (seen[True] - expected >= MIN_SIGMAS * np.sqrt(expected))
-    known = np.flatnonzero(often & (seen[True] >= MIN_LIFT * expected))
+    known = speaking(seen[True], seen[False], int(positive.sum()), int((~positive).sum()))
     to = np.full(size, -1, np.int64)
     to[known] = np.arange(len(known))
     kept = [to[r][to[r] >= 0] for r in rows]
     for seed in range(members):
         rng = np.random.default_rng(seed)
-        chosen = np.flatnonzero(positive | (rng.random(len(rows)) < (0.5 if len(rows) > 2000 else 0.9)))
+        chosen = np.flatnonzero(positive | (rng.random(len(rows)) < MEMBER_SHARE))
         y, each = positive[chosen], [kept[i] for i in chosen]
         counts = np.array([len(x) for x in each])
         flat, owner = (np.concatenate(each) if len(each) else np.zeros(0, np.int64)), np.repeat(np.arange(len(each)), counts)
@@ -140,11 +148,15 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, members
     return weights.astype(np.float32), float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> ToxicityModel:
-    """Fit on rows whose crc32(doc_id as text) mod fold is not held, at most MAX_POSITIVE confirmed
-    toxic and MAX_UNLABELLED other ones, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicityModel:
+    """Fit on rows whose crc32(doc_id as text) mod fold is not held, at most max_positive confirmed
+    toxic and max_unlabelled other ones, chosen by a hash of the id.
 
-    The class prior is the toxic share of the training labels, between 0.005 and 0.5.
+    The class prior is the toxic share of the training labels, between 0.005 and 0.5. An id is
+    toxic if any of its labels says so; all rows of a chosen id take part, but copies, edited
+    ones too, count once. Null ids and labels are left out; null and empty texts have no
+    features; texts are read whole. Without toxic labels nothing is predicted toxic; an empty
+    table gives such a model too. Columns but doc_id, text and toxic are ignored.
     """
     fit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) != held
     order = F.xxhash64("doc_id", F.lit(17))
@@ -154,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> T
     prior = min(0.5, max(0.005, share.p / share.n if share.n else 0.05))
     toxic = marks.where("toxic = 1").select("doc_id")
     some = docs.where(F.col("doc_id").isNotNull() & fit).select("doc_id")
-    ids = toxic.orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("positive", F.lit(True)).unionByName(
-        some.distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("positive", F.lit(False))
+    ids = toxic.orderBy(order, "doc_id").limit(max_positive).withColumn("positive", F.lit(True)).unionByName(
+        some.distinct().orderBy(order, "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(False))
     )  # unlabelled text is a sample of all text, so some ids may be in both
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +176,32 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2) -> T
             found = [pa.array([f(t).tobytes() for t in texts], pa.binary()) for f in (text_features, signature)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), *found], ["doc_id", "positive", "features", "signature"])
 
-    # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    # at most max_positive + max_unlabelled ids
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = sorted(chosen.mapInArrow(features, "doc_id long, positive boolean, features binary, signature binary").collect(), key=lambda r: (r.doc_id, r.features))
-    each = [np.frombuffer(r.features, np.uint32) for r in rows]
-    sides = [[i for i, r in enumerate(rows) if r.positive == side] for side in (True, False)]
-    kept = [side[k] for side in sides for k in distinct_rows([np.frombuffer(rows[i].signature, np.uint64) for i in side])]
-    each, positive = [each[i] for i in kept], np.array([rows[i].positive for i in kept], bool)
-    weights, bias = fit_nnpu(each, positive, prior)
-    return ToxicityModel(weights, bias, prior, int(positive.sum()))
+    made = stage(chosen.mapInArrow(features, "doc_id long, positive boolean, features binary, signature binary").withColumn("key", F.xxhash64("doc_id", "positive", "features")), "tox-rows")
+    rows = sorted(made.select("doc_id", "positive", "key", "signature").collect(), key=lambda r: (r.doc_id, r.key))
+    sides = [[r for r in rows if r.positive == side] for side in (True, False)]
+    kept = {(r.positive, r.key) for side in sides for r in (side[k] for k in distinct_rows([np.frombuffer(r.signature, np.uint64) for r in side]))}
+
+    def each() -> Iterator[tuple[bool, np.ndarray]]:
+        """The kept rows, one after another: whole texts' features never lie on the driver together."""
+        seen = set()
+        for r in made.select("positive", "key", "features").toLocalIterator():
+            at = (r.positive, r.key)
+            if at in kept and at not in seen:
+                seen.add(at)
+                yield (*at, np.frombuffer(r.features, np.uint32))
+
+    seen, n = {True: np.zeros(1 << BITS), False: np.zeros(1 << BITS)}, {True: 0, False: 0}
+    for p, _, x in each():
+        seen[p][np.unique(x)] += 1
+        n[p] += 1
+    speaks = np.zeros(1 << BITS, bool)
+    if n[True] and n[False]:
+        speaks[speaking(seen[True], seen[False], n[True], n[False])] = True
+    short = sorted(((p, key, x[speaks[x]]) for p, key, x in each()), key=lambda r: (not r[0], r[1]))
+    weights, bias = fit_nnpu([x for _, _, x in short], np.array([p for p, _, _ in short], bool), prior)
+    return ToxicityModel(weights, bias, prior, n[True])
 
 
 class _Scorer(dict):
