@@ -330,7 +330,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         full = stage(full.dropDuplicates(["node"]), "dup-rows")
     # the class of equal sets, named by its smallest node
     classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
-    copies = stage(full.select("node", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("node <> rep").select("node", "rep"), "dup-copies")
+    # the copies of one text may be many: each class is dealt out in SALTS parts
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = full.select("node", "s1", "s2", "n_shingles", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = stage(salted.join(classes, ["s1", "s2", "n_shingles", "salt"]).where("node <> rep").select("node", "rep"), "dup-copies")
     others = full.join(copies, "node", "left_anti")
     keyed = others.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"), F.col("node").alias("component"))
 
