@@ -26,8 +26,8 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     return rates(cells)
 
 
-def sweep(scored: DataFrame, low: int, high: int, step: int, beta2: float = 1.0) -> DataFrame:
-    """Confusion and rates at thresholds low, low+step, ..., high (in ten-thousandths).
+def sweep(scored: DataFrame, low: int, high: int, step: int, beta2: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion and rates at thresholds low, low+step, ..., high (in ten-thousandths), for each value of the columns `by`.
 
     Scores are counted once by the highest threshold that they reach, and the few threshold
     rows are summed from above; rows are not repeated per threshold.
@@ -35,13 +35,14 @@ def sweep(scored: DataFrame, low: int, high: int, step: int, beta2: float = 1.0)
     n = (high - low) // step
     reached = F.floor((F.col("p") * 10000 - low) / step + 1e-9)
     bucket = F.greatest(F.lit(-1), F.least(F.lit(n), reached)).cast("int")
-    counts = scored.groupBy(bucket.alias("b")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    grid = scored.sparkSession.range(-1, n + 1).select(F.col("id").cast("int").alias("b"))
-    full = grid.join(counts, "b", "left").fillna(0, ["pos", "neg"])
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    cells = full.select("b", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("__p"), F.sum("neg").over(whole).alias("__n")).where("b >= 0")
-    cells = cells.select(((F.col("b") * step + low) / 10000).alias("threshold"), "tp", "fp", (F.col("__p") - F.col("tp")).alias("fn"), (F.col("__n") - F.col("fp")).alias("tn"))
+    counts = scored.groupBy(*by, bucket.alias("b")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(n))).alias("b")
+    grid = counts.select(*by).distinct().select(*by, steps) if by else scored.sparkSession.range(1).select(steps)
+    full = grid.join(counts, [*by, "b"], "left").fillna(0, ["pos", "neg"])
+    above = Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    cells = full.select(*by, "b", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("__p"), F.sum("neg").over(whole).alias("__n")).where("b >= 0")
+    cells = cells.select(*by, ((F.col("b") * step + low) / 10000).alias("threshold"), "tp", "fp", (F.col("__p") - F.col("tp")).alias("fn"), (F.col("__n") - F.col("fp")).alias("tn"))
     return rates(cells, beta2)
 
 
@@ -85,13 +86,13 @@ def composite(auc: Column, f1: Column, accuracy: Column) -> Column:
 
 
 def blend(scored: DataFrame, weights: list[int], low: int, high: int, step: int) -> DataFrame:
-    """The best threshold of each blend w*p1 + (1-w)*p2, w in hundredths."""
-    out = None
-    for w in weights:
-        mixed = scored.select("y", (F.col("p1") * (w / 100) + F.col("p2") * (1 - w / 100)).alias("p"))
-        one = best(sweep(mixed, low, high, step)).select(F.lit(w / 100).alias("weight"), "threshold", "f1", "accuracy")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The best threshold of each blend w*p1 + (1-w)*p2, w in hundredths: one scan, a count for each (weight, threshold)."""
+    w = F.col("w") / 100
+    each = scored.select("y", "p1", "p2", F.explode(F.array(*[F.lit(x) for x in weights])).alias("w"))
+    swept = sweep(each.select("y", "w", (F.col("p1") * w + F.col("p2") * (1 - w)).alias("p")), low, high, step, by=("w",))
+    first = Window.partitionBy("w").orderBy(F.desc(F.round("f1", 12)), F.asc("threshold"))
+    best_ = swept.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
+    return best_.select((F.col("w") / 100).alias("weight"), "threshold", "f1", "accuracy")
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, *by: str) -> DataFrame:
@@ -108,10 +109,11 @@ def gate(f1: Column) -> Column:
     return F.when(f1 >= 0.90, "approve").when(f1 >= 0.80, "pending").otherwise("skip")
 
 
-def implied_confusion(precision: float, recall: float, positives: int) -> tuple[int, int, int]:
+def implied_confusion(precision: Column, recall: Column, positives: Column) -> dict[str, Column]:
     """tp, fp, fn that published rates imply."""
-    tp = int(recall * positives)
-    return tp, int(tp / precision - tp) if precision else 0, positives - tp
+    tp = F.floor(recall * positives)
+    fp = F.coalesce(F.floor(F.try_divide(tp.cast("double"), F.nullif(precision, F.lit(0.0))) - tp), F.lit(0))
+    return {"tp": tp, "fp": fp, "fn": positives - tp}
 
 
 def importance_share(gains: DataFrame) -> DataFrame:

@@ -71,13 +71,17 @@ def is_night(ts: Column, last_hour: int = 6) -> Column:
     return (F.hour(ts) >= 22) | (F.hour(ts) <= last_hour)
 
 
+def shuffle_key(key: str, seed: int) -> Column:
+    """An order that only the key and the seed fix: the MD5 of "seed/key", which other engines compute alike."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+
+
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFrame:
     """A stratified fold number: rows of a label dealt out in hashed order."""
-    h = F.crc32(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    ranked = row_numbers(df.withColumn("__h", h), [F.col("__h"), F.col(key)], [label], "__rn")
+    ranked = row_numbers(df.withColumn("__h", shuffle_key(key, seed)), [F.col("__h"), F.col(key)], [label], "__rn")
     return ranked.withColumn("fold", F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__h", "__rn")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows that come first in hashed order; the same rows on any partitioning."""
-    return df.orderBy(F.crc32(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
+    return df.orderBy(shuffle_key(key, seed), key).limit(n)

@@ -9,9 +9,6 @@ from talus.functions.risk import hop_risk_level, weighted_label
 from talus.operators.components import connected_components
 from talus.runtime import stage
 
-#: Distances are searched to this many hops at most.
-HARD_CAP = 4
-
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions, distinct, without self-loops and null ends."""
@@ -71,14 +68,13 @@ def salted(edges: DataFrame, hot: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolated_seeds: bool = True, keys: tuple[str, ...] = (), written: bool = False) -> DataFrame:
-    """(keys..., node, hops): the least number of hops from any seed (node), up to max_hops.
+    """(keys..., node, hops): the least number of hops from any seed (node), up to max_hops, whatever that is.
 
     edges are symmetric. Each hop joins the frontier to the edges, drops what has a distance
     already and is written out, so no hop re-runs the ones before. keys (a fold, say) keep
     searches apart. Seeds without edges have distance 0 only if keep_isolated_seeds. Edges that
     are a written table already (written) are read from there, others are written out first.
     """
-    max_hops = min(max_hops, HARD_CAP)
     edges = edges if written else stage(edges.select("src", "dst"), "edges")
     ids = [*keys, "node"]
     start = seeds.select(*ids).distinct()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.risk import clipped
-from talus.operators import evaluate
+from talus.operators import evaluate, graph
 from talus.operators.events import folds
 from talus.runtime import stage
 
@@ -30,14 +34,57 @@ def weighted(df: DataFrame, label: str, weight: float) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, key: str, label: str, features: list[str], k: int = 5, weight: float = 1.0, trees: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fold, y, p): each row scored by the model that didn't see its fold."""
-    ready = stage(weighted(assembled(folds(df, key, label, k, seed), features), label, weight).select(key, "fold", F.col(label).cast("double").alias("label"), "features", "weight"), "ml-folds")
+    """(key, fold, y, p): each labelled row scored by the model that didn't see its fold.
+
+    Rows without a label are scored by the mean of all folds' models; their fold and y are null.
+    """
+    dealt = folds(df.where(F.col(label).isNotNull()), key, label, k, seed).unionByName(df.where(F.col(label).isNull()).withColumn("fold", F.lit(None).cast("int")))
+    ready = stage(weighted(assembled(dealt, features), label, weight).select(key, "fold", F.col(label).cast("double").alias("label"), "features", "weight"), "ml-folds")
     out = None
     for f in range(k):
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(ready.where(F.col("fold") != f))
-        one = model.transform(ready.where(F.col("fold") == f)).select(key, "fold", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+        one = model.transform(ready.where((F.col("fold") == f) | F.col("fold").isNull())).select(key, "fold", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.groupBy(key, "fold", "y").agg(F.avg("p").alias("p"))
+
+
+def fold_graph_features(nodes: DataFrame, key: str, label: str, edges: DataFrame, k: int, max_hops: int = 3) -> DataFrame:
+    """(for_fold, key, hops, listed): what the graph says of every node when a fold's labels are hidden.
+
+    The seeds of a fold are the positives of the other folds (nodes has key, label and fold; a row
+    without a label is never a seed). listed counts distinct neighbours that are seeds; hops is
+    the distance to the nearest seed but oneself: a seed next to another one has 1, any other
+    seed max_hops + 1, as a node that no seed reaches.
+    """
+    marks = nodes.where(F.col(label) == 1).select(F.col(key).alias("node"), F.col("fold").alias("own"))
+    seeds = stage(marks.withColumn("for_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("own <> for_fold").select("for_fold", "node"), "fold-seeds")
+    hops = graph.distances(edges, seeds, max_hops, keys=("for_fold",), written=True)
+    listed = edges.join(seeds.withColumnRenamed("node", "dst"), "dst").groupBy("for_fold", F.col("src").alias("node")).agg(F.count_distinct("dst").alias("listed"))
+    every = nodes.select(F.col(key).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("for_fold"))
+    joined = every.join(hops, ["for_fold", "node"], "left").join(listed, ["for_fold", "node"], "left")
+    n = F.coalesce("listed", F.lit(0))
+    far = F.when((F.col("hops") == 0) & (n > 0), 1).when(F.col("hops") == 0, max_hops + 1).otherwise(F.coalesce("hops", F.lit(max_hops + 1)))
+    return joined.select("for_fold", F.col("node").alias(key), far.alias("hops"), n.alias("listed"))
+
+
+def fold_aware(df: DataFrame, key: str, label: str, features: list[str], edges: DataFrame, k: int = 5, trees: int = 10, depth: int = 3, seed: int = 42, max_hops: int = 3) -> DataFrame:
+    """out_of_fold with graph features of each fold's own seeds, so that no row's label reaches its own score.
+
+    Rows without a label are scored by the mean of the folds' models, each with its fold's graph features.
+    """
+    dealt = folds(df.where(F.col(label).isNotNull()), key, label, k, seed).unionByName(df.where(F.col(label).isNull()).withColumn("fold", F.lit(None).cast("int")))
+    dealt = stage(dealt, "fold-rows")
+    edges = stage(edges.select("src", "dst"), "fold-edges")
+    of_graph = fold_graph_features(dealt, key, label, edges, k, max_hops)
+    ready = assembled(dealt.join(of_graph, key), [*features, "hops", "listed"]).select(key, "fold", "for_fold", F.col(label).cast("double").alias("label"), "features")
+    ready = stage(ready, "ml-folds")
+    out = None
+    for f in range(k):
+        rows = ready.where(F.col("for_fold") == f)
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(rows.where(F.col("fold") != f))
+        one = model.transform(rows.where((F.col("fold") == f) | F.col("fold").isNull())).select(key, "fold", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(key, "fold", "y").agg(F.avg("p").alias("p"))
 
 
 def importance(df: DataFrame, label: str, features: list[str], trees: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
@@ -71,7 +118,8 @@ def brier(df: DataFrame, p: str) -> Column:
 
 def perturbed(df: DataFrame, attack: str, strength: float, seed: int = 7) -> DataFrame:
     """Features as an attacker of that strength would leave them, within their bounds; the same on any partitioning."""
-    u = lambda k: F.pmod(F.xxhash64("user_id", F.lit(attack), F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    digits = lambda k: F.substring(F.md5(F.concat_ws("/", F.col("user_id").cast("string"), F.lit(f"{attack}/{k}/{seed}")).cast("binary")), 1, 8)
+    u = lambda k: F.conv(digits(k), 16, 10).cast("double") / float(1 << 32)
     gauss = F.sqrt(-2 * F.log(u(8) + 1e-12)) * F.cos(6.283185307179586 * u(9))
     changes = {
         "retention": {"min_retention_minutes": F.col("min_retention_minutes") + 20 + u(1) * 160 * strength},
@@ -123,6 +171,59 @@ def linear_contributions(df: DataFrame, key: str, label: str, features: list[str
     return ranked_contributions(scaled.select(key, F.array(*each).alias("contributions")), key, n)
 
 
+def tree_arrays(model: GBTClassificationModel) -> list[tuple[float, np.ndarray]]:
+    """Each tree's weight and its nodes as rows (feature or -1, threshold, left, right, prediction)."""
+    out = []
+    for tree, weight in zip(model.trees, model.treeWeights):
+        rows: list[list[float]] = []
+
+        def walk(node) -> int:
+            at = len(rows)
+            rows.append([-1.0, 0.0, 0.0, 0.0, float(node.prediction())])
+            if node.subtreeDepth() > 0:
+                split = node.split()
+                rows[at][:2] = [float(split.featureIndex()), float(split.threshold())]
+                rows[at][2], rows[at][3] = float(walk(node.leftChild())), float(walk(node.rightChild()))
+            return at
+
+        walk(tree._java_obj.rootNode())
+        out.append((float(weight), np.array(rows)))
+    return out
+
+
+def path_contributions(x: np.ndarray, trees: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """For each row and feature what its splits add to the margin, and the margin before any split.
+
+    Going down a tree, the change of the node's prediction belongs to the feature that it splits on.
+    """
+    out, base = np.zeros(x.shape), 0.0
+    rows = np.arange(len(x))
+    for weight, t in trees:
+        at, base = np.zeros(len(x), np.int64), base + weight * t[0, 4]
+        while (live := t[at, 0] >= 0).any():
+            r, node = rows[live], at[live]
+            f = t[node, 0].astype(np.int64)
+            after = np.where(x[r, f] <= t[node, 1], t[node, 2], t[node, 3]).astype(np.int64)
+            np.add.at(out, (r, f), weight * (t[after, 4] - t[node, 4]))
+            at[live] = after
+    return out, base
+
+
+def tree_contributions(df: DataFrame, key: str, model: GBTClassificationModel, features: list[str]) -> DataFrame:
+    """(key, margin, base, contributions): the boosted trees' margin, and what each feature adds to base to make it."""
+    shared = df.sparkSession.sparkContext.broadcast(tree_arrays(model))  # the size of the model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(batch.num_rows, len(features))
+            parts, base = path_contributions(x, shared.value)
+            each = pa.array([[{"feature": f, "contribution": float(v)} for f, v in zip(features, row)] for row in parts], pa.list_(pa.struct([("feature", pa.string()), ("contribution", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(base + parts.sum(axis=1)), pa.array(np.full(len(x), base)), each], [key, "margin", "base", "contributions"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return assembled(df, features).select(key, vector_to_array("features").alias("x")).mapInArrow(run, f"{key} {kind}, margin double, base double, contributions array<struct<feature:string,contribution:double>>")
+
+
 def ranked_contributions(df: DataFrame, key: str, n: int = 8) -> DataFrame:
     """Of an array of (feature, contribution), the n greatest by amount: rank, share in percent, direction."""
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + F.abs(x["contribution"]))
@@ -143,14 +244,16 @@ def retrain_due(feedback: DataFrame, limit: int = 50) -> DataFrame:
     return feedback.agg(F.count_if(F.col("verdict") == "FALSE_POSITIVE").alias("false_positives")).withColumn("retrain", F.col("false_positives") >= limit)
 
 
-def tuned(df: DataFrame, label: str, features: list[str], depths: tuple[int, ...] = (2, 3), steps: tuple[float, ...] = (0.1,), folds_: int = 2, seed: int = 42) -> DataFrame:
-    """Mean AUC of each parameter setting by cross-validation."""
+def tuned(
+    df: DataFrame, label: str, features: list[str], depths: tuple[int, ...] = (3, 5, 8), steps: tuple[float, ...] = (0.05, 0.3), gains: tuple[float, ...] = (0.0, 0.01), folds_: int = 3, trees: int = 10, seed: int = 42
+) -> DataFrame:
+    """Mean AUC of each setting of depth, step size and least gain of a split, by cross-validation."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    ready = assembled(df, features).select(F.col(label).cast("double").alias("label"), "features")
-    gbt = GBTClassifier(maxIter=3, seed=seed)
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(steps)).build()
-    found = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds_, seed=seed).fit(ready)
-    rows = [(int(g[gbt.maxDepth]), float(g[gbt.stepSize]), float(m)) for g, m in zip(grid, found.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "max_depth int, step_size double, auc double")
+    ready = stage(assembled(df, features).select(F.col(label).cast("double").alias("label"), "features"), "ml-tuning")
+    gbt = GBTClassifier(maxIter=trees, seed=seed)
+    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(steps)).addGrid(gbt.minInfoGain, list(gains)).build()
+    found = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds_, parallelism=4, seed=seed).fit(ready)
+    rows = [(int(g[gbt.maxDepth]), float(g[gbt.stepSize]), float(g[gbt.minInfoGain]), float(m)) for g, m in zip(grid, found.avgMetrics)]
+    return df.sparkSession.createDataFrame(rows, "max_depth int, step_size double, min_gain double, auc double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from talus.operators import evaluate, ml
+from talus.functions import risk
+from talus.operators import evaluate, graph, ml
 from talus.operators.events import folds
 from talus.plans import world as w
 from talus.plans.catalog import query
@@ -22,20 +24,28 @@ def _table(s, d):
 FEATURES = ["min_retention_minutes", "unique_ip_count", "night_tx_ratio", "total_twd_volume", "min_hops_to_blacklist"]
 
 
+def _partly(s, d):
+    """The table with the labels of a fifth of its rows hidden: those are to be scored."""
+    return _table(s, d).withColumn("label", F.when(F.pmod("user_id", F.lit(5)) > 0, F.col("label")))
+
+
 @query("ml1_out_of_fold")
 def ml1(s, d):
-    return ml.out_of_fold(_table(s, d), "user_id", "label", FEATURES, k=3, trees=3, depth=2)
+    return ml.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, k=5, trees=3, depth=3)
 
 
 @query("ml2_fold_aware_cv")
 def ml2(s, d):
-    scored = ml.out_of_fold(_table(s, d), "user_id", "label", FEATURES, k=2, trees=2, depth=2)
-    return evaluate.best(evaluate.sweep(scored, 500, 9400, 100)).select("threshold", "f1")
+    """Documents of one source and residue are neighbours; hops and listed neighbours come from each fold's own seeds."""
+    docs = table(s, d, "documents").select("doc_id", F.concat_ws("/", "source", F.pmod("doc_id", F.lit(7)).cast("string")).alias("k"))
+    edges = graph.symmetric(graph.shared_key_edges(docs, "k", "doc_id", cap=10))
+    plain = [f for f in FEATURES if f != "min_hops_to_blacklist"]
+    return ml.fold_aware(_partly(s, d), "user_id", "label", plain, edges, k=5, trees=3, depth=3)
 
 
 @query("ml3_weight_grid")
 def ml3(s, d):
-    return ml.weight_grid(_table(s, d), "user_id", "label", FEATURES, [1, 5], k=2, trees=2, depth=2)
+    return ml.weight_grid(_table(s, d), "user_id", "label", FEATURES, [1, 3, 5, 10, 20, 30], k=3, trees=3, depth=3)
 
 
 @query("ml4_composite", f"WITH {w.SCORED} SELECT doc_id, round(0.40*p+0.35*q+0.25*y,6) AS composite FROM scored")
@@ -68,9 +78,9 @@ def ml8b(s, d):
     return evaluate.average_precision(w.scored(s, d)).select(F.round("average_precision", 9).alias("average_precision"))
 
 
-@query("ml9_blend_search", f"WITH {w.SCORED}, w AS (SELECT unnest([50,70,100]) AS w), m AS (SELECT w, y, p*(w/100)+q*(1-w/100) AS p FROM scored, w), t AS (SELECT unnest(range(500,9500,100)) AS t), c AS (SELECT w, t/10000 AS threshold, count(*) FILTER (floor((p*10000-500)/100+1e-9)>=(t-500)/100 AND y=1) AS tp, count(*) FILTER (floor((p*10000-500)/100+1e-9)>=(t-500)/100 AND y=0) AS fp, count(*) FILTER (y=1) AS pos FROM m, t GROUP BY 1,2), f AS (SELECT w, threshold, 2*tp/(tp+fp+pos) AS f1 FROM c) SELECT w/100 AS weight, threshold, round(f1,6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY w ORDER BY round(f1,12) DESC, threshold)=1")
+@query("ml9_blend_search", f"WITH {w.SCORED}, w AS (SELECT unnest(range(50,101,5)) AS w), m AS (SELECT w, y, p*(w/100)+q*(1-w/100) AS p FROM scored, w), t AS (SELECT unnest(range(500,9500,100)) AS t), c AS (SELECT w, t/10000 AS threshold, count(*) FILTER (floor((p*10000-500)/100+1e-9)>=(t-500)/100 AND y=1) AS tp, count(*) FILTER (floor((p*10000-500)/100+1e-9)>=(t-500)/100 AND y=0) AS fp, count(*) FILTER (y=1) AS pos FROM m, t GROUP BY 1,2), f AS (SELECT w, threshold, 2*tp/(tp+fp+pos) AS f1 FROM c) SELECT w/100 AS weight, threshold, round(f1,6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY w ORDER BY round(f1,12) DESC, threshold)=1")
 def ml9(s, d):
-    return evaluate.blend(w.scored(s, d).select("y", F.col("p").alias("p1"), F.col("q").alias("p2")), [50, 70, 100], 500, 9400, 100).select("weight", "threshold", F.round("f1", 6).alias("f1"))
+    return evaluate.blend(w.scored(s, d).select("y", F.col("p").alias("p1"), F.col("q").alias("p2")), list(range(50, 101, 5)), 500, 9400, 100).select("weight", "threshold", F.round("f1", 6).alias("f1"))
 
 
 @query("ml10_fbeta_sweep", f"{SWEEP} SELECT threshold, round(coalesce(6*tp/nullif(6*tp+5*fn+fp,0),0),6) AS fbeta FROM r")
@@ -90,9 +100,29 @@ def ml12(s, d):
     return c.agg(ml.brier(c, "p").alias("before"), ml.brier(c, "calibrated").alias("after"))
 
 
-@query("ml13_perturbations")
+def _draw(k: int) -> str:
+    return f"(('0x'||substr(md5(user_id||'/combined/{k}/7'),1,8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _clip(name: str, x: str) -> str:
+    low, high = risk.BOUNDS[name]
+    return f"round(greatest({low}::DOUBLE, least({high}::DOUBLE, {x})), 6) AS {name}"
+
+
+PERTURBED = f"""
+WITH {w.SCORED}, t AS (
+  SELECT doc_id AS user_id, y AS label, p + y*0.4::DOUBLE AS r, q*10 AS i, ((doc_id*61)%97)/97.0::DOUBLE AS night, q*1000 AS v, (doc_id%5)::DOUBLE AS h
+  FROM scored)
+SELECT user_id, label, {_clip('min_retention_minutes', f"r + 20 + {_draw(1)}*160*0.5")}, {_clip('unique_ip_count', "greatest(1.0, i*0.5)")},
+  {_clip('night_tx_ratio', f"night + sqrt(-2*ln({_draw(8)} + 1e-12))*cos(6.283185307179586*{_draw(9)})*0.1*0.5")},
+  {_clip('total_twd_volume', f"v*(1-(0.05+{_draw(2)}*0.45*0.5))")}, {_clip('min_hops_to_blacklist', f"h + ceil({_draw(3)}*3*0.5)")}
+FROM t"""
+
+
+@query("ml13_perturbations", PERTURBED)
 def ml13(s, d):
-    return ml.perturbed(_table(s, d), "combined", 0.5)
+    out = ml.perturbed(_table(s, d), "combined", 0.5)
+    return out.select("user_id", "label", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 @query("ml14_robustness")
@@ -112,8 +142,16 @@ def ml16(s, d):
     return ml.ranked_contributions(c, "c_custkey", 1).select("c_custkey", "rank", "feature", F.round("share", 4).alias("share"))
 
 
-@query("ml16_linear_contributions")
+@query("ml16_tree_contributions")
 def ml16b(s, d):
+    """The attributions of the scoring model: boosted trees, by the paths that the rows take."""
+    t = _table(s, d)
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(ml.assembled(t, FEATURES).select(F.col("label").cast("double").alias("label"), "features"))
+    return ml.ranked_contributions(ml.tree_contributions(t, "user_id", model, FEATURES), "user_id", 8)
+
+
+@query("ml16_linear_contributions")
+def ml16c(s, d):
     return ml.linear_contributions(_table(s, d), "user_id", "label", FEATURES, 3)
 
 
@@ -122,9 +160,13 @@ def ml17(s, d):
     return w.scored(s, d).select("doc_id", evaluate.gate(F.col("p")).alias("gate"))
 
 
-@query("ml18_implied_confusion", "SELECT 544 AS tp, 1432 AS fp, 1096 AS fn")
+@query("ml18_implied_confusion", f"""{SWEEP}, m AS (SELECT threshold, coalesce(tp/nullif(tp+fp,0),0) AS p, coalesce(tp/nullif(tp+fn,0),0) AS r FROM r),
+i AS (SELECT threshold, CAST(floor(r*1640) AS BIGINT) AS tp, p FROM m)
+SELECT threshold, tp, CAST(coalesce(floor(tp/nullif(p,0)-tp),0) AS BIGINT) AS fp, 1640-tp AS fn FROM i""")
 def ml18(s, d):
-    return s.createDataFrame([evaluate.implied_confusion(0.2753, 0.3323, 1640)], "tp int, fp int, fn int")
+    """What the rates at each threshold would mean for 1,640 positives."""
+    swept = evaluate.sweep(w.scored(s, d), 1000, 9000, 100)
+    return swept.select("threshold", *[v.cast("long").alias(k) for k, v in evaluate.implied_confusion(F.col("precision"), F.col("recall"), F.lit(1640)).items()])
 
 
 @query("ml19_class_weights", "SELECT toxic, count(*) AS n, (SELECT count(*) FILTER (toxic=0) // nullif(count(*) FILTER (toxic=1),0) // 5 FROM labels) AS vote_weight FROM labels GROUP BY 1")
@@ -136,7 +178,7 @@ def ml19(s, d):
 
 @query("ml20_hyperparameters")
 def ml20(s, d):
-    return ml.tuned(_table(s, d), "label", FEATURES)
+    return ml.tuned(_table(s, d), "label", FEATURES, trees=3)
 
 
 @query("ml21_retrain_gate", "SELECT count(*) FILTER (quality=0) AS false_positives, count(*) FILTER (quality=0)>=50 AS retrain FROM labels")

@@ -327,14 +327,14 @@ def t6(s, d):
     return table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
 
 
-@query("t7_seeded_sample")
+@query("t7_seeded_sample", "SELECT doc_id FROM labels ORDER BY md5('42/'||doc_id), doc_id LIMIT 100")
 def t7(s, d):
     return events.seeded_sample(table(s, d, "labels"), "doc_id", 100).select("doc_id")
 
 
-@query("t8_stratified_folds")
+@query("t8_stratified_folds", "SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5('42/'||doc_id), doc_id) - 1) % 5 AS INT) AS fold FROM labels")
 def t8(s, d):
-    return events.folds(table(s, d, "labels"), "doc_id", "toxic", 5).groupBy("fold", "toxic").agg(F.count("*").alias("n"))
+    return events.folds(table(s, d, "labels"), "doc_id", "toxic", 5).select("doc_id", "toxic", "fold")
 
 
 @query("u1_union_all", f"{w.EVENTS} SELECT user_id, amount, 'twd' AS t FROM twd UNION ALL SELECT user_id, amount, 'crypto' FROM crypto UNION ALL SELECT user_id, amount, 'swap' FROM swaps")

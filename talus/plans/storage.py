@@ -51,60 +51,80 @@ def sc5(s, d):
 
 
 class _Local(rest.RestSource):
-    """The paged source over a generated store, for use without a network."""
+    """The paged source over a table's file instead of a network: url is file|offset|limit or file|cursor."""
 
     @classmethod
     def name(cls) -> str:
         return "talus_rest_local"
 
+    def schema(self) -> str:
+        return "c_custkey bigint, c_name string"
+
     @staticmethod
     def fetch(url):
         import json
 
-        offset, limit = (int(x) for x in url.split("/")[-2:])
-        rows = [{"user_id": i} for i in range(offset, min(250, offset + limit))]
-        return 200, {}, json.dumps({"data": rows, "total": 250})
+        import pyarrow.parquet as pq
+
+        file, at, *limit = url.split("|")
+        rows = pq.read_table(file, columns=["c_custkey", "c_name"]).sort_by("c_custkey")
+        offset, size = int(at or 0), int(limit[0]) if limit else 500
+        page = {"data": rows.slice(offset, size).to_pylist(), "total": rows.num_rows}
+        if not limit and offset + size < rows.num_rows:
+            page["nextCursor"] = offset + size
+        return 200, {}, json.dumps(page)
+
+
+CUSTOMERS = "SELECT c_custkey, c_name FROM customer"
 
 
-def _served(s, pages, **kw):
+def _served(s, d, size, **options):
     s.dataSource.register(_Local)
-    reader = s.read.format("talus_rest_local").option("url", "local/{offset}/{limit}").option("pagesize", pages)
-    for k, v in kw.items():
-        reader = reader.option(k, v)
-    return reader.load()
+    reader = s.read.format("talus_rest_local").option("url", f"{d}/customer.parquet|{{offset}}|{{limit}}").option("pagesize", size)
+    return reader.options(**options).load()
 
 
-@query("sc6_rest_single_page", "SELECT range AS user_id FROM range(250)")
+@query("sc6_rest_single_page", CUSTOMERS)
 def sc6(s, d):
-    return _served(s, 1000)
+    return _served(s, d, 1_000_000)
 
 
-@query("sc7_rest_offset_pages", "SELECT range AS user_id FROM range(250)")
+@query("sc7_rest_offset_pages", CUSTOMERS)
 def sc7(s, d):
-    return _served(s, 40)
+    return _served(s, d, 400, partitions=7)
 
 
-@query("sc8_rest_cursor_pages", "SELECT range AS user_id FROM range(30)")
+@query("sc8_rest_cursor_pages", CUSTOMERS)
 def sc8(s, d):
-    def page(cursor):
-        at = int(cursor or 0)
-        return {"data": [{"user_id": i} for i in range(at, at + 10)], "next": at + 10 if at < 20 else None}
+    """The stream reader: its cursor is the checkpoint's offset; the second run takes up where the first ended."""
+    from talus.streaming import pipelines as st
 
-    rows = [(r["user_id"],) for _, got in rest.cursor_pages(page) for r in got]
-    return s.createDataFrame(rows, "user_id long")
+    s.dataSource.register(_Local)
+    stream = s.readStream.format("talus_rest_local").option("url", f"{d}/customer.parquet|{{cursor}}").load()
+    out, at = new_path(s, "sc8"), new_path(s, "sc8-checkpoint")
+    for _ in range(2):
+        st.drained(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).start())
+    return s.read.schema(stream.schema).parquet(out)
 
 
-@query("sc9_retry_policy", "SELECT * FROM (VALUES (403,0,NULL),(429,0,30.0),(429,5,300.0),(500,3,8.0),(503,9,60.0)) t(status,attempt,wait)")
+@query("sc9_retry_policy", """
+SELECT o_orderkey, CASE s WHEN 429 THEN CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 50 ELSE least(300.0, 30.0 * 2 ** a) END WHEN 500 THEN least(60.0, 2.0 ** a) WHEN 503 THEN least(60.0, 2.0 ** a) END AS wait
+FROM (SELECT o_orderkey, [403, 404, 429, 500, 503, 400][CAST(o_orderkey % 6 AS INT) + 1] AS s, o_orderkey % 10 AS a FROM orders)""")
 def sc9(s, d):
-    return s.createDataFrame([(c, a, rest.wait_seconds(c, a)) for c, a in ((403, 0), (429, 0), (429, 5), (500, 3), (503, 9))], "status int, attempt int, wait double")
+    key = F.col("o_orderkey")
+    status = F.get(F.array(*[F.lit(x) for x in (403, 404, 429, 500, 503, 400)]), F.pmod(key, F.lit(6)).cast("int"))
+    after = F.when(key % 7 == 0, (key % 50).cast("string")).when(key % 7 == 1, "soon")
+    return table(s, d, "orders").select("o_orderkey", rest.wait_column(status, key % 10, after).alias("wait"))
 
 
-@query("sc10_catalog_registration", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@query("sc10_catalog_registration", "SELECT o_orderstatus, count(*) AS n, 3 AS partitions FROM orders GROUP BY 1")
 def sc10(s, d):
     p = new_path(s, "sc10")
-    sinks.partitioned(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), p, "o_orderstatus")
-    scans.register(s, "t_orders_registered", p)
-    return s.sql("SELECT o_orderstatus, count(*) AS n FROM t_orders_registered GROUP BY 1")
+    for statuses in (("O",), ("F", "P")):  # registered again when there are more partitions
+        sinks.partitioned(table(s, d, "orders").where(F.col("o_orderstatus").isin(*statuses)).select("o_orderkey", "o_orderstatus"), p, "o_orderstatus", mode="append")
+        scans.register(s, "t_orders_registered", p, "o_orderkey bigint", "o_orderstatus string")
+    found = s.sql("SHOW PARTITIONS t_orders_registered").agg(F.count("*").cast("int").alias("partitions"))
+    return s.sql("SELECT o_orderstatus, count(*) AS n FROM t_orders_registered GROUP BY 1").join(F.broadcast(found))  # one row
 
 
 @query("sc11_partition_discovery", "SELECT o_orderkey FROM orders WHERE o_orderstatus='O'")
@@ -135,9 +155,9 @@ def sc14(s, d):
     return scans.predictions(wide).select("user_id", "probability", F.col("contributions")["ip"].alias("shap"), F.col("features")["kyc"].alias("feature"))
 
 
-@query("sc15_snapshot", "SELECT o_orderkey FROM orders WHERE o_orderdate=(SELECT max(o_orderdate) FROM orders)")
+@query("sc15_snapshot", "SELECT o_orderkey FROM orders WHERE o_orderpriority=(SELECT max(o_orderpriority) FROM orders) ORDER BY o_orderkey LIMIT 40")
 def sc15(s, d):
-    return scans.snapshot(table(s, d, "orders"), "o_orderdate").select("o_orderkey")
+    return scans.snapshot(table(s, d, "orders"), "o_orderpriority", "o_orderkey", 40).select("o_orderkey")
 
 
 @query("sc16_key_lookup", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey=7")

@@ -39,14 +39,29 @@ def st4(s, d):
     return st.within_ttl(e, "ts", F.lit("2024-02-29").cast("timestamp"), 40).select("event_id")
 
 
-@query("st6_incident_states")
+@query("st6_incident_states", """
+WITH RECURSIVE a AS (
+  SELECT user_id AS incident_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'review' WHEN 'view' THEN 'confirm' ELSE 'dismiss' END AS action,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+  FROM events),
+r AS (
+  SELECT incident_id, seq, action, n, CASE action WHEN 'review' THEN 'UNDER_REVIEW' WHEN 'dismiss' THEN 'FALSE_POSITIVE' ELSE 'OPEN' END AS state,
+    CASE WHEN action IN ('review', 'dismiss') THEN 200 ELSE 409 END AS code
+  FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.incident_id, a.seq, a.action, a.n,
+    CASE WHEN r.state = 'OPEN' AND a.action = 'review' THEN 'UNDER_REVIEW' WHEN r.state = 'OPEN' AND a.action = 'dismiss' THEN 'FALSE_POSITIVE'
+      WHEN r.state = 'UNDER_REVIEW' AND a.action = 'confirm' THEN 'CONFIRMED' WHEN r.state = 'UNDER_REVIEW' AND a.action = 'dismiss' THEN 'FALSE_POSITIVE' ELSE r.state END,
+    CASE WHEN (r.state = 'OPEN' AND a.action IN ('review', 'dismiss')) OR (r.state = 'UNDER_REVIEW' AND a.action IN ('confirm', 'dismiss')) THEN 200 ELSE 409 END
+  FROM r JOIN a ON a.incident_id = r.incident_id AND a.n = r.n + 1)
+SELECT incident_id, seq, action, state, code FROM r""")
 def st6(s, d):
     e = table(s, d, "events")
     act = F.when(F.col("event_type") == "click", "review").when(F.col("event_type") == "view", "confirm").otherwise("dismiss")
     a = e.select((F.col("user_id")).alias("incident_id"), F.col("event_id").alias("seq"), act.alias("action"))
     p = new_path(s, "incidents-in")
-    a.coalesce(1).write.parquet(p)
-    return st.run_to_table(st.incident_states(st.file_stream(s, p, a.schema)))
+    a.repartition(3).write.parquet(p)  # several files, taken up by one batch
+    return st.run_to_table(st.incident_states(st.file_stream(s, p, a.schema, files_per_trigger=100)))
 
 
 @query("st8_error_alert", "SELECT count(*) AS total, count(*) FILTER (event_type='error') AS failed, round(count(*) FILTER (event_type='error')/count(*),6) AS rate, count(*) FILTER (event_type='error')/count(*)>=0.2 AS alert FROM events")
@@ -88,7 +103,10 @@ def st5(s, d):
     return s.read.schema(e.schema).parquet(out)
 
 
-@query("st7_pacing", "SELECT * FROM (VALUES (0,0.0::DOUBLE,1.0::DOUBLE),(1,1.1::DOUBLE,2.0::DOUBLE),(2,1.1::DOUBLE,4.0::DOUBLE),(3,1.1::DOUBLE,8.0::DOUBLE)) t(call,wait,retry)")
+@query("st7_pacing", """
+SELECT event_id, round(greatest(0.0, 1.1 - coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6, 1.1)), 6) AS wait,
+  round(least(30.0, 2.0 ** (event_id % 7)) * 1.5, 6) AS retry
+FROM events""")
 def st7(s, d):
-    rows = [(i, st.paced(0.0, None if i == 0 else 0.0), st.backoff(i)) for i in range(4)]
-    return s.createDataFrame(rows, "call int, wait double, retry double")
+    e = table(s, d, "events")
+    return st.paced(e, "user_id", "ts", "event_id").select("event_id", F.round("wait", 6).alias("wait"), F.round(st.backoff(F.pmod("event_id", F.lit(7)), share=0.5), 6).alias("retry"))

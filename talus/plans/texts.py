@@ -32,21 +32,90 @@ def x2(s, d):
     return c.select("c_custkey", F.array_join(F.map_keys(text.allowed_context(m)), ",").alias("kept"))
 
 
-@query("x3_feature_filter", "SELECT c_custkey, 1 AS kept FROM customer")
+@query("x3_feature_filter", """
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ip_anomaly,kyc_level' WHEN 1 THEN 'kyc_level' ELSE '' END AS kept, round(CASE c_custkey % 3 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE c_acctbal + 1 END, 2) AS total
+FROM customer""")
 def x3(s, d):
-    pair = lambda n: F.struct(F.lit(n).alias("feature"), F.lit(1.0).alias("value"))
-    return table(s, d, "customer").select("c_custkey", F.size(text.allowed_features(F.array(pair("ip_anomaly"), pair("source_ip_raw"), pair("user_email_hash")))).alias("kept"))
-
-
-@query("x5_credential_scan", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, 'generic_secret' AS rule, count(*) AS n FROM l WHERE NOT regexp_matches(line, '^\\s*(#|//)') AND regexp_matches(line, '(?i)(token|password|passwd|secret|api_key|apikey|private_key)\\s*=\\s*[\"'']?[^\"''\\s]{16,}') GROUP BY 1,2 UNION ALL SELECT doc_id, 'access_key', count(*) FROM l WHERE NOT regexp_matches(line, '^\\s*(#|//)') AND regexp_matches(line, '(^|[^A-Z0-9_])(AKIA|ASIA)[0-9A-Z]{16}([^A-Z0-9_]|$)') GROUP BY 1,2")
+    pair = lambda n, v: F.struct(n.alias("feature"), v.cast("double").alias("value"))
+    m = F.pmod("c_custkey", F.lit(3))
+    one = pair(F.when(m == 0, "ip_anomaly").otherwise("source_ip_raw"), F.col("c_acctbal"))
+    two = pair(F.when(m == 2, "user_email_hash").otherwise("kyc_level"), F.lit(1.0))
+    kept = text.allowed_features(F.array(one, pair(F.lit("full_name"), F.lit(5.0)), two))
+    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["value"])
+    return table(s, d, "customer").select("c_custkey", F.array_join(F.transform(kept, lambda x: x["feature"]), ",").alias("kept"), F.round(total, 2).alias("total"))
+
+
+@query("x4_span_redaction", """
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN '[REDACTED]' || substr(c_name, 9) ELSE substr(c_name, 1, 2) || '[REDACTED]' || substr(c_name, 6, 3) || '[REDACTED]' || substr(c_name, 13) END AS redacted
+FROM customer""")
+def x4(s, d):
+    span = lambda a, b: F.struct(F.lit(a).alias("begin"), F.lit(b).alias("end"))
+    m = F.pmod("c_custkey", F.lit(3))
+    spans = F.when(m == 1, F.array(span(0, 8))).when(m == 2, F.array(span(2, 5), span(8, 12)))
+    return table(s, d, "customer").select("c_custkey", text.redact_spans(F.col("c_name"), spans).alias("redacted"))
+
+
+#: Source lines made of the customers, of which some break each rule, as SQL; the documents' lines are scanned as they are.
+CODE_LINES = """
+SELECT c_custkey AS doc_id, CASE c_custkey % 8
+  WHEN 0 THEN 'token = "' || substr(sha256(c_name), 1, 20) || '"'
+  WHEN 1 THEN 'password = "your-' || substr(sha256(c_name), 1, 20) || '"'
+  WHEN 2 THEN 'aws_secret_access_key = "' || substr(sha256(c_name), 1, 40) || '"'
+  WHEN 3 THEN 'key: AKIA' || upper(substr(sha256(c_name), 1, 16)) || ' end'
+  WHEN 4 THEN '# token = "' || substr(sha256(c_name), 1, 20) || '"'
+  WHEN 5 THEN 'api_key = "' || substr(sha256(c_name), 1, 20) || '"  # example'
+  WHEN 6 THEN 'aws_access_key_id = "' || substr(sha256(c_name), 1, 20) || '"'
+  ELSE 'client.put(acl="x"); xAKIA_' || c_name END AS line
+FROM customer"""
+
+
+@query("x5_credential_scan", f"""
+WITH l AS (SELECT 'document' AS kind, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT 'code', * FROM ({CODE_LINES})),
+c AS (SELECT * FROM l WHERE NOT regexp_matches(line, '^\\s*#')),
+g AS (SELECT *, list_filter(regexp_extract_all(line, '(?i)(?:token|password|passwd|secret|api_key|apikey|private_key)\\s*=\\s*["'']([^"'']{{16,}})["'']', 1),
+  lambda v: NOT regexp_matches(v, '(?i)^(your|example|test|dummy|placeholder|change|replace|TODO|ACCOUNT_ID|REGION|xxx|<[^>]+>)')) AS secrets FROM c),
+r AS (
+  SELECT kind, doc_id, line, 'generic_secret' AS rule FROM g WHERE len(secrets) > 0
+  UNION ALL SELECT kind, doc_id, line, 'access_key' FROM c WHERE regexp_matches(line, '(^|[^A-Z0-9_])(AKIA|ASIA)[0-9A-Z]{{16}}([^A-Z0-9_]|$)')
+  UNION ALL SELECT kind, doc_id, line, 'secret_key' FROM c WHERE regexp_matches(line, '(?i)(aws_secret_access_key|secret_access_key|SecretAccessKey)\\s*[=:]\\s*["''][A-Za-z0-9/+]{{40}}["'']')
+  UNION ALL SELECT kind, doc_id, line, 'inline_credential' FROM c WHERE regexp_matches(line, '(?i)(aws_access_key_id|aws_secret_access_key)\\s*=\\s*["''][A-Za-z0-9/+=]{{16,}}["'']'))
+SELECT kind, doc_id, rule, CASE WHEN regexp_matches(line, '(?i)ACCOUNT_ID|your[-_]?(bucket|key|token|role)|placeholder|change[-_]?me|example|TODO|xxx|<FILL|REPLACE_ME') THEN 'WARN' ELSE 'FAIL' END AS severity, count(*) AS n
+FROM r GROUP BY ALL""")
 def x5(s, d):
-    found = text.scan_lines(text.lines_of(table(s, d, "documents")))
-    return found.where(F.col("rule").isin("generic_secret", "access_key")).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
-
-
-@query("x6_access_scan", "SELECT 0::BIGINT AS n")
+    h, name = F.sha2("c_name", 256), F.col("c_name")
+    part = lambda head, n, tail: F.concat(F.lit(head), F.substring(h, 1, n), F.lit(tail))
+    m = F.pmod("c_custkey", F.lit(8))
+    line = F.when(m == 0, part('token = "', 20, '"')).when(m == 1, part('password = "your-', 20, '"')).when(m == 2, part('aws_secret_access_key = "', 40, '"'))
+    line = line.when(m == 3, F.concat(F.lit("key: AKIA"), F.upper(F.substring(h, 1, 16)), F.lit(" end"))).when(m == 4, part('# token = "', 20, '"'))
+    line = line.when(m == 5, part('api_key = "', 20, '"  # example')).when(m == 6, part('aws_access_key_id = "', 20, '"')).otherwise(F.concat(F.lit('client.put(acl="x"); xAKIA_'), name))
+    code = table(s, d, "customer").select(F.lit("code").alias("kind"), F.col("c_custkey").alias("doc_id"), line.alias("line"))
+    lines = text.lines_of(table(s, d, "documents")).select(F.lit("document").alias("kind"), "doc_id", "line")
+    return text.scan_lines(lines.unionByName(code)).groupBy("kind", "doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("x6_access_scan", """
+WITH c AS (SELECT c_custkey AS id, c_custkey % 6 AS m, c_custkey % 5 AS k FROM customer)
+SELECT 'code' AS kind, id, 'public_acl' AS rule, 'FAIL' AS severity FROM c WHERE m IN (0, 1)
+UNION ALL SELECT 'template', id, CASE m WHEN 1 THEN 'block_missing' WHEN 2 THEN 'block_off' ELSE 'block_ok' END, CASE WHEN m IN (1, 2) THEN 'FAIL' ELSE 'INFO' END FROM c WHERE m < 4
+UNION ALL SELECT 'bucket', id, CASE k WHEN 0 THEN 'no_block' WHEN 1 THEN 'block_off' ELSE 'block_ok' END, CASE WHEN k < 2 THEN 'FAIL' ELSE 'INFO' END FROM c
+UNION ALL SELECT 'bucket', id, 'open_grant', 'FAIL' FROM c WHERE k IN (1, 3)
+UNION ALL SELECT 'bucket', id, 'any_principal', 'FAIL' FROM c WHERE k IN (2, 3)""")
 def x6(s, d):
-    return text.scan_lines(text.lines_of(table(s, d, "documents")), text.ACCESS).agg(F.count("*").alias("n"))
+    """Source lines, storage templates and buckets' settings made of the customers."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_custkey", F.lit(6)).alias("m"), F.pmod("c_custkey", F.lit(5)).alias("k"))
+    m, k = F.col("m"), F.col("k")
+    line = F.when(m == 0, "s3.put(CannedACL='public-read')").when(m == 1, '  {"acl": "public-read-write"}').when(m == 2, "# CannedACL = 'public-read'").otherwise("acl: private, public-read")
+    code = text.scan_lines(c.select("id", line.alias("line")), (("public_acl", text.PUBLIC_ACL),)).select(F.lit("code").alias("kind"), "id", "rule", F.lit("FAIL").alias("severity"))
+    bucket = "Type: AWS::S3::Bucket\n"
+    block = lambda v: bucket + "PublicAccessBlockConfiguration:\n" + "".join(f"  {n}: {v if n == 'BlockPublicPolicy' else 'true'}\n" for n in text.BLOCK_SETTINGS)
+    body = F.when(m == 0, block("true")).when(m == 1, block("true") + bucket).when(m == 2, block("False")).when(m == 3, block("true") * 2).otherwise("Type: AWS::SQS::Queue")
+    templates = text.template_findings(c.select("id", body.alias("text")), "id").select(F.lit("template").alias("kind"), "id", "rule", "severity")
+    on = lambda last: F.create_map(*[x for n in text.BLOCK_SETTINGS for x in (F.lit(n), last if n == text.BLOCK_SETTINGS[-1] else F.lit(True))])
+    grants = F.array(F.struct(F.when(k.isin(1, 3), "http://acs.example/groups/AllUsers").otherwise("owner").alias("uri"), F.lit("READ").alias("permission")))
+    policy = F.array(F.struct(F.when(k == 4, "Deny").otherwise("Allow").alias("effect"), F.when(k.isin(2, 3, 4), "*").otherwise("somebody").alias("principal")))
+    config = F.to_json(F.struct(F.when(k > 0, on(k != 1)).alias("settings"), grants.alias("grants"), policy.alias("policy")))
+    buckets = text.bucket_findings(c.select("id", config.alias("config")), "id").select(F.lit("bucket").alias("kind"), "id", "rule", "severity")
+    return code.unionByName(templates).unionByName(buckets)
 
 
 @query("x7_narrative", f"WITH {w.SCORED} SELECT doc_id, CASE WHEN p>0.5 THEN 'funds stayed only ' ELSE 'funds stayed ' END||printf('%.2f',q*100)||' minutes' AS sentence FROM scored")

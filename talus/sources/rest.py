@@ -10,14 +10,20 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-#: Pages read at most: by offset, by cursor.
+#: Pages read at most, unless given: by offset, by cursor. A source with more raises.
 MAX_OFFSET_PAGES, MAX_CURSOR_PAGES = 500, 2000
 ATTEMPTS = 3
 
 
+class IncompleteRead(RuntimeError):
+    """A page failed, or there are more pages than the reader may take."""
+
+
 def wait_seconds(status: int, attempt: int, retry_after: str | None = None, base: float = 1.0) -> float | None:
     """How long to wait before trying again; None: don't. 403 and 404 are final."""
     if status in (403, 404):
@@ -31,6 +37,13 @@ def wait_seconds(status: int, attempt: int, retry_after: str | None = None, base
     return None
 
 
+def wait_column(status: Column, attempt: Column, retry_after: Column, base: float = 1.0) -> Column:
+    """wait_seconds for rows of a table of answers."""
+    grown = lambda start, cap: F.least(F.lit(cap), F.lit(start) * F.pow(F.lit(2.0), attempt))
+    asked = F.when(retry_after.rlike("^[0-9]+$"), retry_after.try_cast("double"))
+    return F.when(status.isin(403, 404), F.lit(None)).when(status == 429, F.coalesce(asked, grown(30.0, 300.0))).when(status >= 500, grown(base, 60.0))
+
+
 def urllib_fetch(url: str) -> tuple[int, dict, str]:
     import urllib.error
     import urllib.request
@@ -67,11 +80,17 @@ def cursor_of(page: dict | list | None) -> str | None:
     return next((str(page[k]) for k in ("next", "nextCursor", "cursor") if page.get(k)), None)
 
 
-def offset_pages(get_page: Callable[[int, int], dict | list | None], size: int, first: int = 0, max_pages: int = MAX_OFFSET_PAGES) -> Iterator[list[dict]]:
-    """Pages from an offset on, until one is short, empty or the total is reached; a failed page ends it."""
+def offset_pages(get_page: Callable[[int, int], dict | list | None], size: int, first: int = 0, max_pages: int = MAX_OFFSET_PAGES, partial: bool = False, last: bool = True) -> Iterator[list[dict]]:
+    """Pages from an offset on, until one is short, empty or the total is reached.
+
+    A failed page, or a page beyond max_pages, raises; with partial what came before it stays
+    and the read ends. A reader of some of the pages (not last) ends after max_pages.
+    """
     offset = first
     for _ in range(max_pages):
         page = get_page(offset, size)
+        if page is None and not partial:
+            raise IncompleteRead(f"the page at offset {offset} failed")
         rows = rows_of(page)
         if not rows:
             return
@@ -80,26 +99,32 @@ def offset_pages(get_page: Callable[[int, int], dict | list | None], size: int,
         total = page.get("total") if isinstance(page, dict) else None
         if len(rows) < size or (total is not None and offset >= int(total)):
             return
+    if last and not partial and rows_of(get_page(offset, size)):
+        raise IncompleteRead(f"more than {max_pages} pages")
 
 
-def cursor_pages(get_page: Callable[[str | None], dict | list | None], cursor: str | None = None, max_pages: int = MAX_CURSOR_PAGES) -> Iterator[tuple[str | None, list[dict]]]:
-    """(next cursor, rows) from a cursor on, until there is no next one."""
+def cursor_pages(get_page: Callable[[str | None], dict | list | None], cursor: str | None = None, max_pages: int = MAX_CURSOR_PAGES, partial: bool = False) -> Iterator[tuple[str | None, list[dict]]]:
+    """(next cursor, rows) from a cursor on, until there is no next one; failed or too many pages raise unless partial."""
     for _ in range(max_pages):
         page = get_page(cursor)
+        if page is None and not partial:
+            raise IncompleteRead(f"the page at cursor {cursor} failed")
         rows, cursor = rows_of(page), cursor_of(page)
         if rows:
             yield cursor, rows
         if not rows or not cursor:
             return
+    if not partial:
+        raise IncompleteRead(f"more than {max_pages} pages")
 
 
 class _Offsets(InputPartition):
-    def __init__(self, first: int, pages: int):
-        self.first, self.pages = first, pages
+    def __init__(self, first: int, pages: int, last: bool):
+        self.first, self.pages, self.last = first, pages, last
 
 
 class RestSource(DataSource):
-    """format("talus_rest"): options url (with {offset} and {limit}, or {cursor}), pagesize, partitions."""
+    """format("talus_rest"): options url (with {offset} and {limit}, or {cursor}), pagesize, partitions, maxpages, partial."""
 
     fetch: Callable = staticmethod(urllib_fetch)
 
@@ -127,13 +152,14 @@ class _Reader(DataSourceReader):
         self.size = int(options.get("pagesize", "100"))
 
     def partitions(self) -> list[InputPartition]:
-        n = int(self.options.get("partitions", "1"))
-        pages = MAX_OFFSET_PAGES // n
-        return [_Offsets(k * pages * self.size, pages) for k in range(n)]
+        n, pages = int(self.options.get("partitions", "1")), int(self.options.get("maxpages", MAX_OFFSET_PAGES))
+        starts = [pages * k // n for k in range(n + 1)]
+        return [_Offsets(x * self.size, y - x, y == pages) for x, y in zip(starts, starts[1:]) if y > x]
 
     def read(self, partition: _Offsets) -> Iterator[tuple]:
         page = lambda offset, limit: get(self.options["url"].replace("{offset}", str(offset)).replace("{limit}", str(limit)), self.fetch)
-        for rows in offset_pages(page, self.size, partition.first, partition.pages):
+        partial = self.options.get("partial", "false").lower() == "true"
+        for rows in offset_pages(page, self.size, partition.first, partition.pages, partial, partition.last):
             yield from (_row(self.schema, r) for r in rows)
 
 
@@ -153,13 +179,17 @@ class _Stream(SimpleDataSourceStreamReader):
         if start["done"]:
             return iter([]), start
         page = self._page(start["cursor"])
+        if page is None:
+            raise IncompleteRead(f"the page at cursor {start['cursor']} failed")
         after = cursor_of(page)
         return iter([_row(self.schema, r) for r in rows_of(page)]), {"cursor": after or start["cursor"], "done": 0 if after else 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         cursor = start["cursor"]
-        for _ in range(MAX_CURSOR_PAGES):
+        while True:
             page = self._page(cursor)
+            if page is None:
+                raise IncompleteRead(f"the page at cursor {cursor} failed")
             yield from (_row(self.schema, r) for r in rows_of(page))
             cursor = cursor_of(page)
             if not cursor or cursor == end["cursor"]:

@@ -38,8 +38,7 @@ def raw_table(spark: SparkSession, path: str, name: str, scale: bool = True) ->
 
 def latest_partition(df: DataFrame, column: str = "dt") -> DataFrame:
     """The rows of the newest partition; the filter is a scalar subquery on the partition column."""
-    newest = df.agg(F.max(column).alias("m")).first()["m"]
-    return df.where(F.col(column) == F.lit(newest))
+    return df.where(F.col(column) == df.agg(F.max(column)).scalar())
 
 
 def parquet(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
@@ -62,11 +61,10 @@ def by_keys(df: DataFrame, key: str, values: list) -> DataFrame:
     return asked.join(df, key, "left").orderBy("pos")
 
 
-def snapshot(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
-    """The rows of the greatest value of the column, at most n of them in key order."""
-    top = df.agg(F.max(column).alias("__m"))
-    out = df.join(F.broadcast(top), F.col(column) == F.col("__m")).drop("__m")  # one row
-    return out.limit(n) if n is not None else out
+def snapshot(df: DataFrame, column: str, key: str, n: int | None = None) -> DataFrame:
+    """The rows of the greatest value of the column; with n, the first n of them in the order of the key."""
+    out = df.where(F.col(column) == df.agg(F.max(column)).scalar())
+    return out.orderBy(key).limit(n) if n is not None else out
 
 
 def predictions(df: DataFrame, prefix: str = "shap_", fixed: tuple[str, ...] = ("user_id", "probability", "status")) -> DataFrame:
@@ -90,8 +88,13 @@ def load_all(spark: SparkSession, path: str, names: list[str]) -> dict[str, Data
     return found
 
 
-def register(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A view over a folder of Parquet files with its partitions found."""
-    df = spark.read.parquet(path)
-    df.createOrReplaceTempView(name)
-    return df
+def register(spark: SparkSession, name: str, path: str, columns: str, partitions: str) -> DataFrame:
+    """A catalog table over a folder of Parquet files, with partition keys; all partitions there are found.
+
+    A table of that name that is there already is replaced; its files stay.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    keys = ", ".join(part.split()[0] for part in partitions.split(","))
+    spark.sql(f"CREATE TABLE {name} ({columns}, {partitions}) USING parquet PARTITIONED BY ({keys}) LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)

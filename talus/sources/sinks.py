@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from talus.functions.clean import encode_values
 
 
-def partitioned(df: DataFrame, path: str, *columns: str) -> None:
-    df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+def partitioned(df: DataFrame, path: str, *columns: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).partitionBy(*columns).parquet(path)
 
 
 def bounded_parts(df: DataFrame, path: str, rows: int = 500_000) -> None:
@@ -72,13 +73,28 @@ def manifest(df: DataFrame) -> str:
 
 
 def with_fallback(df: DataFrame, path: str, fallback: str) -> str:
-    """Write Parquet to path; where that can't be written, CSV to the fallback. Gives the place written."""
-    try:
+    """Write Parquet to path; where that place can't be written, CSV to the fallback. Gives the place written.
+
+    Only the place is tried: a query that fails raises and isn't run again.
+    """
+    if can_write(df.sparkSession, path):
         df.write.mode("overwrite").parquet(path)
         return path
-    except Exception:  # noqa: BLE001
-        df.write.mode("overwrite").option("header", True).csv(fallback)
-        return fallback
+    df.write.mode("overwrite").option("header", True).csv(fallback)
+    return fallback
+
+
+def can_write(spark, path: str) -> bool:
+    """Whether a folder beside the path can be made and deleted, by whatever file system it names."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        probe = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-probe-{uuid.uuid4().hex}")
+        system = probe.getFileSystem(conf)
+        return bool(system.mkdirs(probe) and system.delete(probe, True))
+    except Py4JJavaError:
+        return False
 
 
 def mark_done(spark, path: str, stage_name: str, detail: str = "") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +18,12 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def drained(query) -> None:
+    """Wait until a running query has taken up all that its source has, then stop it."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Run a stream over what is there and give the written rows."""
     spark = stream.sparkSession
@@ -31,23 +37,50 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_latest(stream: DataFrame, key: str, *order: str) -> DataFrame:
-    """Keep the latest row per key over all batches: each batch is merged with the table before it.
+def upsert_latest(stream: DataFrame, key: str, *order: str, path: str | None = None, checkpoint: str | None = None, buckets: int = 16) -> DataFrame:
+    """Keep the latest row per key over all batches, in a table below path that later calls take up again.
 
-    A batch writes the table of its own number, so a batch that is run again writes the same.
+    The table is dealt into buckets by a hash of the key. A batch merges and writes only the
+    buckets that it touches, as bucket=b/batch=n; the newest batch of a bucket holds it whole, so
+    a batch that runs again writes the same. Which batches there are is read from storage, so a
+    stopped job goes on where its checkpoint and its table say.
     """
     spark = stream.sparkSession
-    base, checkpoint = new_path(spark, "latest"), new_path(spark, "latest-checkpoint")
-    done: set[int] = set()
+    base, checkpoint = path or new_path(spark, "latest"), checkpoint or new_path(spark, "latest-checkpoint")
+    schema = stream.schema
+
+    def newest(before: int | None = None) -> list[str]:
+        """The folders of the buckets' newest batches: as many as there are buckets."""
+        found: dict[int, int] = {}
+        for bucket, number in _batches_of(spark, base):
+            if before is None or number < before:
+                found[bucket] = max(number, found.get(bucket, -1))
+        return [f"{base}/bucket={b}/batch={n}" for b, n in sorted(found.items())]
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = max((n for n in done if n < number), default=None)
-        rows = batch if before is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{base}/{before}"))
-        latest(rows, key, *order).write.mode("overwrite").parquet(f"{base}/{number}")
-        done.add(number)
+        part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", part)
+        touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # `buckets` values at most
+        old = [p for p in newest(number) if int(p.split("bucket=")[1].split("/")[0]) in touched]
+        if old:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(*old).withColumn("bucket", part))
+        out = latest(rows, key, *order).withColumn("batch", F.lit(number))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(base)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
+    paths = newest()
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _batches_of(spark: SparkSession, base: str) -> list[tuple[int, int]]:
+    """The (bucket, batch) folders below base that hold files."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for folder in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/bucket=*/batch=*")) or []:
+        bucket, batch = folder.getPath().toString().rsplit("/", 2)[1:]
+        out.append((int(bucket.removeprefix("bucket=")), int(batch.removeprefix("batch="))))
+    return out
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, delay: str, *by: str) -> DataFrame:
@@ -100,12 +133,13 @@ def within_ttl(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
     return df.where(F.unix_timestamp(F.col(ts).cast("timestamp")) + days * 86400 > F.unix_timestamp(as_of))
 
 
-def paced(now: float, last: float | None, least: float = 1.1, jitter: float = 0.0) -> float:
-    """Seconds to wait before the next call of a rate-limited service, at least `least` after the last one."""
-    return 0.0 if last is None else max(0.0, last + least + jitter - now)
+def paced(calls: DataFrame, key: str, ts: str, *ties: str, least: float = 1.1) -> DataFrame:
+    """calls with wait: the seconds that a call waits so that at least `least` lie between it and the key's call before."""
+    from talus.operators.events import gaps
+
+    return gaps(calls, key, ts, *ties).withColumn("wait", F.coalesce(F.greatest(F.lit(0.0), F.lit(least) - F.col("gap_seconds")), F.lit(0.0))).drop("gap_seconds")
 
 
-def backoff(attempt: int, base: float = 1.0, cap: float = 30.0, share: float = 0.0) -> float:
+def backoff(attempt: Column, base: float = 1.0, cap: float = 30.0, share: float = 0.0) -> Column:
     """Exponential waits up to the cap, lengthened by a share (0 to 1) of themselves."""
-    wait = min(cap, base * 2**attempt)
-    return wait + share * wait
+    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt)) * (1 + share)

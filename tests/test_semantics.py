@@ -174,6 +174,114 @@ def test_scaling_and_parsing(spark):
     assert [r[0] for r in t.select(clean.truth(F.col("t"))).collect()] == [True, False, None]
 
 
+def test_more_hops_than_three(spark):
+    e = edges_of(spark, [(i, i + 1) for i in range(1, 12)] + [(3, 20), (20, 21)])
+    want = {1: 0, 2: 1, 3: 2, 4: 3, 20: 3, 5: 4, 21: 4, 6: 5, 7: 6}
+    for f in (graph.distances, graph.distances_recursive):
+        assert dict(rows(f(e, nodes_of(spark, [1]), max_hops=6), "node", "hops")) == want
+
+
+def test_reads_that_are_not_whole_raise():
+    page = lambda o, n: [{"i": k} for k in range(o, min(25, o + n))]
+    assert sum(len(p) for p in rest.offset_pages(page, 5, max_pages=5)) == 25
+    with pytest.raises(rest.IncompleteRead):
+        list(rest.offset_pages(page, 5, max_pages=4))
+    assert sum(len(p) for p in rest.offset_pages(page, 5, max_pages=4, partial=True)) == 20
+    failing = lambda o, n: None if o else page(o, n)
+    with pytest.raises(rest.IncompleteRead):
+        list(rest.offset_pages(failing, 10))
+    assert [len(p) for p in rest.offset_pages(failing, 10, partial=True)] == [10]
+    by_cursor = lambda c: {"data": page(int(c or 0), 5), "next": int(c or 0) + 5 if int(c or 0) < 20 else None}
+    assert sum(len(r) for _, r in rest.cursor_pages(by_cursor)) == 25
+    with pytest.raises(rest.IncompleteRead):
+        list(rest.cursor_pages(by_cursor, max_pages=3))
+    with pytest.raises(rest.IncompleteRead):
+        list(rest.cursor_pages(lambda c: None))
+
+
+def test_waits_of_a_table_equal_the_function(spark):
+    data = [(c, a, h) for c in (400, 403, 404, 429, 500, 503) for a in (0, 1, 5, 9) for h in (None, "7", "soon")]
+    d = spark.createDataFrame(data, "c int, a int, h string")
+    got = [r[0] for r in d.select(rest.wait_column(F.col("c"), F.col("a"), F.col("h"))).collect()]
+    assert got == [rest.wait_seconds(*x) for x in data]
+
+
+def test_upsert_goes_on_after_a_stop(spark, tmp_path):
+    schema = "k long, at long, v string"
+    table, mark, src = (f"{tmp_path}/{x}" for x in ("table", "mark", "in"))
+    want = {}
+    for turn, batch in enumerate(([(i, 1, "a") for i in range(40)], [(i, 2, "b") for i in range(5)] + [(99, 1, "new")], [(3, 0, "old")])):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        for k, at, v in batch:
+            want[k] = max(want.get(k, (-1, "")), (at, v))
+        got = pipelines.upsert_latest(pipelines.file_stream(spark, src, schema), "k", "at", path=table, checkpoint=mark, buckets=4)
+        assert {r.k: (r["at"], r.v) for r in got.collect()} == want
+        files = {p for _, p in pipelines._batches_of(spark, table)}
+        assert files == set(range(turn + 1))
+    assert len([1 for b, n in pipelines._batches_of(spark, table) if n == 2]) == 1  # the last batch rewrote its one bucket only
+
+
+def test_a_failing_query_is_not_written_elsewhere(spark, tmp_path):
+    from talus.sources import sinks
+
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.with_fallback(bad, f"{tmp_path}/a", f"{tmp_path}/b")
+    assert not (tmp_path / "b").exists()
+
+
+def test_tree_contributions_add_up_to_the_margin(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(3)
+    data = [(i, r.random(), r.random(), r.random()) for i in range(300)]
+    d = spark.createDataFrame([(i, a, b, c, int(a + 0.3 * b > 0.7)) for i, a, b, c in data], "id long, a double, b double, c double, y int")
+    ready = ml.assembled(d, ["a", "b", "c"])
+    model = GBTClassifier(maxIter=6, maxDepth=4, seed=1).fit(ready.select(F.col("y").cast("double").alias("label"), "features"))
+    margins = {x.id: x.m for x in model.transform(ready).select("id", (vector_to_array("rawPrediction")[1]).alias("m")).collect()}
+    got = ml.tree_contributions(d, "id", model, ["a", "b", "c"]).collect()
+    for x in got:
+        assert math.isclose(x.margin, margins[x.id], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(x.base + sum(c.contribution for c in x.contributions), x.margin, rel_tol=1e-9, abs_tol=1e-9)
+    size = {f: sum(abs(c.contribution) for x in got for c in x.contributions if c.feature == f) for f in "abc"}
+    assert size["a"] > size["b"] > size["c"]
+
+
+def test_fold_aware_features_hide_a_folds_labels(spark):
+    """A pair of neighbours has the same label and else nothing to tell it by: seeds of all rows would give it away."""
+    n, k = 120, 3
+    rows_ = [(i, int(i % 8 in (0, 1)), 0.0) for i in range(n)]
+    d = spark.createDataFrame(rows_, "id long, y int, x double")
+    dealt = events.folds(d, "id", "y", k)
+    edges = edges_of(spark, [(i, i + 1) for i in range(0, n, 2)]).where("src < 1000")
+    of_fold = {r.id: r.fold for r in dealt.collect()}
+    got = {(r.for_fold, r.id): (r.hops, r.listed) for r in ml.fold_graph_features(dealt, "id", "y", edges, k).collect()}
+    assert len(got) == n * k
+    for (f, i), (hops, listed) in got.items():
+        other = i + 1 if i % 2 == 0 else i - 1
+        seed = rows_[other][1] == 1 and of_fold[other] != f
+        assert (hops, listed) == ((1, 1) if seed else (4, 0))
+    scored = {r.id: r.p for r in ml.fold_aware(d, "id", "y", ["x"], edges, k=k, trees=2, depth=2).collect()}
+    leaky = ml.fold_graph_features(dealt.withColumn("fold", F.lit(-1)), "id", "y", edges, 1).select("id", "hops", "listed")
+    plain = {r.id: r.p for r in ml.out_of_fold(d.join(leaky, "id"), "id", "y", ["x", "hops", "listed"], k=k, trees=2, depth=2).collect()}
+    hidden = [i for i, y, _ in rows_ if y == 1 and of_fold[i + 1 if i % 2 == 0 else i - 1] == of_fold[i]]
+    assert hidden and all(plain[i] > 0.5 > scored[i] for i in hidden)
+
+
+def test_rows_without_a_label_get_the_folds_mean(spark):
+    d = spark.createDataFrame([(i, None if i % 5 == 0 else int(i % 3 == 0), float(i % 3)) for i in range(90)], "id long, y int, x double")
+    got = ml.out_of_fold(d, "id", "y", ["x"], k=3, trees=2, depth=2).collect()
+    assert sorted(r.id for r in got) == list(range(90))
+    assert all((r.fold is None) == (r.y is None) == (r.id % 5 == 0) for r in got)
+    assert all((r.p > 0.5) == (r.id % 3 == 0) for r in got)
+
+
+def test_spans_are_replaced_from_the_back(spark):
+    d = spark.createDataFrame([("Ann Lee, Main St 5", [(0, 7), (9, 18)]), ("none", []), ("null", None), ("ab", [(1, 1)])], "t string, s array<struct<begin:int,end:int>>")
+    assert [r[0] for r in d.select(text.redact_spans(F.col("t"), F.col("s"))).collect()] == ["[REDACTED], [REDACTED]", "none", "null", "a[REDACTED]b"]
+
+
 def test_pages_and_retries():
     short = list(rest.offset_pages(lambda o, n: [{"i": k} for k in range(o, min(25, o + n))], 10))
     assert [len(p) for p in short] == [10, 10, 5]
