@@ -49,7 +49,7 @@ GROUPS = 8
 #: Rows of the hashed weight table.
 FEATURE_ROWS = 1 << 12
 #: Bits of the hash that name a cell at most, and distinct tokens per cell.
-CELL_BITS, CELL_TYPES = 8, 128
+CELL_BITS, CELL_TYPES = 8, 512
 #: Entries of a bucket, about.
 BUCKET_TYPES = 1 << 20
 #: Distinct tokens of a block from which on it is closed.
@@ -60,7 +60,7 @@ ADD = 0.1
 END = b" "  # no word has a space
 ROUNDS = 24
 #: Partial sums that one task adds up, and tasks of a round (its work is bounded by the size of the model).
-FAN, TASKS = 32, 16
+FAN, TASKS = 32, 8
 
 
 class _Block(dict):
@@ -413,7 +413,10 @@ class Model:
 
     def by_context(self, codes: np.ndarray) -> np.ndarray:
         """What the features but the word row add up to, for each class."""
-        return self.prior + self.hashed[features(codes)].sum(axis=0)
+        out = np.empty((len(codes), CLASSES), np.float32)
+        for x in range(0, len(codes), 1024):
+            out[x : x + 1024] = self.prior + self.hashed[features(codes[x : x + 1024])].sum(axis=0)
+        return out
 
     def cell_logs(self) -> np.ndarray:
         """Natural log p(cell | class, group before): (GROUPS, SUFFIXES, 2^bits)."""
@@ -463,9 +466,9 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
             model, by_code = shared.value, {}
             for batch in batches:
                 for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                    n = np.frombuffer(blob, np.float64).astype(np.float32).reshape(-1, PAIRS)
-                    found = []
-                    for k, row in enumerate(word_chunk(chunk, layout)):
+                    n, rows = np.frombuffer(blob, np.float64).astype(np.float32).reshape(-1, PAIRS), word_chunk(chunk, layout)
+                    each = np.zeros((len(rows), CLASSES), np.float32)
+                    for k, row in enumerate(rows):
                         if not n[k].any():
                             continue
                         c = int(of_row[row])
@@ -475,9 +478,8 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
                         np.exp(p - p.max(axis=1, keepdims=True), out=p)
                         p *= (n[k] / p.sum(axis=1))[:, None]
                         by_code[c][1] += p
-                        found.append((1, row, p.sum(axis=0).tobytes()))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.int32(), pa.int32(), pa.binary()])], ["kind", "row", "expected"])
+                        each[k] = p.sum(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([rows.start], pa.int32()), pa.array([each.tobytes()], pa.binary())], ["kind", "row", "expected"])
             expected = np.zeros(model.hashed.shape)
             for c, (_, p) in by_code.items():
                 for rows in features(c * PAIRS + np.arange(PAIRS)):
@@ -485,16 +487,20 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
             at = np.flatnonzero(expected.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array([expected[i].astype(np.float32).tobytes() for i in at], pa.binary())], ["kind", "row", "expected"])
 
-        expected = [np.zeros(model.hashed.shape), np.zeros(model.words.shape, np.float32)]
-        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").collect():  # the size of the weights, and TASKS times that of the hashed ones
-            expected[r["kind"]][r["row"]] += np.frombuffer(r["expected"], np.float32)
         step = lambda seen, expected: (seen - expected) / (0.5 * (seen + expected) + 2.0)
-        hashed = model.hashed + 0.4 * step(seen[0], expected[0]) - 0.0005 * model.hashed
-        words = model.words + 0.4 * step(seen[1], expected[1]) - 0.0005 * model.words
+        expected = np.zeros(model.hashed.shape)
+        # the size of the weights, and TASKS times that of the hashed ones; word rows come by chunks and are updated in place
+        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").collect():
+            if r["kind"] == 0:
+                expected[r["row"]] += np.frombuffer(r["expected"], np.float32)
+                continue
+            each = np.frombuffer(r["expected"], np.float32).reshape(-1, CLASSES)
+            own = slice(r["row"], r["row"] + len(each))
+            model.words[own] += 0.4 * step(seen[1][own], each) - 0.0005 * model.words[own]
+        model.hashed += (0.4 * step(seen[0], expected) - 0.0005 * model.hashed).astype(np.float32)
         # the cells' counts by group and class are few enough for one place
         inner = np.exp(model.cell_logs()) * seen[2].sum(axis=2, keepdims=True)
-        cells = model.cells + 0.5 * np.concatenate([step(seen[2].sum(axis=0), inner.sum(axis=0))[None], step(seen[2], inner)]) - 0.0005 * model.cells
-        model = Model(groups, layout.bits, prior, hashed.astype(np.float32), words.astype(np.float32), cells.astype(np.float32))
+        model.cells += (0.5 * np.concatenate([step(seen[2].sum(axis=0), inner.sum(axis=0))[None], step(seen[2], inner)]) - 0.0005 * model.cells).astype(np.float32)
         shared.destroy()
     return model
 
@@ -574,7 +580,7 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
     """
     encoded, voc = encoded_documents(docs, held_out)
     model, logs = fit(encoded, voc, rounds)
-    table = docs.sparkSession.sparkContext.broadcast((model, logs, model.by_context(np.arange(CONTEXTS)).astype(np.float32), model.cell_logs().astype(np.float32)))
+    table = docs.sparkSession.sparkContext.broadcast((model, logs, model.by_context(np.arange(CONTEXTS)), model.cell_logs().astype(np.float32)))
     n = voc.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
