@@ -51,7 +51,7 @@ FEATURE_ROWS = 1 << 12
 #: Bits of the hash that name a cell at most, and distinct tokens per cell.
 CELL_BITS, CELL_TYPES = 8, 512
 #: Entries of a bucket, about.
-BUCKET_TYPES = 1 << 20
+BUCKET_TYPES = 1 << 19
 #: Distinct tokens of a block from which on it is closed.
 BLOCK_TYPES = 50_000
 #: Tokens of a block from which on it is closed, however few distinct ones it has.

@@ -202,7 +202,7 @@ def test_lm_score_equals_a_dense_model(docs_of, monkeypatch):
 
 
 def test_lm_buckets_and_cells_grow_with_the_types():
-    assert lm.bucket_bits(0) == 4 and lm.bucket_bits(64 << 20) == 6 and lm.bucket_bits(1 << 34) == 14
+    assert lm.bucket_bits(0) == 4 and lm.bucket_bits(64 << 20) == 7 and lm.bucket_bits(1 << 34) == 15
 
 
 def test_lm_contexts_by_hand():
