@@ -102,8 +102,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> D
     """Write the ids of every row of docs (doc_id, text) below path; gives the files' list.
 
     (uri, part, n, docs, ids) for each file; (part, n) orders them. A null text is empty; a
-    null doc_id sorts first; repeated ids stay in their file. Only files of the list count: an
-    attempt that was lost leaves files that no list names.
+    null doc_id sorts first; repeated ids stay in their file; texts are encoded whole, however
+    long; other columns are ignored; an empty table gives an empty list. Only files of the list
+    count: an attempt that was lost leaves files that no list names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     All columns of docs stay; copy_column, if given, numbers a row's copies from 0 (and
     replaces a column of that name). Counts depend on the id, the text and the seed only, so a
     re-run task gives the same rows. Repeated rows are repeated alike. Null ids and texts count
-    as values.
+    as values; texts, however long, are moved whole; an empty table gives an empty one.
     """
     columns = docs.columns
     d, r = docs.alias("d"), rates(docs, weights, temperature).alias("r")

@@ -1,12 +1,13 @@
-"""Best-fit packing of documents into sequences, in bulk-synchronous rounds over sorted runs.
+"""Best-fit packing of documents into sequences by whole runs of equal lengths.
 
 Lengths and gaps are whole numbers up to the capacity, so the documents of one length are one
 run and the sequences of one gap are one run. Documents are ranked within their length by the
-executors. A round takes the longest unplaced run, sweeps the range-sorted gaps for its
-successor (the smallest gap that holds it), settles who gets it by rank - the first documents
-of the run get the first sequences of the gap - moves these sequences to the run of their new
-gap, and repeats until nothing is unplaced. What the rounds keep is bounded by the capacity
-and not by the number of documents; documents never leave the executors.
+executors, and placed by rank there. What lies between is a plan over runs, made on the driver:
+it takes the longest unplaced run, finds the successor of its length among the gaps (the
+smallest gap that holds it), gives the first documents of the run the first sequences of that
+gap, moves these sequences to the run of their new gap, and repeats until nothing is unplaced.
+The runs are bounded by the capacity and not by the number of documents. The README says why
+the sweeps aren't dealt out over range partitions, with figures.
 """
 
 from __future__ import annotations
@@ -100,8 +101,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Pack every row of docs (doc_id, text) into as few sequences as best fit finds.
 
     A null text counts as empty (its end id alone); repeated rows and repeated ids are packed
-    one by one; a null doc_id stays null; other columns are ignored; an empty table gives an
-    empty result. Only rows longer than the capacity are cut.
+    one by one; documents of equal length go in the order of their tasks and rows; a null doc_id
+    stays null; other columns are ignored; an empty table gives an empty result. Texts are read
+    whole; only rows longer than the capacity are cut.
     """
     spark = docs.sparkSession
     pieces = stage(encode_pieces(docs, tokenizer, capacity), "pack-pieces")
