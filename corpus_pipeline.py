@@ -12,17 +12,32 @@ from talus.runtime import stage, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.
+
+    Null and empty texts have the score of no words and stay; repeated rows are judged one by
+    one; a null id trains nothing; long texts are read whole; an empty table stays empty; all
+    columns are kept, also such as are named like the operator's own.
+    """
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule or are depleted go."""
+    """Documents that fail a rule or are depleted go; the others lose their host's common lines.
+
+    Null, empty and short texts fail; repeated rows stay or go together; a null source is a host
+    of its own, a null id a value; long texts are read whole; an empty table stays empty; all
+    columns are kept.
+    """
     return quality.keep_good(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, 0.8 or more) stays: the smallest id.
+
+    Texts without words and rows without an id link with nothing and stay; of rows that repeat
+    an id one stays, the first by the hash of its text; long texts are read whole; an empty
+    table stays empty; all columns are kept.
+    """
     groups = neardup.near_duplicates(docs)
     gone = groups.where("NOT kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -36,12 +51,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated to their source's rate and shuffled."""
+    """Documents are repeated to their source's rate and shuffled.
+
+    A null source is one of its own; null ids and texts count as values; repeated rows are
+    repeated alike; long texts are moved whole; an empty table stays empty; all columns are kept.
+    """
     return mixing.mix(docs, copy_column=None)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences: the last stage, with columns of its own.
+
+    Null and empty texts are one end id; repeated rows are packed one by one; a null id stays
+    null; only texts longer than a sequence are cut; an empty table gives no pieces; other
+    columns are ignored.
+    """
     return packing.pack(docs, tokens.default_path())
 
 
