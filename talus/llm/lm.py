@@ -60,7 +60,7 @@ ADD = 0.1
 END = b" "  # no word has a space
 ROUNDS = 24
 #: Partial sums that one task adds up, and tasks of a round (its work is bounded by the size of the model).
-FAN, TASKS = 32, 8
+FAN, TASKS = 32, 3
 
 
 class _Block(dict):
