@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(runs.drop("n"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("before"))
+    # the runs grow with the tasks, so they are never broadcast: both sides are dealt by part and length
+    ranked = pieces.join(runs.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("place") + F.col("before"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, out)
