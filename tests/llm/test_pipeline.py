@@ -43,6 +43,21 @@ def test_run_packs_whole_documents(spark, sf):
         assert at <= 2048
 
 
+def test_packing_leaves_no_document_out(spark, sf):
+    docs = table(spark, sf, "documents")
+    pieces = corpus_pipeline.packing_stage(spark, docs.unionByName(docs), sf).collect()
+    ids = [r.doc_id for r in docs.collect()] * 2
+    assert collections.Counter(r.doc_id for r in pieces if r.piece == 0) == collections.Counter(ids)
+    ends = collections.defaultdict(set)
+    for r in pieces:
+        ends[r.doc_id].add((r.piece, r.start, r.start + r.length))
+    for parts in ends.values():
+        at = 0
+        for n, (piece, start, end) in enumerate(sorted(parts)):
+            assert (piece, start) == (n, at)
+            at = end
+
+
 @pytest.mark.parametrize("stage", ["toxicity_stage", "quality_stage", "near_dedup_stage", "mixing_stage", "packing_stage"])
 def test_stages_take_odd_rows(spark, docs_of, sf, stage):
     docs = docs_of([(None, None), (1, ""), (1, ""), (2, "x " * 5000, None), (3, "one two three")])
