@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import bitpack, embeddings, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity, warc
+from talus.llm import bitpack, counts, embeddings, licenses, lm, mixing, neardup, packing, phrases, quality, search, tokens, toxicity, warc
 from talus.runtime import table
 
 
@@ -56,7 +56,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), counts.default_path())
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_toxicity, op5_mixing, op6_token_files, op7_lm_scoring, op8_minhash_near_dedup, op9_warc, op10_embedding_near_dedup, op11_token_counts, op12_collocations, op13_lexical_search)}
 SPACE = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(string_split_regex(coalesce(text,''), '{SPACE}'), lambda x: x <> '')"
 
@@ -113,4 +125,37 @@ n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, vec_id = m.c AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN m ON m.node = vec_id"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_minhash_near_dedup": OP8, "op9_warc": OP9, "op10_embedding_near_dedup": OP10}
+LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang,'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(len(w)-size+1), lambda i: array_to_string(w[i+1:i+size], ' '))) AS phrase FROM w, (SELECT unnest([1,2,3,4]) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+k AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT*a) // (x.f + y.f) AS score FROM k
+ JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k+1:k.size], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s),
+i AS (SELECT lang, a AS f, array_to_string(w[st:st+len_-1], ' ') AS phrase FROM (SELECT lang, a, w, size, len_, unnest(range(1, size-len_+2)) AS st FROM c, (SELECT unnest([2,3]) AS len_) WHERE len_ < size)),
+m AS (SELECT lang, phrase, max(f) AS longer FROM i GROUP BY ALL),
+z AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN m USING(lang, phrase) WHERE o = 1 AND (longer IS NULL OR 100*longer < 80*a)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t JOIN n USING(lang) WHERE rank <= 2000"""
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS w FROM documents),
+e AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM e GROUP BY ALL),
+t AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT item_id, row, doc_id, CAST(sum(CAST(floor(1000*ln((2*nn+2)/(2*df+1))) AS BIGINT) * ((1000000000*tf) // (1000*tf + 20*(50 + (50*n*nn) // ll)))) AS BIGINT) AS score
+ FROM q JOIN tf USING(term) JOIN df USING(term), t GROUP BY item_id, row, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_minhash_near_dedup": OP8, "op9_warc": OP9, "op10_embedding_near_dedup": OP10, "op12_collocations": OP12, "op13_lexical_search": OP13}
