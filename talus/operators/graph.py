@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.risk import hop_risk_level, weighted_label
 from talus.operators.components import connected_components
 from talus.runtime import stage
 
+#: Edges of one node that a task of a frontier join gets, about.
+HOT_EDGES = 100_000
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions, distinct, without self-loops and null ends."""
@@ -26,7 +29,9 @@ def shared_key_edges(members: DataFrame, key: str, user: str = "user_id", cap: i
     m = members.select(F.col(key).alias("k"), F.col(user).alias("u")).where("k IS NOT NULL AND u IS NOT NULL").distinct()
     if cap is None:
         return m.alias("a").join(m.alias("b"), "k").where("a.u < b.u").select(F.col("a.u").alias("src"), F.col("b.u").alias("dst")).distinct()
-    groups = m.groupBy("k").agg(F.slice(F.sort_array(F.collect_set("u")), 1, cap).alias("us")).where(F.size("us") > 1)
+    # ranks up to the cap are cut within each task before the shuffle: no key's users ever meet in one row
+    first = m.withColumn("__rn", F.row_number().over(Window.partitionBy("k").orderBy("u"))).where(F.col("__rn") <= cap)
+    groups = first.groupBy("k").agg(F.sort_array(F.collect_list("u")).alias("us")).where(F.size("us") > 1)
     left = groups.select("us", F.explode("us").alias("src"))
     return left.select("src", F.explode("us").alias("dst")).where("src < dst").distinct()
 
@@ -61,29 +66,60 @@ def degree_tier(degree: Column, warm: int = 1000, hot: int = 10000) -> Column:
 
 
 def salted(edges: DataFrame, hot: DataFrame, salts: int = 16) -> DataFrame:
-    """A salt per edge: hashed for edges at a hot node (node), else 0. Skew joins by AQE come first."""
-    marked = edges.join(hot.select(F.col("node").alias("src"), F.lit(True).alias("__hot")).distinct(), "src", "left")
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("src", "dst"), F.lit(salts))).otherwise(0)
+    """A salt per edge: hashed for edges at a hot node (node), else 0; with a column salts in hot, each node has its own number."""
+    n = F.col("salts") if "salts" in hot.columns else F.lit(salts)
+    marked = edges.join(hot.select(F.col("node").alias("src"), n.cast("long").alias("__n")).distinct(), "src", "left")
+    salt = F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64("src", "dst"), F.col("__n"))).otherwise(0)
     return marked.select(*edges.columns, salt.cast("int").alias("salt"))
 
 
-def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolated_seeds: bool = True, keys: tuple[str, ...] = (), written: bool = False) -> DataFrame:
+def hot_nodes(edges: DataFrame, limit: int) -> DataFrame:
+    """(node, salts): nodes at the start of more than `limit` edges, and how many parts of that size they have."""
+    n = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    return n.where(F.col("n") > limit).select("node", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+
+
+class Hops:
+    """Written edges, salted at hot nodes, for frontier joins: no task gets more than about `limit` edges of one node."""
+
+    def __init__(self, edges: DataFrame, limit: int = HOT_EDGES, written: bool = False):
+        edges = edges.select("src", "dst") if written else stage(edges.select("src", "dst"), "edges")
+        self.hot = stage(hot_nodes(edges, limit), "hot-nodes")
+        self.any = not self.hot.isEmpty()
+        self.edges = stage(salted(edges, self.hot), "salted-edges") if self.any else edges
+
+    def step(self, frontier: DataFrame, ids: list[str]) -> DataFrame:
+        """(ids): the distinct ends of the frontier's edges; a hot node of the frontier is repeated for its salts."""
+        edges = self.edges.withColumnRenamed("src", "node")
+        on = ["node"]
+        if self.any:
+            salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+            frontier = frontier.join(self.hot, "node", "left").select(*frontier.columns, salts.alias("salt"))
+            on = ["node", "salt"]
+        return frontier.join(edges, on).select(*ids[:-1], F.col("dst").alias("node")).distinct()
+
+    def starts(self) -> DataFrame:
+        return self.edges.select(F.col("src").alias("node")).distinct()
+
+
+def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolated_seeds: bool = True, keys: tuple[str, ...] = (), written: bool = False, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(keys..., node, hops): the least number of hops from any seed (node), up to max_hops, whatever that is.
 
     edges are symmetric. Each hop joins the frontier to the edges, drops what has a distance
     already and is written out, so no hop re-runs the ones before. keys (a fold, say) keep
     searches apart. Seeds without edges have distance 0 only if keep_isolated_seeds. Edges that
-    are a written table already (written) are read from there, others are written out first.
+    are a written table already (written) are read from there, others are written out first. Nodes
+    with more than hot_edges edges are dealt out by salts, and only their frontier rows repeated.
     """
-    edges = edges if written else stage(edges.select("src", "dst"), "edges")
+    hops = Hops(edges, hot_edges, written)
     ids = [*keys, "node"]
     start = seeds.select(*ids).distinct()
     if not keep_isolated_seeds:
-        start = start.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(*ids)
+        start = start.join(hops.starts(), "node", "left_semi").select(*ids)
     frontier = stage(start.withColumn("hops", F.lit(0)), "hops")
     seen = frontier
     for hop in range(1, max_hops + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(*keys, F.col("dst").alias("node")).distinct()
+        step = hops.step(frontier.select(*ids), ids)
         frontier = stage(step.join(seen.select(*ids), ids, "left_anti").withColumn("hops", F.lit(hop)), "hops")
         if frontier.isEmpty():
             break

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.risk import clipped
-from talus.operators import evaluate, graph
+from talus.operators import evaluate, graph, shapley
 from talus.operators.events import folds
 from talus.runtime import stage
 
@@ -171,57 +167,9 @@ def linear_contributions(df: DataFrame, key: str, label: str, features: list[str
     return ranked_contributions(scaled.select(key, F.array(*each).alias("contributions")), key, n)
 
 
-def tree_arrays(model: GBTClassificationModel) -> list[tuple[float, np.ndarray]]:
-    """Each tree's weight and its nodes as rows (feature or -1, threshold, left, right, prediction)."""
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        rows: list[list[float]] = []
-
-        def walk(node) -> int:
-            at = len(rows)
-            rows.append([-1.0, 0.0, 0.0, 0.0, float(node.prediction())])
-            if node.subtreeDepth() > 0:
-                split = node.split()
-                rows[at][:2] = [float(split.featureIndex()), float(split.threshold())]
-                rows[at][2], rows[at][3] = float(walk(node.leftChild())), float(walk(node.rightChild()))
-            return at
-
-        walk(tree._java_obj.rootNode())
-        out.append((float(weight), np.array(rows)))
-    return out
-
-
-def path_contributions(x: np.ndarray, trees: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """For each row and feature what its splits add to the margin, and the margin before any split.
-
-    Going down a tree, the change of the node's prediction belongs to the feature that it splits on.
-    """
-    out, base = np.zeros(x.shape), 0.0
-    rows = np.arange(len(x))
-    for weight, t in trees:
-        at, base = np.zeros(len(x), np.int64), base + weight * t[0, 4]
-        while (live := t[at, 0] >= 0).any():
-            r, node = rows[live], at[live]
-            f = t[node, 0].astype(np.int64)
-            after = np.where(x[r, f] <= t[node, 1], t[node, 2], t[node, 3]).astype(np.int64)
-            np.add.at(out, (r, f), weight * (t[after, 4] - t[node, 4]))
-            at[live] = after
-    return out, base
-
-
 def tree_contributions(df: DataFrame, key: str, model: GBTClassificationModel, features: list[str]) -> DataFrame:
-    """(key, margin, base, contributions): the boosted trees' margin, and what each feature adds to base to make it."""
-    shared = df.sparkSession.sparkContext.broadcast(tree_arrays(model))  # the size of the model
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(batch.num_rows, len(features))
-            parts, base = path_contributions(x, shared.value)
-            each = pa.array([[{"feature": f, "contribution": float(v)} for f, v in zip(features, row)] for row in parts], pa.list_(pa.struct([("feature", pa.string()), ("contribution", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(base + parts.sum(axis=1)), pa.array(np.full(len(x), base)), each], [key, "margin", "base", "contributions"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return assembled(df, features).select(key, vector_to_array("features").alias("x")).mapInArrow(run, f"{key} {kind}, margin double, base double, contributions array<struct<feature:string,contribution:double>>")
+    """(key, margin, base, contributions): the boosted trees' margin, and the Shapley value that each feature adds to base."""
+    return shapley.shapley_contributions(df, key, features, shapley.of_spark(model))
 
 
 def ranked_contributions(df: DataFrame, key: str, n: int = 8) -> DataFrame:

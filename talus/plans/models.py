@@ -6,11 +6,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from talus.functions import risk
-from talus.operators import evaluate, graph, ml
+from talus.operators import boosting, evaluate, graph, ml, shapley, tuning
 from talus.operators.events import folds
 from talus.plans import world as w
 from talus.plans.catalog import query
-from talus.runtime import table
+from talus.runtime import stage, table
 
 SWEEP = f"WITH {w.SCORED}, t AS (SELECT unnest(range(10,91)) AS t), c AS (SELECT t/100 AS threshold, count(*) FILTER (p*100>=t-1e-9 AND y=1) AS tp, count(*) FILTER (p*100>=t-1e-9 AND y=0) AS fp, count(*) FILTER (p*100<t-1e-9 AND y=1) AS fn, count(*) FILTER (p*100<t-1e-9 AND y=0) AS tn FROM scored, t GROUP BY 1), r AS (SELECT *, coalesce(2*tp/nullif(2*tp+fp+fn,0),0) AS f1, coalesce(fp/nullif(fp+tn,0),0) AS fpr FROM c)"
 
@@ -24,6 +24,10 @@ def _table(s, d):
 FEATURES = ["min_retention_minutes", "unique_ip_count", "night_tx_ratio", "total_twd_volume", "min_hops_to_blacklist"]
 
 
+#: The second learner: the reference's depth, step, and shares of rows and columns.
+SECOND = boosting.Setting(boosting.Logistic(), trees=60, depth=5, step=0.05, rows=0.8, columns=0.8, patience=10)
+
+
 def _partly(s, d):
     """The table with the labels of a fifth of its rows hidden: those are to be scored."""
     return _table(s, d).withColumn("label", F.when(F.pmod("user_id", F.lit(5)) > 0, F.col("label")))
@@ -34,6 +38,21 @@ def ml1(s, d):
     return ml.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, k=5, trees=3, depth=3)
 
 
+@query("ml1_second_learner")
+def ml1b(s, d):
+    """Histogram boosting with early stopping on each fold, rows and columns sampled."""
+    return boosting.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, SECOND)[0]
+
+
+@query("ml1_blended_learners")
+def ml1c(s, d):
+    """The two learners' out-of-fold scores, and the weight of the second at which their blend has the best F1."""
+    a = stage(ml.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, k=5, trees=3, depth=3), "ml1-first").where("y IS NOT NULL")
+    b = stage(boosting.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, SECOND)[0], "ml1-second").where("y IS NOT NULL")
+    both = a.select("user_id", "y", F.col("p").alias("p2")).join(b.select("user_id", F.col("p").alias("p1")), "user_id")
+    return evaluate.blend(both.select("y", "p1", "p2"), list(range(50, 101, 5)), 500, 9400, 100).select("weight", "threshold", F.round("f1", 6).alias("f1"))
+
+
 @query("ml2_fold_aware_cv")
 def ml2(s, d):
     """Documents of one source and residue are neighbours; hops and listed neighbours come from each fold's own seeds."""
@@ -94,6 +113,12 @@ def ml11(s, d):
     return w.scored(s, d).select("doc_id", F.round(g, 6).alias("g"), F.round(h, 6).alias("h"))
 
 
+@query("ml11_cost_sensitive_training")
+def ml11b(s, d):
+    """Out-of-fold scores of trees grown on the cost gradient."""
+    return boosting.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, boosting.Setting(boosting.CostSensitive(5.0), trees=60, depth=5, step=0.05, patience=10))[0]
+
+
 @query("ml12_isotonic_calibration")
 def ml12(s, d):
     c = ml.calibrate(w.scored(s, d))
@@ -144,12 +169,35 @@ def ml16(s, d):
 
 @query("ml16_tree_contributions")
 def ml16b(s, d):
-    """The attributions of the scoring model: boosted trees, by the paths that the rows take."""
+    """The attributions of a fitted model of Spark ML: exact Shapley values."""
     t = _table(s, d)
     model = GBTClassifier(maxIter=5, maxDepth=3, seed=42).fit(ml.assembled(t, FEATURES).select(F.col("label").cast("double").alias("label"), "features"))
     return ml.ranked_contributions(ml.tree_contributions(t, "user_id", model, FEATURES), "user_id", 8)
 
 
+@query("ml16_shapley")
+def ml16d(s, d):
+    """The attributions of the second learner: exact Shapley values of its trees."""
+    t = _table(s, d)
+    model = boosting.train(t, "user_id", "label", FEATURES, [boosting.Setting(trees=20, depth=5, step=0.1)])[0]
+    return ml.ranked_contributions(shapley.shapley_contributions(t, "user_id", FEATURES, shapley.of_boosted(model)), "user_id", 8)
+
+
+#: balance <= 0: -1; else nation <= 12: 0.5, else 2. Of 100 customers 20 go left, of the other 80 then 60.
+GIVEN = shapley.Nodes([0, -1, 1, -1, -1], [0.0, 0.0, 12.0, 0.0, 0.0], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0], [0.0, -1.0, 0.0, 0.5, 2.0], [100.0, 20.0, 80.0, 60.0, 20.0])
+
+
+@query("ml16_shapley_of_given_tree", """
+WITH w AS (SELECT c_custkey, 0.5 AS none, CASE WHEN c_acctbal<=0 THEN -1.0 ELSE 0.875 END AS b, -0.2+0.8*CASE WHEN c_nationkey<=12 THEN 0.5 ELSE 2.0 END AS n,
+ CASE WHEN c_acctbal<=0 THEN -1.0 WHEN c_nationkey<=12 THEN 0.5 ELSE 2.0 END AS both_ FROM customer)
+SELECT c_custkey, CAST(round(both_,6) AS DOUBLE) AS margin, CAST(round((b-none+both_-n)/2,6) AS DOUBLE) AS balance, CAST(round((n-none+both_-b)/2,6) AS DOUBLE) AS nation FROM w""")
+def ml16e(s, d):
+    """Shapley values of a tree that is given, so that SQL can say them: half the sum of what a feature adds alone and after the other."""
+    c = shapley.shapley_contributions(table(s, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"], shapley.leaves(GIVEN))
+    of = lambda i: F.round(F.col("contributions")[i]["contribution"], 6)
+    return c.select("c_custkey", F.round("margin", 6).alias("margin"), of(0).alias("balance"), of(1).alias("nation"))
+
+
 @query("ml16_linear_contributions")
 def ml16c(s, d):
     return ml.linear_contributions(_table(s, d), "user_id", "label", FEATURES, 3)
@@ -181,6 +229,12 @@ def ml20(s, d):
     return ml.tuned(_table(s, d), "label", FEATURES, trees=3)
 
 
+@query("ml20_bayesian_search")
+def ml20b(s, d):
+    """Twenty trials in rounds of four, each in three folds, over the reference's ranges."""
+    return tuning.tuned(_table(s, d), "user_id", "label", FEATURES, boosting.Setting(trees=20, patience=5), trials=20, parallel=4, k=3)
+
+
 @query("ml21_retrain_gate", "SELECT count(*) FILTER (quality=0) AS false_positives, count(*) FILTER (quality=0)>=50 AS retrain FROM labels")
 def ml21(s, d):
     return ml.retrain_due(table(s, d, "labels").select(F.when(F.col("quality") == 0, "FALSE_POSITIVE").otherwise("CONFIRMED").alias("verdict")))

@@ -46,9 +46,9 @@ def j4(s, d):
     return graph.shared_key_edges(w.shared_weeks(s, d), "k")
 
 
-@query("j5_capped_clique", f"WITH {w.EV}, m AS (SELECT DISTINCT source_ip AS k, user_id AS u FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY u) AS n FROM m), c AS (SELECT * FROM r WHERE n<=5) SELECT DISTINCT a.u AS src, b.u AS dst FROM c a JOIN c b USING(k) WHERE a.u<b.u")
+@query("j5_capped_clique", f"WITH {w.EV}, m AS (SELECT DISTINCT source_ip AS k, user_id AS u FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY u) AS n FROM m), c AS (SELECT * FROM r WHERE n<=50) SELECT DISTINCT a.u AS src, b.u AS dst FROM c a JOIN c b USING(k) WHERE a.u<b.u")
 def j5(s, d):
-    return graph.shared_key_edges(w.events(s, d), "source_ip", cap=5)
+    return graph.shared_key_edges(w.events(s, d), "source_ip", cap=50)
 
 
 @query("j5_capped_clique_50", f"WITH {w.EV}, m AS (SELECT DISTINCT source_ip AS k, user_id AS u FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY u) AS n FROM m), c AS (SELECT * FROM r WHERE n<=50) SELECT DISTINCT a.u AS src, b.u AS dst FROM c a JOIN c b USING(k) WHERE a.u<b.u")

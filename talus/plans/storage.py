@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions import clean, risk
+from talus.operators.ranks import row_numbers
 from talus.plans import world as w
 from talus.plans.catalog import query
 from talus.runtime import new_path, table
-from talus.sources import rest, scans, sinks
+from talus.sources import discovery, keyed, rest, scans, sinks
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
 
@@ -51,7 +52,7 @@ def sc5(s, d):
 
 
 class _Local(rest.RestSource):
-    """The paged source over a table's file instead of a network: url is file|offset|limit or file|cursor."""
+    """The paged source over files in place of a network: a url names a folder of pages, each a JSON file that Spark wrote."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,26 +63,38 @@ class _Local(rest.RestSource):
 
     @staticmethod
     def fetch(url):
-        import json
+        import pyarrow.fs as fs
 
-        import pyarrow.parquet as pq
-
-        file, at, *limit = url.split("|")
-        rows = pq.read_table(file, columns=["c_custkey", "c_name"]).sort_by("c_custkey")
-        offset, size = int(at or 0), int(limit[0]) if limit else 500
-        page = {"data": rows.slice(offset, size).to_pylist(), "total": rows.num_rows}
-        if not limit and offset + size < rows.num_rows:
-            page["nextCursor"] = offset + size
-        return 200, {}, json.dumps(page)
+        base, at = url.split("|")
+        system, path = fs.FileSystem.from_uri(base.replace("file:/", "file:///", 1) if base.startswith("file:/") and "://" not in base else base)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/at={at or 0}", allow_not_found=True)) if f.path.endswith(".txt")]
+        if not found:
+            return 200, {}, '{"data": []}'
+        with system.open_input_stream(found[0]) as f:
+            return 200, {}, f.read().decode()
 
 
 CUSTOMERS = "SELECT c_custkey, c_name FROM customer"
 
 
+def _pages(s, d, size):
+    """A folder of pages of the customers in the order of their keys, and how many rows there are."""
+    c = table(s, d, "customer").select("c_custkey", "c_name")
+    total = c.count()
+    p = new_path(s, "pages")
+    numbered = row_numbers(c, [F.col("c_custkey")], name="n").withColumn("at", F.floor((F.col("n") - 1) / size) * size)
+    rows = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", "c_custkey", "c_name"))), lambda x: F.struct(x["c_custkey"].alias("c_custkey"), x["c_name"].alias("c_name"))))
+    after = F.col("at") + size
+    tail = F.when(after < total, F.concat(F.lit(f', "total": {total}, "nextCursor": '), after.cast("string"))).otherwise(f', "total": {total}')
+    paged = numbered.groupBy("at").agg(rows.alias("rows")).select("at", F.concat(F.lit('{"data": '), "rows", tail, F.lit("}")).alias("value"))
+    paged.write.partitionBy("at").text(p)
+    return p, total
+
+
 def _served(s, d, size, **options):
     s.dataSource.register(_Local)
-    reader = s.read.format("talus_rest_local").option("url", f"{d}/customer.parquet|{{offset}}|{{limit}}").option("pagesize", size)
-    return reader.options(**options).load()
+    p, _ = _pages(s, d, size)
+    return s.read.format("talus_rest_local").option("url", f"{p}|{{offset}}").option("pagesize", size).options(**options).load()
 
 
 @query("sc6_rest_single_page", CUSTOMERS)
@@ -100,13 +113,27 @@ def sc8(s, d):
     from talus.streaming import pipelines as st
 
     s.dataSource.register(_Local)
-    stream = s.readStream.format("talus_rest_local").option("url", f"{d}/customer.parquet|{{cursor}}").load()
+    stream = s.readStream.format("talus_rest_local").option("url", f"{_pages(s, d, 500)[0]}|{{cursor}}").load()
     out, at = new_path(s, "sc8"), new_path(s, "sc8-checkpoint")
     for _ in range(2):
         st.drained(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).start())
     return s.read.schema(stream.schema).parquet(out)
 
 
+@query("sc8_rest_partitioned_stream", CUSTOMERS)
+def sc8b(s, d):
+    """A stream whose pages are read on the executors, four partitions a batch; the second run takes up where the first ended."""
+    from talus.streaming import pipelines as st
+
+    s.dataSource.register(_Local)
+    p, _ = _pages(s, d, 100)
+    stream = s.readStream.format("talus_rest_local").option("url", f"{p}|{{offset}}").option("pagesize", 100).option("partitions", 4).load()
+    out, at = new_path(s, "sc8b"), new_path(s, "sc8b-checkpoint")
+    for _ in range(2):
+        st.drained(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).start())
+    return s.read.schema(stream.schema).parquet(out)
+
+
 @query("sc9_retry_policy", """
 SELECT o_orderkey, CASE s WHEN 429 THEN CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 50 ELSE least(300.0, 30.0 * 2 ** a) END WHEN 500 THEN least(60.0, 2.0 ** a) WHEN 503 THEN least(60.0, 2.0 ** a) END AS wait
 FROM (SELECT o_orderkey, [403, 404, 429, 500, 503, 400][CAST(o_orderkey % 6 AS INT) + 1] AS s, o_orderkey % 10 AS a FROM orders)""")
@@ -120,11 +147,12 @@ def sc9(s, d):
 @query("sc10_catalog_registration", "SELECT o_orderstatus, count(*) AS n, 3 AS partitions FROM orders GROUP BY 1")
 def sc10(s, d):
     p = new_path(s, "sc10")
+    name = f"t_orders_registered_{p[-32:]}"  # sessions that share a catalog don't share the name
     for statuses in (("O",), ("F", "P")):  # registered again when there are more partitions
         sinks.partitioned(table(s, d, "orders").where(F.col("o_orderstatus").isin(*statuses)).select("o_orderkey", "o_orderstatus"), p, "o_orderstatus", mode="append")
-        scans.register(s, "t_orders_registered", p, "o_orderkey bigint", "o_orderstatus string")
-    found = s.sql("SHOW PARTITIONS t_orders_registered").agg(F.count("*").cast("int").alias("partitions"))
-    return s.sql("SELECT o_orderstatus, count(*) AS n FROM t_orders_registered GROUP BY 1").join(F.broadcast(found))  # one row
+        scans.register(s, name, p, "o_orderkey bigint", "o_orderstatus string")
+    found = s.sql(f"SHOW PARTITIONS {name}").agg(F.count("*").cast("int").alias("partitions"))
+    return s.sql(f"SELECT o_orderstatus, count(*) AS n FROM {name} GROUP BY 1").join(F.broadcast(found))  # one row
 
 
 @query("sc11_partition_discovery", "SELECT o_orderkey FROM orders WHERE o_orderstatus='O'")
@@ -134,6 +162,22 @@ def sc11(s, d):
     return s.read.option("pathGlobFilter", "*.parquet").parquet(p).where("o_orderstatus = 'O'").select("o_orderkey")
 
 
+@query("sc11_incremental_discovery", """
+SELECT 1 AS run, o_orderstatus AS status, count(*) AS n, count(*) AS priced FROM orders WHERE o_orderstatus IN ('F','O') GROUP BY 2
+UNION ALL SELECT 2, o_orderstatus, count(*), 0 FROM orders WHERE o_orderstatus='P' GROUP BY 2""")
+def sc11b(s, d):
+    """Two crawls: the second reads only the folder that came since, which lacks a column that stays on record."""
+    p, at = new_path(s, "sc11b"), new_path(s, "sc11b-manifest")
+    o = table(s, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("status"))
+    out = None
+    for run, (found, columns) in enumerate(((("F", "O"), ["o_orderkey", "o_totalprice", "status"]), (("P",), ["o_orderkey", "status"])), 1):
+        sinks.partitioned(o.where(F.col("status").isin(*found)).select(*columns), p, "status", mode="append")
+        rows = discovery.crawl(s, p, at).rows
+        one = rows.groupBy("status").agg(F.count("*").alias("n"), F.count("o_totalprice").alias("priced")).select(F.lit(run).alias("run"), "status", "n", "priced")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("sc12_views", f"WITH {w.EDGES}, {w.SEEDS} SELECT count(*) AS n FROM edges WHERE src IN (SELECT node FROM seeds)")
 def sc12(s, d):
     w.edges(s, d).createOrReplaceTempView("v_edges")
@@ -198,8 +242,8 @@ def sk1(s, d):
 def sk2(s, d):
     p = new_path(s, "sk2")
     table(s, d, "orders").createOrReplaceTempView("t_orders")
-    s.sql("SELECT o_custkey, count(*) AS n FROM t_orders GROUP BY 1").write.option("compression", "snappy").parquet(p)
-    return s.read.parquet(p)
+    name = sinks.create_table_as(s, f"t_orders_by_customer_{p[-32:]}", p, "SELECT o_custkey, count(*) AS n FROM t_orders GROUP BY 1")
+    return s.table(name)
 
 
 @query("sk3_bounded_parts", "SELECT count(*) AS n, true AS bounded FROM orders")
@@ -256,11 +300,10 @@ def sk12(s, d):
     return s.read.schema("user_id long").json(p)
 
 
-@query("sk4_sink_fallback", "SELECT o_orderkey FROM orders WHERE o_orderkey<100")
+@query("sk4_sink_fallback", "SELECT o_orderkey FROM orders")
 def sk4(s, d):
     p = new_path(s, "sk4")
-    small = table(s, d, "orders").where("o_orderkey < 100").select("o_orderkey")
-    at = sinks.with_fallback(small, "nosuchscheme://nowhere/x", p)
+    at = sinks.with_fallback(table(s, d, "orders").select("o_orderkey"), "nosuchscheme://nowhere/x", p)
     return s.read.schema("o_orderkey long").option("header", True).csv(at)
 
 
@@ -282,9 +325,37 @@ def sk10(s, d):
     return st.upsert_latest(st.file_stream(s, p, rows.schema), "user_id", "risk_level")
 
 
-@query("sk13_state_table", "SELECT * FROM (VALUES ('load','7 tables'),('features','19 columns')) t(stage,detail)")
+@query("sk13_state_table", "SELECT 'load' AS stage, count(*)||' orders' AS detail FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey)||' customers' FROM orders")
 def sk13(s, d):
+    """Stages record what they did; a stage that ran again is one stage."""
     p = new_path(s, "sk13")
-    for name, detail in (("load", "7 tables"), ("features", "19 columns"), ("load", "7 tables")):
-        sinks.mark_done(s, p, name, detail)
+    o = table(s, d, "orders")
+    for name, done in (("load", F.concat(F.count("*"), F.lit(" orders"))), ("customers", F.concat(F.count_distinct("o_custkey"), F.lit(" customers"))), ("load", F.concat(F.count("*"), F.lit(" orders")))):
+        sinks.mark_done(s, p, name, o.agg(done).first()[0])
     return sinks.done_stages(s, p)
+
+
+@query("sk7_keyed_data_source", "SELECT c_custkey, round(c_acctbal+CASE WHEN c_custkey%2=0 THEN 1 ELSE 0 END,2) AS c_acctbal FROM customer")
+def sk7b(s, d):
+    """Two writes through the data source: keys of the second replace those of the first."""
+    s.dataSource.register(keyed.KeyedSink)
+    p = new_path(s, "sk7b")
+    c = table(s, d, "customer").select("c_custkey", "c_acctbal")
+    for rows in (c, c.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)):
+        rows.write.format("talus_keyed").mode("append").option("path", p).option("key", "c_custkey").save()
+    return keyed.read_keyed(s, p, "c_custkey", c.schema).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("sk8_keyed_stream", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def sk8b(s, d):
+    """A stream into the keyed store, each batch committed once: the last order of each customer."""
+    from talus.streaming import pipelines as st
+
+    s.dataSource.register(keyed.KeyedSink)
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey")
+    src, out, at = (new_path(s, f"sk8b-{x}") for x in ("in", "out", "checkpoint"))
+    top = o.agg(F.max("o_orderkey")).first()[0]
+    for k in range(3):  # files in the order of the keys
+        o.where((F.col("o_orderkey") * 3 > k * top) & (F.col("o_orderkey") * 3 <= (k + 1) * top) if k else F.col("o_orderkey") * 3 <= top).coalesce(1).write.mode("append").parquet(src)
+    st.file_stream(s, src, o.schema).writeStream.format("talus_keyed").option("path", out).option("key", "o_custkey").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return keyed.read_keyed(s, out, "o_custkey", o.schema, "o_orderkey")

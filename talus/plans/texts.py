@@ -9,19 +9,20 @@ from talus.plans import world as w
 from talus.plans.catalog import query
 from talus.runtime import table
 
-RED = "text"
-for _name, _pattern, _tag in text.MASKS:
-    RED = f"regexp_replace({RED}, '{_pattern}', '{_tag}', 'g')"
-_COUNTS, _at = [], "text"
-for _name, _pattern, _tag in text.MASKS:
-    _COUNTS.append(f"len(regexp_extract_all({_at}, '{_pattern}')) AS n_{_name}")
-    _at = f"regexp_replace({_at}, '{_pattern}', '{_tag}', 'g')"
+# written apart from the engine's patterns, for an engine without look-behind
+REDACTED = r"""
+WITH a AS (SELECT doc_id, len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS n_ip, regexp_replace(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[IP-REDACTED]', 'g') AS t FROM documents),
+b AS (SELECT * EXCLUDE t, len(regexp_extract_all(t, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b')) AS n_email, regexp_replace(t, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', '[EMAIL-REDACTED]', 'g') AS t FROM a),
+c AS (SELECT * EXCLUDE t, len(regexp_extract_all(t, '\b09[0-9]{8}\b')) AS n_mobile, regexp_replace(t, '\b09[0-9]{8}\b', '[PHONE-REDACTED]', 'g') AS t FROM b),
+d AS (SELECT * EXCLUDE t, len(regexp_extract_all(t, '\+[0-9]{8,15}\b')) AS n_phone, regexp_replace(t, '\+[0-9]{8,15}\b', '[PHONE-REDACTED]', 'g') AS t FROM c)
+SELECT doc_id, md5(regexp_replace(t, '\b[A-Z][12][0-9]{8}\b', '[ID-REDACTED]', 'g')) AS redacted, n_ip, n_email, n_mobile, n_phone, len(regexp_extract_all(t, '\b[A-Z][12][0-9]{8}\b')) AS n_national_id FROM d"""
 
 
-@query("x1_redaction", f"SELECT doc_id, md5({RED}) AS redacted, {', '.join(_COUNTS)} FROM documents")
+@query("x1_redaction", REDACTED)
 def x1(s, d):
-    c = text.redaction_counts(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.md5(text.redact(F.col("text")).cast("binary")).alias("redacted"), *[v.cast("long").alias(k) for k, v in c.items()])
+    out = text.redacted(table(s, d, "documents").select("doc_id", "text"), "text")
+    counts = [F.col(f"n_{name}").cast("long").alias(f"n_{name}") for name, _, _ in text.MASKS]
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("redacted"), *counts)
 
 
 @query("x2_context_filter", "SELECT c_custkey, 'kyc_level,hop_risk_level' AS kept FROM customer WHERE c_custkey%2=0 UNION ALL SELECT c_custkey, 'kyc_level' FROM customer WHERE c_custkey%2=1")

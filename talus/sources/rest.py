@@ -10,9 +10,10 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 #: Pages read at most, unless given: by offset, by cursor. A source with more raises.
@@ -124,7 +125,12 @@ class _Offsets(InputPartition):
 
 
 class RestSource(DataSource):
-    """format("talus_rest"): options url (with {offset} and {limit}, or {cursor}), pagesize, partitions, maxpages, partial."""
+    """format("talus_rest"): options url (with {offset} and {limit}, or {cursor}), pagesize, partitions, maxpages, partial.
+
+    A stream over a url with {offset} is read on the executors, partitions pages apart at once; one
+    with {cursor} can only be walked page by page. counturl is asked for the number of rows
+    (total) of such a stream, by default the url with a limit of 1.
+    """
 
     fetch: Callable = staticmethod(urllib_fetch)
 
@@ -138,6 +144,11 @@ class RestSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, dict(self.options), type(self).fetch)
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        if "{offset}" not in self.options.get("url", ""):  # Spark then takes the simple reader
+            raise PySparkNotImplementedError(errorClass="NOT_IMPLEMENTED", messageParameters={"feature": "streamReader"})
+        return _OffsetStream(schema, dict(self.options), type(self).fetch)
+
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return _Stream(schema, dict(self.options), type(self).fetch)
 
@@ -163,6 +174,51 @@ class _Reader(DataSourceReader):
             yield from (_row(self.schema, r) for r in rows)
 
 
+class _Rows(InputPartition):
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+class _OffsetStream(DataSourceStreamReader):
+    """The offset is the number of rows taken. The driver asks for the total alone; rows go from the pages to the executors."""
+
+    def __init__(self, schema: StructType, options: dict, fetch: Callable):
+        self.schema, self.options, self.fetch = schema, options, fetch
+        self.size = int(options.get("pagesize", "100"))
+
+    def _page(self, template: str, offset: int, limit: int) -> dict | list:
+        page = get(template.replace("{offset}", str(offset)).replace("{limit}", str(limit)), self.fetch)
+        if page is None:
+            raise IncompleteRead(f"the page at offset {offset} failed")
+        return page
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"rows": int(self.options.get("start", "0"))}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        page = self._page(self.options.get("counturl", self.options["url"]), 0, 1)
+        if not isinstance(page, dict) or page.get("total") is None:
+            raise IncompleteRead("a stream by offsets needs the total in the answer")
+        return {"rows": int(page["total"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Whole pages for each, so that no page is asked for twice, but the one that a batch began in."""
+        first, last, n = start["rows"], end["rows"], int(self.options.get("partitions", "1"))
+        pages = -(-last // self.size) - first // self.size
+        each = max(1, -(-pages // n)) * self.size
+        cuts = [first, *range((first // self.size) * self.size + each, last, each), last]
+        return [_Rows(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
+
+    def read(self, partition: _Rows) -> Iterator[tuple]:
+        at = partition.first // self.size * self.size
+        while at < partition.end:
+            rows = rows_of(self._page(self.options["url"], at, self.size))
+            if at + len(rows) < min(partition.end, at + self.size):
+                raise IncompleteRead(f"the page at offset {at} has fewer rows than were counted")
+            yield from (_row(self.schema, r) for r in rows[max(0, partition.first - at) : partition.end - at])
+            at += self.size
+
+
 class _Stream(SimpleDataSourceStreamReader):
     """The cursor is the stream's offset, so a restarted query goes on where its checkpoint says."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -67,9 +66,11 @@ def put_rows(df: DataFrame, put: Callable[[dict[str, str]], None]) -> DataFrame:
     return encoded.select(*names).mapInArrow(run, "ok boolean, n long").groupBy("ok").agg(F.sum("n").alias("n"))
 
 
-def manifest(df: DataFrame) -> str:
-    """A small state record of a written table."""
-    return json.dumps({"columns": df.columns, "schema": json.loads(df.schema.json())})
+def create_table_as(spark, name: str, path: str, query: str, fmt: str = "parquet") -> str:
+    """A catalog table over `path` from a query, by CREATE TABLE AS SELECT; a table of that name is replaced. Gives the name."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING {fmt} OPTIONS (compression 'snappy') LOCATION '{path}' AS {query}")
+    return name
 
 
 def with_fallback(df: DataFrame, path: str, fallback: str) -> str:
