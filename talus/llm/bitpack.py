@@ -32,6 +32,8 @@ HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
 #: Ids after which a file is closed.
 FILE_IDS = 32 << 20
+#: Documents of a file at most, however short.
+FILE_DOCS = 1 << 18
 END_ID = 2
 
 
@@ -127,7 +129,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> D
                 ids.append(np.append(x, x.dtype.type(end_id)))
                 doc_ids.append(doc)
                 held += len(x) + 1
-                if held >= FILE_IDS:
+                if held >= FILE_IDS or len(ids) >= FILE_DOCS:
                     yield close()
                     doc_ids, ids, held, n = [], [], 0, n + 1
         if ids:

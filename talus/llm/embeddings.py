@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -75,6 +76,21 @@ def stretches(code: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (flat.reshape(len(code), tables, bits) * weights).sum(axis=2, dtype=np.uint64)
 
 
+def linkable(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, labels, which vectors can link, where each begins among the components, lengths, components as doubles)."""
+    ids, labels, vectors = (batch.column(c) for c in ("vec_id", "label", "embedding"))
+    sizes = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten()  # without what lies behind null vectors
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components are NaN
+    bad, some = (np.concatenate([[0], np.cumsum(m)]) for m in (~np.isfinite(x), x != 0))
+    within = lambda sums: sums[begins[1:]] - sums[begins[:-1]]
+    ok = (sizes > 0) & (within(bad) == 0) & (within(some) > 0)
+    for c in (ids, labels):
+        ok &= c.is_valid().to_numpy(zero_copy_only=False)
+    return ids, labels, ok, begins[:-1], sizes, x
+
+
 def coded(vectors: DataFrame, words: int, wide: bool) -> DataFrame:
     """(vec_id, label, dim, data, h1, h2, code) of the vectors that can link; data holds float64 if wide, else float32."""
     names = ["vec_id", "label", "dim", "data", "h1", "h2", "code"]
@@ -82,21 +98,16 @@ def coded(vectors: DataFrame, words: int, wide: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_dim: dict[int, list[tuple]] = {}
-            for vec, label, x in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))):
-                if vec is None or label is None or not x or any(v is None for v in x):
-                    continue
-                x = np.array(x, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    by_dim.setdefault(len(x), []).append((vec, label, x))
+            ids, labels, ok, begins, sizes, flat = linkable(batch)
+            by_dim = {int(d): np.flatnonzero(ok & (sizes == d)) for d in np.unique(sizes[ok])}
             step = max(1, PRODUCTS // (64 * words))
             pieces = [(dim, rows[x : x + step]) for dim, rows in by_dim.items() for x in range(0, len(rows), step)]
             for dim, rows in pieces:
-                m = np.stack([r[2] for r in rows])
+                m = flat[begins[rows][:, None] + np.arange(dim)]
                 code = np.packbits(scaled(m) @ planes(dim, 64 * words) >= 0, axis=1, bitorder="little")
                 blobs = [r.tobytes() for r in m.astype(kind)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([dim] * len(rows), pa.int32()), pa.array(blobs, pa.binary()),
+                    ids.take(pa.array(rows)), labels.take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(blobs, pa.binary()),
                     *(pa.array([f(b) - (1 << 63) for b in blobs], pa.int64()) for f in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)),
                     pa.array([c.tobytes() for c in code], pa.binary()),
                 ], names)

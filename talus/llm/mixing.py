@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm.text import packed
 from talus.runtime import stage
 
 #: Steps of the inversion; the rate of one draw is at most MAX_RATE, whose tail beyond the steps is below 1e-15.
@@ -68,18 +67,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     as values; texts, however long, are moved whole; an empty table gives an empty one.
     """
     columns = docs.columns
-    d, r = docs.alias("d"), rates(docs, weights, temperature).alias("r")
-    rate = F.col("r.rate")
-    k = copies_of(F.col("d.doc_id"), F.xxhash64("d.text"), rate=rate, seed=seed)
-    joined = d.join(r, F.col("d.source").cast("string").eqNullSafe(F.col("r.source")))
-    keep = [F.col(f"d.`{c}`") for c in columns if c != copy_column]
-    counted = joined.select(*keep, k.alias("__k"), F.xxhash64("d.doc_id", "d.text", F.lit(seed)).alias("__h"))
-    copies = counted.where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    shuffled = copies.withColumn("__key", F.xxhash64("__h", "__copy", F.lit(seed + 1))).repartition("__key").sortWithinPartitions("__key")
-    names = [F.col(f"`{c}`") for c in columns if c != copy_column]
-    return shuffled.select(*names, *([F.col("__copy").alias(copy_column)] if copy_column else []))
-
-
-def expected_zero(rate: float) -> float:
-    """The share of rows that a rate leaves out."""
-    return math.exp(-rate)
+    rows = docs.select(packed(docs).alias("row"))
+    d, r = rows.alias("d"), rates(docs, weights, temperature).alias("r")
+    doc_id, text, source = (F.col(f"d.row.{c}") for c in ("doc_id", "text", "source"))
+    k = copies_of(doc_id, F.xxhash64(text), rate=F.col("r.rate"), seed=seed)
+    joined = d.join(r, source.cast("string").eqNullSafe(F.col("r.source")))
+    counted = joined.select("d.row", k.alias("k"), F.xxhash64(doc_id, text, F.lit(seed)).alias("h")).where("k > 0")
+    copies = counted.select("row", "h", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
+    shuffled = copies.withColumn("key", F.xxhash64("h", "copy", F.lit(seed + 1))).repartition("key").sortWithinPartitions("key")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in columns if c != copy_column]
+    return shuffled.select(*kept, *([F.col("copy").alias(copy_column)] if copy_column else []))

@@ -38,7 +38,7 @@ from talus.llm.text import binary, mix, slices
 from talus.runtime import stage
 
 #: Words of a chunk, bytes that a long text is split by, entries of a worker's word table, bits of a bitmap at most.
-CHUNK, SEGMENT, WORDS, BITS = 1_000_000, 4 << 20, 400_000, 28
+CHUNK, SEGMENT, WORDS, BITS = 500_000, 4 << 20, 400_000, 28
 #: Fingerprints that a screening task holds before it adds them up, and has in all as a rule.
 MERGED, SCREENED = 4_000_000, 8_000_000
 LONGEST, LEAST, PERCENT, TOP = 4, 30, 80, 2000
@@ -315,8 +315,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK,
     second = stage(screened(rows, (3, 4), pairs, least, parts, chunk_words, mask), "phrases-often")
     stayed = bitmap(first.unionByName(second))
     found = materialised(rows, (1, 2, 3, 4), stayed, chunk_words, mask)
-    counts = found.groupBy("lang", "size", "fp", "phrase").agg(F.sum("n").alias("f"), F.min(F.struct("doc_id", "at")).alias("first"))
-    return stage(counts.where((F.col("f") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "f", "first"), "phrases-counts")
+    counts = found.groupBy("lang", "size", "fp", "phrase").agg(F.sum("n").alias("f"), F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
+    return stage(counts.where((F.col("f") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "f", F.struct("doc_id", "at").alias("first")), "phrases-counts")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, top: int = TOP, chunk_words: int = CHUNK, mask: int = (1 << 64) - 1) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm.text import packed
 from talus.runtime import stage
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -152,9 +153,17 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Texts that lose no line stay as they are; n_chars, if there is one, is counted again where a line went.
     """
-    good = quality(docs).where("kept").select(F.col("row_key").alias("__key"), F.col("removed_lines").alias("__gone")).distinct()
-    key = row_key(F.col("doc_id"), F.col("text"), F.col("source"))
-    left = docs.withColumn("__key", key).join(good, "__key").withColumn("text", without_lines(F.col("text"), F.col("__gone")))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return left.select(*docs.columns)
+    good = quality(docs).where("kept").select("row_key", "removed_lines").distinct()
+    key = row_key(F.col("row.doc_id"), F.col("row.text"), F.col("row.source"))
+    left = docs.select(packed(docs).alias("row")).withColumn("row_key", key).join(good, "row_key")
+    text = without_lines(F.col("row.text"), F.col("removed_lines"))
+
+    def column(name: str) -> Column:
+        old = F.col(f"row.`{name}`")
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(F.col("removed_lines").isNull(), old).otherwise(F.length(text).cast(docs.schema[name].dataType)).alias(name)
+        return old.alias(name)
+
+    return left.select(*[column(c) for c in docs.columns])

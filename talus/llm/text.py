@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -65,6 +67,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             total, start = int(ends[stop - 1]), stop
 
 
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of a table as one struct, so that no column of an operator's own can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or df.columns])
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_
     toxic and max_unlabelled other ones, chosen by a hash of the id.
 
     The class prior is the toxic share of the training labels, between 0.005 and 0.5. An id is
-    toxic if any of its labels says so; all rows of a chosen id take part, but copies, edited
-    ones too, count once. Null ids and labels are left out; null and empty texts have no
+    toxic if any of its labels says so; all rows of a chosen id take part, up to the same bounds
+    in all, but copies, edited ones too, count once. Null ids and labels are left out; null and empty texts have no
     features; texts are read whole. Without toxic labels nothing is predicted toxic; an empty
     table gives such a model too. Columns but doc_id, text and toxic are ignored.
     """
@@ -176,32 +176,60 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_
             found = [pa.array([f(t).tobytes() for t in texts], pa.binary()) for f in (text_features, signature)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), *found], ["doc_id", "positive", "features", "signature"])
 
-    # at most max_positive + max_unlabelled ids
+    # at most max_positive + max_unlabelled ids, and as many rows: of an id that repeats, equal texts are one row
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    made = stage(chosen.mapInArrow(features, "doc_id long, positive boolean, features binary, signature binary").withColumn("key", F.xxhash64("doc_id", "positive", "features")), "tox-rows")
-    rows = sorted(made.select("doc_id", "positive", "key", "signature").collect(), key=lambda r: (r.doc_id, r.key))
-    sides = [[r for r in rows if r.positive == side] for side in (True, False)]
+    keyed = chosen.withColumn("t", F.xxhash64("text"))
+    pairs = keyed.select("doc_id", "positive", "t").distinct()
+    picked = [pairs.where(side).orderBy(order, "doc_id", "t").limit(n) for side, n in (("positive", max_positive), ("NOT positive", max_unlabelled))]
+    rows = keyed.join(F.broadcast(picked[0].unionByName(picked[1])), ["doc_id", "positive", "t"]).groupBy("doc_id", "positive", "t").agg(F.first("text").alias("text"))
+    made = stage(rows.select("doc_id", "positive", "text").mapInArrow(features, "doc_id long, positive boolean, features binary, signature binary").withColumn("key", F.xxhash64("doc_id", "positive", "features")), "tox-rows")
+    signed = sorted(made.select("doc_id", "positive", "key", "signature").collect(), key=lambda r: (r.doc_id, r.key))
+    sides = [[r for r in signed if r.positive == side] for side in (True, False)]
     kept = {(r.positive, r.key) for side in sides for r in (side[k] for k in distinct_rows([np.frombuffer(r.signature, np.uint64) for r in side]))}
-
-    def each() -> Iterator[tuple[bool, np.ndarray]]:
-        """The kept rows, one after another: whole texts' features never lie on the driver together."""
-        seen = set()
-        for r in made.select("positive", "key", "features").toLocalIterator():
-            at = (r.positive, r.key)
-            if at in kept and at not in seen:
-                seen.add(at)
-                yield (*at, np.frombuffer(r.features, np.uint32))
-
-    seen, n = {True: np.zeros(1 << BITS), False: np.zeros(1 << BITS)}, {True: 0, False: 0}
-    for p, _, x in each():
-        seen[p][np.unique(x)] += 1
-        n[p] += 1
-    speaks = np.zeros(1 << BITS, bool)
-    if n[True] and n[False]:
-        speaks[speaking(seen[True], seen[False], n[True], n[False])] = True
-    short = sorted(((p, key, x[speaks[x]]) for p, key, x in each()), key=lambda r: (not r[0], r[1]))
+    n_p, n_u = sum(p for p, _ in kept), sum(not p for p, _ in kept)
+    short: list[tuple[bool, int, np.ndarray]] = []
+    if n_p and n_u:
+        # which features may speak is found by Spark; whole texts' features never come to the driver
+        speaks = np.zeros(1 << BITS, bool)
+        speaks[_speaking_of(made, kept, n_p, n_u)] = True
+        short = _short_rows(made, kept, speaks)
+    elif kept:
+        short = [(p, key, np.zeros(0, np.uint32)) for p, key in sorted(kept, key=lambda r: (not r[0], r[1]))]
     weights, bias = fit_nnpu([x for _, _, x in short], np.array([p for p, _, _ in short], bool), prior)
-    return ToxicityModel(weights, bias, prior, n[True])
+    return ToxicityModel(weights, bias, prior, n_p)
+
+
+def _speaking_of(made: DataFrame, kept: set[tuple[bool, int]], n_p: int, n_u: int) -> np.ndarray:
+    """The features that may speak for the positive class, from counts that the tasks sum up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros((2, 1 << BITS), np.int32), set()
+        for batch in batches:
+            for p, key, x in zip(*(batch.column(c).to_pylist() for c in ("positive", "key", "features"))):
+                if (p, key) in kept and (p, key) not in seen:
+                    seen.add((p, key))
+                    counts[int(p)][np.unique(np.frombuffer(x, np.uint32))] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[1][at]), pa.array(counts[0][at])], ["feature", "toxic", "other"])
+
+    sums = made.select("positive", "key", "features").mapInArrow(run, "feature int, toxic int, other int").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # a first cut by Spark, so that few come to the driver; the rule itself is speaking()
+    some = sums.where(F.col("toxic") >= min(3, n_p)).where(F.col("toxic") >= MIN_SHARE * n_p).collect()
+    toxic, other = (np.array([r[c] for r in some], np.float64) for c in ("toxic", "other"))
+    return np.array([r.feature for r in some], np.int64)[speaking(toxic, other, n_p, n_u)]
+
+
+def _short_rows(made: DataFrame, kept: set[tuple[bool, int]], speaks: np.ndarray) -> list[tuple[bool, int, np.ndarray]]:
+    """(positive, key, features that speak) of the kept rows, in a fixed order."""
+    known = np.flatnonzero(speaks).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint32) for x in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("key"), pa.array([x[np.isin(x, known)].tobytes() for x in found], pa.binary())], ["positive", "key", "features"])
+
+    rows = {(r.positive, r.key): np.frombuffer(r.features, np.uint32) for r in made.select("positive", "key", "features").mapInArrow(run, "positive boolean, key long, features binary").toLocalIterator() if (r.positive, r.key) in kept}
+    return [(p, key, rows[p, key]) for p, key in sorted(rows, key=lambda r: (not r[0], r[1]))]
 
 
 class _Scorer(dict):

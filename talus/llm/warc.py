@@ -35,6 +35,8 @@ EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 LEVEL = 1
 #: Bytes after which an archive is closed.
 ARCHIVE_BYTES = 256 << 20
+#: Captures of an archive at most: a task holds their index rows until the archive is closed.
+ARCHIVE_ROWS = 200_000
 #: Captures in a block of a run, blocks in a range on average, ranges at most, and runs that one loser tree merges.
 BLOCK_ROWS, RANGE_BLOCKS, MAX_RANGES, FAN = 1024, 200, 10_000, 64
 #: Block rows that are drawn for each splitter.
@@ -104,7 +106,8 @@ def url_key(url: str | None) -> str:
 
 
 def _header_value(text: str) -> str:
-    return "".join(c if c.isprintable() and c != "\x7f" else "%%%02X" % min(255, ord(c)) for c in text)
+    """What can't stand in a header line as the percent signs of its UTF-8 bytes, so that different URLs stay different."""
+    return "".join(c if c.isprintable() and c != "\x7f" else "".join("%%%02X" % b for b in c.encode("utf-8", "surrogatepass")) for c in text)
 
 
 def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, when: datetime) -> bytes:
@@ -232,7 +235,7 @@ def write(pages: DataFrame, path: str, when: Column | None = None) -> DataFrame:
                 key, stamp = url_key(url), moment.strftime("%Y%m%d%H%M%S")
                 rows.append((sort_key(key, stamp, page, part, n, at), key, stamp, page, digest, "response" if refers is None else "revisit", uri, at, len(member)))
                 at += len(member)
-                if at >= ARCHIVE_BYTES:
+                if at >= ARCHIVE_BYTES or len(rows) >= ARCHIVE_ROWS:
                     yield close()
                     out = None
         if out is not None:
