@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import mixing, neardup, packing, quality, tokens, toxicity
+from talus.llm.text import packed
 from talus.runtime import stage, table
 
 
@@ -44,10 +45,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = stage(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
     if again.isEmpty():
         return rest
-    # rows that repeat an id are one group: the first by the text's hash stays
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.monotonically_increasing_id())
-    one = rest.join(again, "doc_id", "left_semi").withColumn("__rn", F.row_number().over(order)).where("__rn = 1")
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    # rows that repeat an id are one group: the first by the text's hash stays, found by partial sums
+    repeated = rest.join(again, "doc_id", "left_semi").select(packed(docs).alias("row"))
+    one = repeated.groupBy("row.doc_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    kept = one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
