@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from talus.runtime import stage
 
-BINS, CUT = 64, 16
+#: Rows times models that a task walks in a pass, about.
+BINS, CUT, TASK_ROWS = 64, 16, 1_000_000
 
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
@@ -260,7 +261,10 @@ def train(df: DataFrame, key: str, label: str, features: list[str], settings: li
     edges = bin_edges(df, features, bins)
     models = {k: Model(s, features, edges) for k, s in enumerate(settings)}
     empty = np.zeros(len(settings)).tobytes()
-    rows = stage(binned(df.where(F.col(label).isNotNull()), key, label, features, edges, fold).withColumn("margins", F.lit(empty)), "boost-rows")
+    labelled = binned(df.where(F.col(label).isNotNull()), key, label, features, edges, fold).withColumn("margins", F.lit(empty))
+    # a pass is short: a task for TASK_ROWS rows and models, as many as there are
+    parts = -(-df.where(F.col(label).isNotNull()).count() * len(settings) // TASK_ROWS)
+    rows = stage(labelled.repartition(max(1, parts), "u"), "boost-rows")
     width, total, first = len(features), len(settings), 0
     active, tree = dict(models), 0
     most = max((s.trees for s in settings), default=0)
