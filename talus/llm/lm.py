@@ -195,10 +195,10 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     top = counted.where(F.col("kind") == 1).where(F.col("hash") != int(end))
     top = top.orderBy(F.desc("count"), "hash").limit(KEPT).collect()
     last = counted.where((F.col("kind") == 1) & (F.col("hash") == int(end))).collect()
-    sums = counted.where(F.col("kind") == 2).groupBy("bucket").agg(F.sum("count").alias("n"), F.sum("types").alias("v")).collect()  # SUFFIXES << CELL_BITS rows at most
+    sums = counted.where(F.col("kind") == 2).groupBy("bucket").agg(F.sum("count").alias("n"), F.sum("types").alias("v")).toArrow()  # SUFFIXES << CELL_BITS rows at most
     n, v = np.zeros(SUFFIXES << CELL_BITS, np.int64), np.zeros(SUFFIXES << CELL_BITS, np.int64)
-    for r in sums:
-        n[r["bucket"]], v[r["bucket"]] = r["n"], r["v"]
+    at = sums.column("bucket").to_numpy()
+    n[at], v[at] = sums.column("n").to_numpy(), sums.column("v").to_numpy()
     tokens, types = int(n.sum()), int(v.sum())
     for r in [*top, *last]:  # tokens with a class of their own leave their cell
         n[r["bucket"]] -= r["count"]
@@ -303,10 +303,9 @@ def bigrams(train: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    summed = train.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    summed = train.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES * CLASSES)
-    for r in summed:
-        out[r["pair"]] = r["n"]
+    out[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
     return out.reshape(CLASSES, CLASSES)
 
 
@@ -490,13 +489,16 @@ def train_rounds(counts: DataFrame, layout: Layout, groups: np.ndarray, prior: n
         step = lambda seen, expected: (seen - expected) / (0.5 * (seen + expected) + 2.0)
         expected = np.zeros(model.hashed.shape)
         # the size of the weights, and TASKS times that of the hashed ones; word rows come by chunks and are updated in place
-        for r in pairs.mapInArrow(run, "kind int, row int, expected binary").collect():
-            if r["kind"] == 0:
-                expected[r["row"]] += np.frombuffer(r["expected"], np.float32)
+        found = pairs.mapInArrow(run, "kind int, row int, expected binary").toArrow()
+        for kind, row, blob in zip(*(found.column(c) for c in ("kind", "row", "expected"))):
+            kind, row, each = kind.as_py(), row.as_py(), np.frombuffer(blob.as_buffer(), np.float32)
+            if kind == 0:
+                expected[row] += each
                 continue
-            each = np.frombuffer(r["expected"], np.float32).reshape(-1, CLASSES)
-            own = slice(r["row"], r["row"] + len(each))
+            each = each.reshape(-1, CLASSES)
+            own = slice(row, row + len(each))
             model.words[own] += 0.4 * step(seen[1][own], each) - 0.0005 * model.words[own]
+        del found
         model.hashed += (0.4 * step(seen[0], expected) - 0.0005 * model.hashed).astype(np.float32)
         # the cells' counts by group and class are few enough for one place
         inner = np.exp(model.cell_logs()) * seen[2].sum(axis=2, keepdims=True)
@@ -527,9 +529,10 @@ def normalisers(counts: DataFrame, layout: Layout, model: Model) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([rows.start]), pa.array([logs.tobytes()], pa.binary())], ["first", "logs"])
 
     out = np.zeros((layout.rows, PAIRS), np.float32)
-    for r in chunks.mapInArrow(run, "first long, logs binary").collect():
-        x = np.frombuffer(r["logs"], np.float32).reshape(-1, PAIRS)
-        out[r["first"] : r["first"] + len(x)] = x
+    found = chunks.mapInArrow(run, "first long, logs binary").toArrow()
+    for first, logs in zip(found.column("first").to_pylist(), found.column("logs")):
+        x = np.frombuffer(logs.as_buffer(), np.float32).reshape(-1, PAIRS)
+        out[first : first + len(x)] = x
     shared.destroy()
     return out
 
