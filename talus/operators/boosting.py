@@ -174,7 +174,7 @@ def _sampled(u: np.ndarray, setting: Setting, tree: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53) < setting.rows
 
 
-def _histograms(rows: DataFrame, models: dict[int, Model], growing: dict[int, Tree], nodes: dict[int, list[int]], tree: int, first: int, width: int, total: int, watch: bool) -> dict[int, tuple[np.ndarray, np.ndarray, float, float]]:
+def _histograms(rows: DataFrame, models: dict[int, Model], growing: dict[int, Tree], nodes: dict[int, list[int]], tree: int, first: int, width: int, total: int, watch: bool, single: bool) -> dict[int, tuple[np.ndarray, np.ndarray, float, float]]:
     """For each model (gradients, second derivatives by node, feature and bin; held-out loss and rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +210,17 @@ def _histograms(rows: DataFrame, models: dict[int, Model], growing: dict[int, Tr
         columns = list(zip(*out_rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["model", "cell", "v"])
 
-    found = rows.mapInArrow(run, "model int, cell long, v double").groupBy("model", "cell").agg(F.sum("v").alias("v")).toArrow()
+    found = rows.mapInArrow(run, "model int, cell long, v double")
+    if not single:  # of one task there is nothing to add up
+        found = found.groupBy("model", "cell").agg(F.sum("v").alias("v"))
+    found = found.toArrow()
     model_of, cell, v = (found.column(c).to_numpy() for c in ("model", "cell", "v"))
     out = {}
     for k in models:
         size = len(nodes[k]) * width * BINS
         acc = np.zeros(2 * size + 2)
         mine = model_of == k
-        acc[cell[mine]] = v[mine]
+        np.add.at(acc, cell[mine], v[mine])
         shape = (len(nodes[k]), width, BINS)
         out[k] = (acc[:size].reshape(shape), acc[size : 2 * size].reshape(shape), acc[-2], acc[-1])
     return out
@@ -276,7 +279,7 @@ def train(df: DataFrame, key: str, label: str, features: list[str], settings: li
         level = 0
         while nodes:
             open_ = {k: active[k] for k in nodes}
-            found = _histograms(rows, open_, growing, nodes, tree, first, width, total, level == 0)
+            found = _histograms(rows, open_, growing, nodes, tree, first, width, total, level == 0, parts <= 1)
             for k, (g, h, loss, n) in found.items():
                 model = active[k]
                 if level == 0:

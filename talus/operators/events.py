@@ -41,8 +41,38 @@ def next_after_split(events: DataFrame, key: str, ts: str, is_start: Column, is_
 def gaps(events: DataFrame, key: str, ts: str, *ties: str) -> DataFrame:
     """gap_seconds to the key's row before, null for its first."""
     w = Window.partitionBy(key).orderBy(ts, *ties)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return events.withColumn("gap_seconds", (micros(F.col(ts)) - micros(F.lag(ts).over(w))) / 1e6)
+    return events.withColumn("gap_seconds", (_micros(F.col(ts)) - _micros(F.lag(ts).over(w))) / 1e6)
+
+
+def gaps_split(events: DataFrame, key: str, ts: str, *ties: str) -> DataFrame:
+    """gaps where a key may hold a large share of all rows: its rows are spread over range partitions.
+
+    The first row of a key in a partition looks back to the last time that the partition before it
+    holds of the key, which is the greatest there. Rows without a time come first, as in gaps.
+    """
+    ranged = stage(events.repartitionByRange(F.col(key), F.col(ts), *ties).withColumn("__pid", F.spark_partition_id()), "gaps")
+    local = Window.partitionBy("__pid", key).orderBy(ts, *ties)
+    here = ranged.withColumns({"__near": F.lag(ts).over(local), "__rn": F.row_number().over(local)})
+    before = Window.partitionBy(key).orderBy("__pid")
+    ends = ranged.groupBy("__pid", key).agg(F.max(ts).alias("__m")).select("__pid", F.col(key).alias("__key"), F.lag("__m").over(before).alias("__carry"))
+    a, b = here.alias("a"), ends.alias("b")
+    joined = a.join(b, (F.col("a.__pid") == F.col("b.__pid")) & F.col(f"a.`{key}`").eqNullSafe(F.col("b.__key")))
+    last = F.when(F.col("__rn") == 1, F.col("b.__carry")).otherwise(F.col("__near"))
+    return joined.select(*[F.col(f"a.`{c}`") for c in events.columns], ((_micros(F.col(f"a.`{ts}`")) - _micros(last)) / 1e6).alias("gap_seconds"))
+
+
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+#: Rows of one key up to which they are sorted in one task.
+HOT_ROWS = 1_000_000
+
+
+def has_hot_key(events: DataFrame, key: str, limit: int | None = None) -> bool:
+    """Whether a key has more rows than a task should sort; a count by key, combined before it is shuffled."""
+    most = events.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return most > (HOT_ROWS if limit is None else limit)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

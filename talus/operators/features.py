@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import clean, risk
 from talus.operators import graph
-from talus.operators.events import gaps, is_night, next_after, zscore
+from talus.operators.events import gaps, gaps_split, has_hot_key, is_night, next_after, next_after_split, zscore
 from talus.runtime import stage
 
 
@@ -20,7 +20,9 @@ def retention(twd: DataFrame, crypto: DataFrame, minutes: float = 10) -> DataFra
     """
     a = twd.where("kind = 0").select("user_id", "created_at", F.lit(True).alias("deposit"))
     b = crypto.where("kind = 1").select("user_id", "created_at", F.lit(False).alias("deposit"))
-    pairs = next_after(a.union(b), "user_id", "created_at", F.col("deposit"), ~F.col("deposit"))
+    both = a.union(b)
+    follow = next_after_split if has_hot_key(both, "user_id") else next_after  # the same rows either way
+    pairs = follow(both, "user_id", "created_at", F.col("deposit"), ~F.col("deposit"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     pairs = pairs.withColumn("m", (micros("next_end") - micros("created_at")) / 6e7)
     per = pairs.groupBy("user_id").agg(F.min("m").alias("min_retention_minutes"), F.count_distinct(F.when(F.col("next_end").isNotNull(), F.col("created_at"))).alias("retention_event_count"))
@@ -98,7 +100,7 @@ def _amount(when: Column | None = None) -> Column:
 def behaviour(users: DataFrame, twd: DataFrame, crypto: DataFrame, trades: DataFrame, swaps: DataFrame, relations: DataFrame, seeds: DataFrame, as_of: str = "2026-03-26", last_hour: int = 5) -> DataFrame:
     """The behavioural set of 32 features, one row per user of users."""
     age = users.select("user_id", clean.account_age_days(F.col("confirmed_at"), as_of).alias("age"), clean.kyc_level(F.col("level1_finished_at"), F.col("level2_finished_at")).alias("kyc_level"), F.col("user_source"))
-    paced = gaps(twd, "user_id", "created_at", "kind", "amount")
+    paced = (gaps_split if has_hot_key(twd, "user_id") else gaps)(twd, "user_id", "created_at", "kind", "amount")  # the same rows either way
     t = paced.groupBy("user_id").agg(
         F.count_if(F.col("kind") == 0).alias("twd_deposit_count"), F.count_if(F.col("kind") == 1).alias("twd_withdraw_count"), F.sum(_amount()).alias("total_twd_volume"), F.avg("amount").alias("avg_twd_amount"),
         F.count_if(is_night(F.col("created_at"), last_hour)).alias("__night"), F.count("*").alias("__n"), F.count_if(F.col("gap_seconds") < 60).alias("high_speed_risk"), F.count_distinct("source_ip").alias("unique_ip_count"),

@@ -57,7 +57,7 @@ def ml1c(s, d):
 def ml2(s, d):
     """Documents of one source and residue are neighbours; hops and listed neighbours come from each fold's own seeds."""
     docs = table(s, d, "documents").select("doc_id", F.concat_ws("/", "source", F.pmod("doc_id", F.lit(7)).cast("string")).alias("k"))
-    edges = graph.symmetric(graph.shared_key_edges(docs, "k", "doc_id", cap=10))
+    edges = graph.symmetric(graph.shared_key_edges(docs, "k", "doc_id", cap=50))
     plain = [f for f in FEATURES if f != "min_hops_to_blacklist"]
     return ml.fold_aware(_partly(s, d), "user_id", "label", plain, edges, k=5, trees=3, depth=3)
 
@@ -119,10 +119,17 @@ def ml11b(s, d):
     return boosting.out_of_fold(_partly(s, d), "user_id", "label", FEATURES, boosting.Setting(boosting.CostSensitive(5.0), trees=60, depth=5, step=0.05, patience=10))[0]
 
 
-@query("ml12_isotonic_calibration")
+@query("ml12_isotonic_calibration", f"""
+WITH {w.SCORED}, g AS (SELECT p, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM scored GROUP BY p),
+c AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM g),
+m AS (SELECT a.i AS j, b.i AS k, (b.cs-coalesce(z.cs,0))/(b.cn-coalesce(z.cn,0)) AS mean FROM c a JOIN c b ON b.i>=a.i LEFT JOIN c z ON z.i=a.i-1),
+l AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM m),
+f AS (SELECT k AS i, max(least) AS fit FROM l GROUP BY k)
+SELECT round(avg((scored.p-y)*(scored.p-y)),6) AS before, round(avg((fit-y)*(fit-y)),6) AS after FROM scored JOIN c ON c.p=scored.p JOIN f USING(i)""")
 def ml12(s, d):
+    """The isotonic fit is, at each score, the greatest over starts before it of the least mean over ends behind it, as the SQL says."""
     c = ml.calibrate(w.scored(s, d))
-    return c.agg(ml.brier(c, "p").alias("before"), ml.brier(c, "calibrated").alias("after"))
+    return c.agg(F.round(ml.brier(c, "p"), 6).alias("before"), F.round(ml.brier(c, "calibrated"), 6).alias("after"))
 
 
 def _draw(k: int) -> str:

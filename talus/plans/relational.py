@@ -262,6 +262,12 @@ def w1(s, d):
     return events.gaps(w.twd(s, d), "user_id", "created_at", "event_id").select("event_id", "user_id", F.round(F.col("gap_seconds") * 1e6).cast("long").alias("gap_us"))
 
 
+@query("w1_lag_gap_split", f"{w.EVENTS} SELECT event_id, user_id, epoch_us(created_at)-epoch_us(lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, event_id)) AS gap_us FROM twd")
+def w1split(s, d):
+    """The same gaps with the rows of a key spread over range partitions."""
+    return events.gaps_split(w.twd(s, d), "user_id", "created_at", "event_id").select("event_id", "user_id", F.round(F.col("gap_seconds") * 1e6).cast("long").alias("gap_us"))
+
+
 @query("w2_empty_window", "SELECT o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY 1")
 def w2(s, d):
     return table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))

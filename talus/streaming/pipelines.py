@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talus.operators.events import latest
-from talus.runtime import new_path
+from talus.runtime import drop_path, new_path
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -43,7 +43,9 @@ def upsert_latest(stream: DataFrame, key: str, *order: str, path: str | None = N
     The table is dealt into buckets by a hash of the key. A batch merges and writes only the
     buckets that it touches, as bucket=b/batch=n; the newest batch of a bucket holds it whole, so
     a batch that runs again writes the same. Which batches there are is read from storage, so a
-    stopped job goes on where its checkpoint and its table say.
+    stopped job goes on where its checkpoint and its table say. A bucket's batches but its last two
+    are deleted when the run is over: no batch needs them again, and a frame that an earlier run
+    gave can be read until the run after the next.
     """
     spark = stream.sparkSession
     base, checkpoint = path or new_path(spark, "latest"), checkpoint or new_path(spark, "latest-checkpoint")
@@ -68,6 +70,12 @@ def upsert_latest(stream: DataFrame, key: str, *order: str, path: str | None = N
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(base)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    by_bucket: dict[int, list[int]] = {}
+    for bucket, number in _batches_of(spark, base):
+        by_bucket.setdefault(bucket, []).append(number)
+    for bucket, numbers in by_bucket.items():
+        for number in sorted(numbers)[:-2]:
+            drop_path(spark, f"{base}/bucket={bucket}/batch={number}")
     paths = newest()
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 

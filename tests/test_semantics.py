@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -342,3 +343,27 @@ def test_cursor_stream_reads_every_row_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.user_id for r in spark.table("cursor_rows").collect()) == list(range(25))
+
+
+def test_gaps_of_a_hot_key_are_the_plain_ones(spark):
+    r = random.Random(8)
+    data = [(0 if r.random() < 0.6 else r.choice([1, 2, None]), r.choice([None, *range(40)]), i) for i in range(400)]
+    d = spark.createDataFrame(data, "k long, s long, i long").withColumn("ts", F.timestamp_seconds("s"))
+    plain, split = ({x.i: x.gap_seconds for x in f(d, "k", "ts", "i").collect()} for f in (events.gaps, events.gaps_split))
+    assert plain == split and len(plain) == 400
+    assert events.has_hot_key(d, "k", 100) and not events.has_hot_key(d, "k") and not events.has_hot_key(d.limit(0), "k")
+
+
+def test_masks_stop_at_words(spark):
+    texts = ["20912345678", "x0912345678", "0912345678é", "é0912345678", "(0912345678)", "0912345678_", "B234567890", "BB234567890", "B2345678901", "v1.2.3.4", "1.2.3.4.5", "01.2.3.4", "a@b.co1", "a@b.co,", "+12345678x", "++12345678", "1+123456789012345", "mail:x.y@z.org."]
+    rules = [(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[IP-REDACTED]"), (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[EMAIL-REDACTED]"), (r"\b09\d{8}\b", "[PHONE-REDACTED]"), (r"\+\d{8,15}\b", "[PHONE-REDACTED]"), (r"\b[A-Z][12]\d{8}\b", "[ID-REDACTED]")]
+
+    def want(t):
+        for pattern, tag in rules:
+            t = re.sub(pattern, tag, t)
+        return t
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [x[0] for x in d.select(text.redact(F.col("t"))).collect()] == [want(t) for t in texts]
+    got = text.redacted(d.withColumn("u", F.col("t")), "t").collect()
+    assert [x.t for x in got] == [want(t) for t in texts] and got[0].n_mobile == 0 and got[4].n_mobile == 1
