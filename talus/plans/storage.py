@@ -92,8 +92,10 @@ def _pages(s, d, size):
 
 
 def _served(s, d, size, **options):
+    """All pages that there are, however many: the limit of the reader is for sources of unknown length."""
     s.dataSource.register(_Local)
-    p, _ = _pages(s, d, size)
+    p, total = _pages(s, d, size)
+    options["maxpages"] = max(1, -(-total // size))
     return s.read.format("talus_rest_local").option("url", f"{p}|{{offset}}").option("pagesize", size).options(**options).load()
 
 
