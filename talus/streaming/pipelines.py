@@ -137,8 +137,8 @@ def error_alert(df: DataFrame, failed, limit: float = 0.20) -> DataFrame:
 
 
 def within_ttl(df: DataFrame, ts: str, as_of, days: int) -> DataFrame:
-    """Rows that haven't expired at as_of."""
-    return df.where(F.unix_timestamp(F.col(ts).cast("timestamp")) + days * 86400 > F.unix_timestamp(as_of))
+    """Rows that haven't expired at as_of, to the microsecond."""
+    return df.where(F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(days * 86_400_000_000) > F.unix_micros(as_of))
 
 
 def paced(calls: DataFrame, key: str, ts: str, *ties: str, least: float = 1.1) -> DataFrame:

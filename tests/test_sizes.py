@@ -15,3 +15,9 @@ def test_a_source_of_known_length_has_no_limit_of_pages(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("c_name")).write.parquet(f"{d}/customer.parquet")
     rows = storage._served(spark, d, 2, partitions=7)
     assert sorted(r.c_custkey for r in rows.collect()) == list(range(n))
+
+
+def test_time_to_live_counts_microseconds(spark):
+    at = [dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 20, 0, 0, 0, 1), dt.datetime(2024, 1, 20, 0, 0, 0, 999_999), dt.datetime(2024, 1, 19, 23, 59, 59, 999_999), None]
+    df = spark.createDataFrame(list(enumerate(at)), "id long, ts timestamp_ntz")
+    assert sorted(r.id for r in st.within_ttl(df, "ts", F.lit("2024-02-29").cast("timestamp"), 40).collect()) == [1, 2]
