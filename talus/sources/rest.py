@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Pages read at most, unless given: by offset, by cursor. A source with more raises.
 MAX_OFFSET_PAGES, MAX_CURSOR_PAGES = 500, 2000
+#: Rows from which on a batch of a stream by cursor takes no further page.
+BATCH_ROWS = 50_000
 ATTEMPTS = 3
 
 
@@ -128,8 +130,8 @@ class RestSource(DataSource):
     """format("talus_rest"): options url (with {offset} and {limit}, or {cursor}), pagesize, partitions, maxpages, partial.
 
     A stream over a url with {offset} is read on the executors, partitions pages apart at once; one
-    with {cursor} can only be walked page by page. counturl is asked for the number of rows
-    (total) of such a stream, by default the url with a limit of 1.
+    with {cursor} can only be walked page by page, batchrows rows or a little more to a batch. counturl
+    is asked for the number of rows (total) of a stream by offsets, by default the url with a limit of 1.
     """
 
     fetch: Callable = staticmethod(urllib_fetch)
@@ -220,33 +222,45 @@ class _OffsetStream(DataSourceStreamReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """The cursor is the stream's offset, so a restarted query goes on where its checkpoint says."""
+    """The cursor is the stream's offset, so a restarted query goes on where its checkpoint says.
+
+    A batch takes pages until it has batchrows rows: what a batch costs is paid once for many
+    pages, and no more than these rows and a page are held at once. At the end (done) the offset
+    names the last page, and a batch that runs again ends with it.
+    """
 
     def __init__(self, schema: StructType, options: dict, fetch: Callable):
         self.schema, self.options, self.fetch = schema, options, fetch
+        self.least = int(options.get("batchrows", str(BATCH_ROWS)))
 
     def initialOffset(self) -> dict:
         return {"cursor": self.options.get("start", ""), "done": 0}
 
-    def _page(self, cursor: str) -> dict | list | None:
-        return get(self.options["url"].replace("{cursor}", cursor), self.fetch)
+    def _page(self, cursor: str) -> dict | list:
+        page = get(self.options["url"].replace("{cursor}", cursor), self.fetch)
+        if page is None:
+            raise IncompleteRead(f"the page at cursor {cursor} failed")
+        return page
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if start["done"]:
             return iter([]), start
-        page = self._page(start["cursor"])
-        if page is None:
-            raise IncompleteRead(f"the page at cursor {start['cursor']} failed")
-        after = cursor_of(page)
-        return iter([_row(self.schema, r) for r in rows_of(page)]), {"cursor": after or start["cursor"], "done": 0 if after else 1}
+        cursor, rows = start["cursor"], []
+        while True:
+            page = self._page(cursor)
+            rows += [_row(self.schema, r) for r in rows_of(page)]
+            after = cursor_of(page)
+            if not after:
+                return iter(rows), {"cursor": cursor, "done": 1}
+            cursor = after
+            if len(rows) >= self.least:
+                return iter(rows), {"cursor": cursor, "done": 0}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         cursor = start["cursor"]
         while True:
             page = self._page(cursor)
-            if page is None:
-                raise IncompleteRead(f"the page at cursor {cursor} failed")
             yield from (_row(self.schema, r) for r in rows_of(page))
-            cursor = cursor_of(page)
-            if not cursor or cursor == end["cursor"]:
+            at, cursor = cursor, cursor_of(page)
+            if not cursor or (at if end["done"] else cursor) == end["cursor"]:
                 return

@@ -21,3 +21,22 @@ def test_time_to_live_counts_microseconds(spark):
     at = [dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 20, 0, 0, 0, 1), dt.datetime(2024, 1, 20, 0, 0, 0, 999_999), dt.datetime(2024, 1, 19, 23, 59, 59, 999_999), None]
     df = spark.createDataFrame(list(enumerate(at)), "id long, ts timestamp_ntz")
     assert sorted(r.id for r in st.within_ttl(df, "ts", F.lit("2024-02-29").cast("timestamp"), 40).collect()) == [1, 2]
+
+
+def test_a_batch_of_a_cursor_stream_takes_many_pages_and_reads_them_again(spark):
+    schema = spark.createDataFrame([], "user_id long").schema
+
+    def fetch(url):
+        at = int(url or 0)
+        return 200, {}, json.dumps({"data": [{"user_id": i} for i in range(at, min(at + 5, 97))], "nextCursor": at + 5 if at + 5 < 97 else None})
+
+    for least, batches in ((1, 20), (20, 5), (30, 4), (1000, 1)):
+        stream = rest._Stream(schema, {"url": "{cursor}", "batchrows": str(least)}, fetch)
+        start, seen, n = stream.initialOffset(), [], 0
+        while not start["done"]:
+            rows, end = stream.read(start)
+            rows = list(rows)
+            assert list(stream.readBetweenOffsets(start, end)) == rows
+            start, seen, n = end, seen + rows, n + 1
+        assert seen == [(i,) for i in range(97)] and n == batches
+        assert list(stream.read(start)[0]) == []
