@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from talus.operators import boosting
 from talus.plans import storage
 from talus.sources import rest
 from talus.streaming import pipelines as st
@@ -40,3 +41,17 @@ def test_a_batch_of_a_cursor_stream_takes_many_pages_and_reads_them_again(spark)
             start, seen, n = end, seen + rows, n + 1
         assert seen == [(i,) for i in range(97)] and n == batches
         assert list(stream.read(start)[0]) == []
+
+
+def test_boosting_passes_walk_few_trees_and_add_up_many_tasks(spark, monkeypatch):
+    df = spark.range(600).select("id", F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"), (F.sin("id") + F.cos(F.col("id") * 3) > 0.2).cast("int").alias("y"), F.pmod("id", F.lit(3)).cast("int").alias("fold"))
+    settings = [boosting.Setting(fold=f, trees=9, depth=4, step=0.3, rows=0.8) for f in (0, 1, None)]
+    one = boosting.train(df, "id", "y", ["a", "b"], settings, "fold")
+    walked, plain = [], boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda *a: (walked.append((a[4] - a[5], a[9])), plain(*a))[1])
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    many = boosting.train(df, "id", "y", ["a", "b"], settings, "fold")
+    assert max(trees for trees, _ in walked) < 4 and not any(single for _, single in walked)
+    for a, b in zip(one, many):
+        assert [(t.feature, t.cut) for t in a.trees] == [(t.feature, t.cut) for t in b.trees] and len(a.trees) == 9
+        assert all(abs(x - y) < 1e-9 for t, v in zip(a.trees, b.trees) for x, y in zip(t.value, v.value))
