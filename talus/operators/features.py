@@ -55,17 +55,26 @@ def graph_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFra
     """Hop columns of every node with an edge; only seeds with edges are searched from."""
     edges = stage(edges.select("src", "dst"), "edges")
     nodes = edges.select(F.col("src").alias("node")).distinct()
-    hops, near = graph.distances(edges, seeds, max_hops, keep_isolated_seeds=False, written=True), graph.neighbour_counts(edges, seeds)
+    return _hop_columns(nodes, graph.distances(edges, seeds, max_hops, keep_isolated_seeds=False, written=True), graph.neighbour_counts(edges, seeds), max_hops)
+
+
+def key_hops(members: DataFrame, key: str, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
+    """graph_hops of the users (user_id) that share a key value, without the pairs of a value's users."""
+    m = graph.key_members(members, key)
+    return _hop_columns(m.select("node").distinct(), graph.key_distances(m, seeds, max_hops), graph.key_neighbour_counts(m, seeds), max_hops)
+
+
+def _hop_columns(nodes: DataFrame, hops: DataFrame, near: DataFrame, max_hops: int) -> DataFrame:
     joined = nodes.join(hops, "node", "left").join(near, "node", "left")
     d = F.coalesce("hops", F.lit(max_hops + 1))
     return joined.select(F.col("node").alias("user_id"), d.alias("min_hops_to_blacklist"), (d == 1).alias("is_direct_neighbor"), F.coalesce("n", F.lit(0)).alias("blacklist_neighbor_count"), (d <= max_hops).alias("in_blacklist_network"), risk.hop_risk_level(d).alias("hop_risk_level"))
 
 
-def mule_features(users: DataFrame, twd: DataFrame, crypto: DataFrame, trades: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
-    """Retention, addresses, asymmetry and hops of every user, with the four-flag score."""
+def mule_features(users: DataFrame, twd: DataFrame, crypto: DataFrame, trades: DataFrame, hops: DataFrame, max_hops: int = 3) -> DataFrame:
+    """Retention, addresses, asymmetry and hops (of graph_hops or key_hops) of every user, with the four-flag score."""
     joined = (
         volume_asymmetry(users, twd, crypto, trades)
-        .join(retention(twd, crypto), "user_id", "left").join(ip_anomaly([twd, crypto]), "user_id", "left").join(graph_hops(edges, seeds, max_hops), "user_id", "left")
+        .join(retention(twd, crypto), "user_id", "left").join(ip_anomaly([twd, crypto]), "user_id", "left").join(hops, "user_id", "left")
         .fillna({"retention_event_count": 0, "unique_ip_count": 0, "blacklist_neighbor_count": 0, "min_hops_to_blacklist": max_hops + 1, "hop_risk_level": "isolated"})
     )
     flags = ("high_speed_risk", "ip_anomaly", "is_direct_neighbor", "in_blacklist_network")

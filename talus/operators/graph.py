@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from talus.runtime import stage
 
 #: Edges of one node that a task of a frontier join gets, about.
 HOT_EDGES = 100_000
+#: Memberships of a block of users, and of listed ones, that are compared in one task; pairs that it holds at once, about.
+BLOCK, PAIRS = 1_000_000, 4_000_000
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -24,7 +28,8 @@ def shared_key_edges(members: DataFrame, key: str, user: str = "user_id", cap: i
     """Edges (src < dst) between users that share a key value.
 
     With a cap, the cap smallest users of a key take part, so the pairs of a key are bounded.
-    Without one the pairs go through the join; use bipartite() where a key may be hot.
+    Without one the pairs go through the join; use bipartite() where a key may be hot, and
+    key_members() with its searches where only distances and counts are asked for.
     """
     m = members.select(F.col(key).alias("k"), F.col(user).alias("u")).where("k IS NOT NULL AND u IS NOT NULL").distinct()
     if cap is None:
@@ -127,6 +132,79 @@ def distances(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, keep_isolat
     return seen
 
 
+def key_members(members: DataFrame, key: str, user: str = "user_id") -> DataFrame:
+    """(k, node), written: the distinct users of each key value that two users share at least, by a number for the value."""
+    rows = members.select(F.col(key).alias("value"), F.col(user).cast("long").alias("node")).where("value IS NOT NULL AND node IS NOT NULL")
+    rows = stage(rows.distinct(), "members")
+    # numbered once and written, so that every reader sees the same numbers
+    shared = stage(rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value", F.monotonically_increasing_id().alias("k")), "keys")
+    return stage(rows.join(shared, "value").select("k", "node"), "key-members")
+
+
+def key_distances(members: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
+    """distances() over the edges between users that share a key, without the edges: from users to keys and back.
+
+    members as key_members gives them; seeds without an edge are left out.
+    """
+    nodes = members.select("node").distinct()
+    frontier = stage(nodes.join(seeds.select("node").distinct(), "node", "left_semi").withColumn("hops", F.lit(0)), "hops")
+    seen, used = frontier, None
+    for hop in range(1, max_hops + 1):
+        keys = members.join(frontier.select("node"), "node", "left_semi").select("k").distinct()
+        keys = stage(keys.join(used, "k", "left_anti") if used is not None else keys, "hop-keys")
+        used = keys if used is None else used.unionByName(keys)
+        step = members.join(keys, "k", "left_semi").select("node").distinct()
+        frontier = stage(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)), "hops")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def _distinct_listed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(node, n): for each user of left the distinct users of right, but itself, that it shares a key with; both are (k, node)."""
+    by_key = np.argsort(right["k"].to_numpy(), kind="stable")
+    keys, (listed, of) = right["k"].to_numpy()[by_key], np.unique(right["node"].to_numpy()[by_key], return_inverse=True)
+    by_node = np.argsort(left["node"].to_numpy(), kind="stable")
+    k, users = left["k"].to_numpy()[by_node], left["node"].to_numpy()[by_node]
+    low = np.searchsorted(keys, k, "left")
+    many = np.searchsorted(keys, k, "right") - low
+    low, many, users = low[many > 0], many[many > 0], users[many > 0]
+    nodes, first = np.unique(users, return_index=True)
+    upto = np.concatenate([[0], np.cumsum(many)])
+    ends = np.append(first, len(users))  # rows of user i: ends[i] up to ends[i + 1]
+    n, i = np.zeros(len(nodes), np.int64), 0
+    while i < len(nodes):  # whole users, PAIRS pairs at once; a user has no more pairs than right has rows
+        j = max(i + 1, int(np.searchsorted(upto[ends], upto[ends[i]] + PAIRS, "right")) - 1)
+        a, b = ends[i], ends[j]
+        at = np.arange(upto[b] - upto[a]) + np.repeat(low[a:b] - (upto[a:b] - upto[a]), many[a:b])
+        user = np.repeat(np.searchsorted(nodes, users[a:b]), many[a:b])
+        other = of[at]
+        apart = listed[other] != nodes[user]
+        pairs = np.unique((user[apart] - i) * len(listed) + other[apart])
+        n[i:j] = np.bincount(pairs // max(1, len(listed)), minlength=j - i)
+        i = j
+    return pa.table({"node": pa.array(nodes[n > 0], pa.int64()), "n": pa.array(n[n > 0], pa.int64())})
+
+
+def key_neighbour_counts(members: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
+    """neighbour_counts() over the edges between users that share a key, without the edges.
+
+    Blocks of users meet blocks of listed users, each pair of blocks in a task that sees their
+    memberships: what is moved are memberships, not pairs, and a task holds two blocks. The pairs
+    of a user lie in one task for each block of listed users, so the counts add up.
+    """
+    listed = stage(members.join(seeds.select("node").distinct(), "node", "left_semi"), "listed-members")
+    near = stage(members.join(listed.select("k").distinct(), "k", "left_semi").select("k", "node"), "near-members")
+    rows, columns = (max(1, -(-t.count() // block)) for t in (near, listed))
+    of = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = near.select("k", "node", of(rows).alias("i"), every(columns).alias("j"))
+    right = listed.select("k", "node", of(columns).alias("j"), every(rows).alias("i"))
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_distinct_listed, "node long, n long")
+    return met.groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def distances_unrolled(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Distances up to three hops as one plan: each hop is distinct and anti-joined to the earlier ones."""
     hop = seeds.select("node").distinct()

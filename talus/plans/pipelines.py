@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions import risk
-from talus.operators import features, graph
+from talus.operators import features
 from talus.plans import world as w
 from talus.plans.catalog import query
 from talus.plans.graphs import RELN
@@ -16,9 +16,10 @@ FLAG = "coalesce((kyc_level=0 AND total_twd_volume>100000) OR (kyc_level=1 AND t
 UEDGES = "um AS (SELECT DISTINCT user_id, source_ip||'/'||strftime(date_trunc('hour',created_at),'%Y-%m-%d %H') AS k FROM ev), uedges AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM um a JOIN um b USING(k) WHERE a.user_id<>b.user_id)"
 
 
-def _edges(s, d):
+def _hops(s, d):
+    """Hops over users that share an address within an hour."""
     k = F.concat_ws("/", "source_ip", F.date_format(F.date_trunc("hour", "created_at"), "yyyy-MM-dd HH"))
-    return graph.symmetric(graph.shared_key_edges(w.events(s, d).withColumn("k", k), "k"))
+    return features.key_hops(w.events(s, d).withColumn("k", k), "k", w.event_seeds(s, d))
 
 
 @query("f1_retention_time", f"{w.EVENTS}, {PAIRS} SELECT * FROM ret")
@@ -42,7 +43,7 @@ HOPS = f"WITH RECURSIVE {w.EV}, {w.TWD}, {w.CRYPTO}, {w.TRADES}, {w.USERS}, {UED
 
 @query("f4_graph_hops", f"{HOPS} SELECT user_id, h AS min_hops_to_blacklist, h=1 AS is_direct_neighbor, n AS blacklist_neighbor_count, h<=3 AS in_blacklist_network FROM uh")
 def f4(s, d):
-    return features.graph_hops(_edges(s, d), w.event_seeds(s, d)).drop("hop_risk_level")
+    return _hops(s, d).drop("hop_risk_level")
 
 
 MULE = f"{HOPS}, {PAIRS}, {VOLUME}, ipa AS (SELECT user_id, count(DISTINCT source_ip) AS u FROM (SELECT user_id, source_ip FROM twd UNION ALL SELECT user_id, source_ip FROM crypto) GROUP BY 1), mule AS (SELECT asy.user_id, kyc_level, total_twd_volume, z, {FLAG} AS asym, min_retention_minutes, coalesce(retention_event_count,0) AS rc, coalesce(high_speed_risk,false) AS hs, coalesce(u,0) AS u, coalesce(u>3,false) AS ipf, coalesce(h,4) AS h, coalesce(n,0) AS n FROM asy LEFT JOIN ret USING(user_id) LEFT JOIN ipa USING(user_id) LEFT JOIN uh USING(user_id))"
@@ -50,14 +51,14 @@ MULE = f"{HOPS}, {PAIRS}, {VOLUME}, ipa AS (SELECT user_id, count(DISTINCT sourc
 
 @query("f5_mule_features", f"{MULE} SELECT user_id, kyc_level, min_retention_minutes, rc AS retention_event_count, hs AS high_speed_risk, u AS unique_ip_count, ipf AS ip_anomaly, asym AS asymmetry_flag, h AS min_hops_to_blacklist, n AS blacklist_neighbor_count, CAST(hs AS INT)+CAST(ipf AS INT)+CAST(asym AS INT)+CAST(h IN (1,2) AS INT) AS mule_risk_score FROM mule")
 def f5(s, d):
-    m = features.mule_features(w.users(s, d), w.twd(s, d), w.crypto(s, d), w.trades(s, d), _edges(s, d), w.event_seeds(s, d))
+    m = features.mule_features(w.users(s, d), w.twd(s, d), w.crypto(s, d), w.trades(s, d), _hops(s, d))
     return m.select("user_id", "kyc_level", F.round("min_retention_minutes", 6).alias("min_retention_minutes"), "retention_event_count", "high_speed_risk", "unique_ip_count", "ip_anomaly", "asymmetry_flag", "min_hops_to_blacklist", "blacklist_neighbor_count", "mule_risk_score")
 
 
 @query("f6_canonical_features", f"{MULE}, cn AS (SELECT user_id, count(*) FILTER (t='t' AND kind=0) AS a, count(*) FILTER (t='t' AND kind=1) AS b, count(*) FILTER (t='c' AND kind=0) AS c, count(*) FILTER (t='c' AND kind=1) AS e FROM (SELECT user_id, 't' AS t, kind FROM twd UNION ALL SELECT user_id, 'c', kind FROM crypto) GROUP BY 1), nt AS (SELECT user_id, avg(CAST(hour(created_at)>=22 OR hour(created_at)<=6 AS INT)) AS r FROM twd GROUP BY 1) SELECT user_id, kyc_level::DOUBLE AS kyc_level, min_retention_minutes, rc::DOUBLE AS retention_event_count, u::DOUBLE AS unique_ip_count, round(total_twd_volume,2) AS total_twd_volume, h::DOUBLE AS min_hops_to_blacklist, coalesce(a,0)::DOUBLE AS twd_deposit_count, coalesce(b,0)::DOUBLE AS twd_withdraw_count, coalesce(c,0)::DOUBLE AS crypto_deposit_count, coalesce(e,0)::DOUBLE AS crypto_withdraw_count, round(coalesce(r,0),6) AS night_tx_ratio FROM mule LEFT JOIN cn USING(user_id) LEFT JOIN nt USING(user_id)")
 def f6(s, d):
     t, c = w.twd(s, d), w.crypto(s, d)
-    m = features.mule_features(w.users(s, d), t, c, w.trades(s, d), _edges(s, d), w.event_seeds(s, d))
+    m = features.mule_features(w.users(s, d), t, c, w.trades(s, d), _hops(s, d))
     keep = ("kyc_level", "retention_event_count", "unique_ip_count", "min_hops_to_blacklist", "twd_deposit_count", "twd_withdraw_count", "crypto_deposit_count", "crypto_withdraw_count")
     return features.canonical(m, t, c).select("user_id", *keep, F.round("min_retention_minutes", 6).alias("min_retention_minutes"), F.round("total_twd_volume", 2).alias("total_twd_volume"), F.round("night_tx_ratio", 6).alias("night_tx_ratio"))
 
@@ -91,7 +92,7 @@ def f9(s, d):
 @query("f10_behaviour_ingest", f"{MULE}, cn AS (SELECT user_id, count(*) FILTER (t='t' AND kind=0) AS a, count(*) FILTER (t='t' AND kind=1) AS b, count(*) FILTER (t='c' AND kind=1) AS e FROM (SELECT user_id, 't' AS t, kind FROM twd UNION ALL SELECT user_id, 'c', kind FROM crypto) GROUP BY 1) SELECT user_id, CAST(hs AS INT)+CAST(ipf AS INT)+CAST(asym AS INT)+CAST(h IN (1,2) AS INT) AS mule_risk_score, coalesce(a,0) AS twd_deposit_count, coalesce(b,0) AS twd_withdraw_count, coalesce(e,0) AS crypto_withdraw_count, '2026-03-26' AS event_time FROM mule LEFT JOIN cn USING(user_id)")
 def f10(s, d):
     t, c = w.twd(s, d), w.crypto(s, d)
-    m = features.mule_features(w.users(s, d), t, c, w.trades(s, d), _edges(s, d), w.event_seeds(s, d)).select("user_id", "mule_risk_score")
+    m = features.mule_features(w.users(s, d), t, c, w.trades(s, d), _hops(s, d)).select("user_id", "mule_risk_score")
     return features.behaviour_ingest(m, t, c, F.lit("2026-03-26"))
 
 

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from talus.operators import boosting
+from talus.operators import boosting, features, graph
 from talus.plans import storage
 from talus.sources import rest
 from talus.streaming import pipelines as st
@@ -55,3 +57,20 @@ def test_boosting_passes_walk_few_trees_and_add_up_many_tasks(spark, monkeypatch
     for a, b in zip(one, many):
         assert [(t.feature, t.cut) for t in a.trees] == [(t.feature, t.cut) for t in b.trees] and len(a.trees) == 9
         assert all(abs(x - y) < 1e-9 for t, v in zip(a.trees, b.trees) for x, y in zip(t.value, v.value))
+
+
+def test_hops_over_shared_keys_are_those_of_the_edges_and_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(60)}", rng.randrange(90)) for _ in range(220)] + [("alone", 500), ("far1", 600), ("far1", 601), (None, 1), ("k1", None), ("hot", 7)] + [("hot", u) for u in range(200, 260)]
+    members = spark.createDataFrame(rows, "key string, user_id long")
+    for listed in ([0, 7, 17, 205, 210, 211, 500], [600], []):
+        seeds = spark.createDataFrame([(x,) for x in listed], "node long")
+        want = sorted(map(tuple, features.graph_hops(graph.symmetric(graph.shared_key_edges(members, "key")), seeds).collect()))
+        assert sorted(map(tuple, features.key_hops(members, "key", seeds).collect())) == want
+        m = graph.key_members(members, "key")
+        counts = {r.node: r.n for r in graph.neighbour_counts(graph.symmetric(graph.shared_key_edges(members, "key")), seeds).collect()}
+        assert {r.node: r.n for r in graph.key_neighbour_counts(m, seeds, block=50).collect()} == counts
+    left = pa.table({"k": [1, 1, 2, 2, 3], "node": [5, 6, 5, 7, 9]})
+    for pairs in (1, 2, 1000):
+        monkeypatch.setattr(graph, "PAIRS", pairs)
+        assert graph._distinct_listed(left, left.slice(0, 4)).to_pydict() == {"node": [5, 6, 7], "n": [2, 1, 1]}
