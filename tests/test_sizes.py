@@ -5,12 +5,18 @@ import json
 import random
 
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from talus.functions import text
 from talus.operators import boosting, features, graph
-from talus.plans import storage
+from talus.plans import catalog, storage
 from talus.sources import rest
 from talus.streaming import pipelines as st
+from talus.streaming import state
+
+
+catalog.load()
 
 
 def test_a_source_of_known_length_has_no_limit_of_pages(spark, tmp_path):
@@ -74,3 +80,48 @@ def test_hops_over_shared_keys_are_those_of_the_edges_and_make_no_pairs(spark, m
     for pairs in (1, 2, 1000):
         monkeypatch.setattr(graph, "PAIRS", pairs)
         assert graph._distinct_listed(left, left.slice(0, 4)).to_pydict() == {"node": [5, 6, 7], "n": [2, 1, 1]}
+
+
+def test_masks_are_the_plain_patterns_and_pass_over_texts_that_need_none(spark):
+    edge, d = text.EDGE, r"\p{Nd}"
+    plain = (rf"{edge}{d}{{1,3}}(?:\.{d}{{1,3}}){{3}}{edge}", rf"{edge}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{edge}", rf"{edge}09{d}{{8}}{edge}", rf"\+{d}{{8,15}}{edge}", rf"{edge}[A-Z][12]{d}{{8}}{edge}")
+    rng, bits = random.Random(5), ["1.2.3.4", "a.b@c.de", "+x@y.org", "0912345678", "+886912345678", "A123456789", "Ä", "é", "٠٩", "..@x.yz", "_", "-", ".", " ", "5", "\n"]
+    df = spark.createDataFrame([(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))) for i in range(3000)] + [(-1, None)], "id long, text string")
+    want = df
+    for (name, _, tag), pattern in zip(text.MASKS, plain):
+        want = want.withColumn(f"n_{name}", F.regexp_count("text", F.lit(pattern))).withColumn("text", F.regexp_replace("text", pattern, tag))
+    got = text.redacted(df, "text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert set(text.NEEDED) == {"ip", "email", "mobile", "phone"}
+
+
+def test_the_recursion_and_the_component_join_read_written_edges(spark):
+    d = "/root/testdata/sf0.001"
+    for name in ("g2r_recursive_bfs", "j18_component_join"):
+        plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_partkey" not in plan
+
+
+def test_a_key_has_one_timer_for_the_rows_of_a_batch():
+    class Kept:
+        def __init__(self):
+            self.timers, self.rows, self.calls, self.value = [], [], 0, None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getListState(self, *a):  # noqa: N802
+            return self
+
+        getValueState = getListState  # noqa: N815
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def appendValue(self, row):  # noqa: N802
+            self.appendList([row])
+
+    kept, one = Kept(), state.OnceInTtl(10)
+    one.init(kept)
+    list(one.handleInputRows((1,), iter([Row(ts=t, ord=t) for t in (7, 3, 9, 3)]), None))
+    assert kept.timers == [3] and kept.calls == 1 and sorted(kept.rows) == [(3, 3), (3, 3), (7, 7), (9, 9)]
