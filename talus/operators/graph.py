@@ -220,9 +220,12 @@ def distances_unrolled(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def distances_recursive(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -> DataFrame:
-    """Distances by a recursive query over walks; for sparse graphs and few hops only."""
+    """Distances by a recursive query over walks; for sparse graphs and few hops only.
+
+    The edges are written out first: the recursion reads them again for every hop.
+    """
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("__talus_edges")
+    stage(edges.select("src", "dst"), "edges").createOrReplaceTempView("__talus_edges")
     seeds.select("node").distinct().createOrReplaceTempView("__talus_seeds")
     return spark.sql(f"""
         WITH RECURSIVE walk(node, hops) AS (
@@ -232,15 +235,16 @@ def distances_recursive(edges: DataFrame, seeds: DataFrame, max_hops: int = 3) -
         ) SELECT node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY node""")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge; component is its smallest node."""
+def components(edges: DataFrame, written: bool = False) -> DataFrame:
+    """(node, component) of every node with an edge; component is its smallest node. The edges are written out once, unless they are (written)."""
+    edges = edges if written else stage(edges.select("src", "dst"), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     return nodes.join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def seeded_components(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def seeded_components(edges: DataFrame, seeds: DataFrame, written: bool = False) -> DataFrame:
     """Nodes with in_network: whether their component holds a seed."""
-    c = stage(components(edges), "components")
+    c = stage(components(edges, written), "components")
     hit = c.join(seeds.select("node").distinct(), "node", "left_semi").select("component", F.lit(True).alias("__hit")).distinct()
     return c.join(hit, "component", "left").select("node", "component", F.coalesce("__hit", F.lit(False)).alias("in_network"))
 
@@ -280,7 +284,7 @@ def hop_features(edges: DataFrame, seeds: DataFrame, ip_features: DataFrame, max
     nodes = edges.select(F.col("src").alias("node")).where("node > 0").union(seeds.select("node")).distinct()
     hops = distances(edges, seeds, max_hops, written=True)
     near = neighbour_counts(edges, seeds)
-    flags = seeded_components(edges, seeds).select("node", "in_network") if network == "component" else near.select("node", F.lit(True).alias("in_network"))
+    flags = seeded_components(edges, seeds, written=True).select("node", "in_network") if network == "component" else near.select("node", F.lit(True).alias("in_network"))
     joined = nodes.join(hops, "node", "left").join(near, "node", "left").join(flags, "node", "left").join(ip_features.withColumnRenamed("user_id", "node"), "node", "left")
     distance, shared = F.coalesce("hops", F.lit(max_hops + 1)), F.coalesce("ip_shared_user_count", F.lit(0))
     fast = F.coalesce("has_high_speed_risk", F.lit(False))

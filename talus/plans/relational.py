@@ -9,7 +9,7 @@ from talus.functions import clean
 from talus.operators import evaluate, events, features, graph, validate
 from talus.plans import world as w
 from talus.plans.catalog import query
-from talus.runtime import table
+from talus.runtime import stage, table
 
 M = lambda c: F.col(c).cast("decimal(18,2)")
 
@@ -126,8 +126,8 @@ def j17(s, d):
 
 @query("j18_component_join", f"WITH RECURSIVE {w.EDGES}, reach(node,r) AS (SELECT DISTINCT src, src FROM edges UNION SELECT e.dst, reach.r FROM reach JOIN edges e ON e.src=reach.node WHERE e.dst>reach.r), c AS (SELECT node, min(r) AS c FROM reach GROUP BY 1) SELECT a.c AS component, count(*) AS edges FROM edges JOIN c a ON src=a.node JOIN c b ON dst=b.node WHERE a.c=b.c GROUP BY 1")
 def j18(s, d):
-    e = w.edges(s, d)
-    c = graph.components(e)
+    e = stage(w.edges(s, d), "edges")
+    c = stage(graph.components(e, written=True), "components")
     a, b = c.toDF("src", "a"), c.toDF("dst", "b")
     return e.join(a, "src").join(b, "dst").where("a = b").groupBy(F.col("a").alias("component")).agg(F.count("*").alias("edges"))
 
