@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.plans import world as w
 from talus.plans.catalog import query
-from talus.runtime import new_path, table
+from talus.runtime import TASK_ROWS, new_path, partitions_for, table
 from talus.streaming import delivery, state
 from talus.streaming import pipelines as st
 
@@ -80,11 +80,11 @@ def st4b(s, d):
     """
     e = table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     p = new_path(s, "ttl-in")
-    first, last = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    first, last, rows = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count("*")).first()
     part = F.floor((F.unix_micros("ts") - first) * 4 / F.lit(last - first + 1))
     for k in range(4):  # files in the order of time
         e.where(part == k).repartition(1).write.mode("append").parquet(p)
-    with state.keyed_state(s):
+    with state.keyed_state(s, rows):
         out = st.run_to_table(state.once_in_ttl(st.file_stream(s, p, e.schema), "user_id", "ts", "event_id", TTL_DAYS * 86400, "1 day"))
     return out.select(F.col("key").alias("user_id"), F.col("ord").alias("event_id"))
 
@@ -123,12 +123,15 @@ def st6b(s, d):
     e = table(s, d, "events")
     act = F.when(F.col("event_type") == "click", "review").when(F.col("event_type") == "view", "confirm").otherwise("dismiss")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    a = e.select(F.col("user_id").alias("incident_id"), seq.cast("long").alias("seq"), act.alias("action"), "event_id")
+    rows = e.count()
+    a = e.select("user_id", "event_id", act.alias("action")).repartition(partitions_for(s, rows), "user_id")
+    a = a.select(F.col("user_id").alias("incident_id"), seq.cast("long").alias("seq"), "action", "event_id")
     p = new_path(s, "incidents-in")
-    a.repartition(3, F.xxhash64("event_id")).write.parquet(p)
-    with state.keyed_state(s):
-        out = st.run_to_table(state.machine_states(st.file_stream(s, p, a.schema)))
-    return out.join(a.drop("action"), ["incident_id", "seq"]).select("incident_id", F.col("event_id").alias("seq"), "action", "state", "code")
+    files = max(1, -(-rows // (3 * TASK_ROWS)))  # of each of the three batches
+    a.repartition(3 * files, F.xxhash64("event_id")).write.parquet(p)
+    with state.keyed_state(s, rows):
+        out = st.run_to_table(state.machine_states(st.file_stream(s, p, a.schema, files_per_trigger=files), ref="event_id"))
+    return out.select("incident_id", F.col("event_id").alias("seq"), "action", "state", "code")
 
 
 @query("st8_stream_metrics", """

@@ -77,6 +77,88 @@ def test_states_of_actions_that_come_out_of_order_and_twice(spark):
     assert len(got) == len(set(got)) and set(got) == machine_by_hand(actions)
 
 
+class _Kept:
+    """A value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self._call("" in self.rows)
+
+    def get(self):
+        return self._call(self.rows.get(""))
+
+    def update(self, value):
+        self._call(self.rows.update({"": value}))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._call(key in self.rows)
+
+    def getValue(self, key):  # noqa: N802
+        return self._call(self.rows[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._call(self.rows.update({key: value}))
+
+    def removeKey(self, key):  # noqa: N802
+        self._call(self.rows.pop(key, None))
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+
+class _Handle(_Kept):
+    def __init__(self):
+        self.value, self.map = _Kept(), _Kept()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self.value
+
+    def getMapState(self, *_):  # noqa: N802
+        return self.map
+
+
+def test_actions_that_wait_are_kept_by_blocks():
+    """A key's batches take calls by blocks, and what comes out is the same for any order and any block."""
+    rng = random.Random(8)
+    actions = [(7, s, rng.choice(["review", "confirm", "dismiss", "other"])) for s in range(1, 6001)]
+    dealt = rng.sample(actions, len(actions))
+    batches = [dealt[k::3] for k in range(3)]
+    row = collections.namedtuple("row", "seq action ref")
+    for settings, most in (({}, 120), ({"block": 16, "held": 500}, None)):
+        handle, machine = _Handle(), state.Machine(st.TRANSITIONS, "OPEN", **settings)
+        machine.init(handle)
+        got = []
+        for batch in batches + [dealt[:50]]:  # the last repeats what was taken
+            for out in machine.handleInputRows((7,), iter([row(s, a, -s) for _, s, a in batch]), None):
+                first, *columns = (out.first, out.action, out.state, out.code, out.ref) if hasattr(out, "first") else (out.seq, [out.action], [out.state], [out.code], [None])
+                got += [(7, first + i, *one) for i, one in enumerate(zip(*columns))]
+        assert [g[1] for g in got] == list(range(1, 6001)) and {g[:5] for g in got} == machine_by_hand(actions) and all(g[5] == -g[1] for g in got)
+        assert not handle.map.rows and (most is None or handle.value.calls + handle.map.calls <= most)
+
+
+def test_state_is_dealt_by_rows_and_takes_a_reference_along(spark):
+    rng = random.Random(9)
+    actions = [(k, s, rng.choice(["review", "confirm", "dismiss"])) for k, n in ((1, 2500), (2, 3)) for s in range(1, n + 1)]
+    rows = [(k, s, a, f"e{k}-{s}") for k, s, a in rng.sample(actions, len(actions))]
+    schema = "incident_id long, seq long, action string, event string"
+    p = files_of(spark, rows, schema, 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with state.keyed_state(spark, 3_000_000):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "6"
+        out = st.run_to_table(state.machine_states(st.file_stream(spark, p, spark.createDataFrame([], schema).schema), ref="event"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    got = [tuple(r) for r in out.select("incident_id", "seq", "action", "state", "code", "event").collect()]
+    assert len(got) == len(set(got)) and {g[:5] for g in got} == machine_by_hand(actions) and all(g[5] == f"e{g[0]}-{g[1]}" for g in got)
+
+
 def delivered_by_hand(rows, fails, attempts):
     done, dead = [], []
     for group, seq, kind in sorted(rows, key=lambda r: (str(r[0]), r[1])):
