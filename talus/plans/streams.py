@@ -34,9 +34,10 @@ def _delivery(s, d):
     """Events as messages, a group for each user: errors fail at first, and for good unless their number is divisible by three."""
     e = table(s, d, "events").select("user_id", "event_id", "event_type")
     p = new_path(s, "queue-in")
-    e.repartitionByRange(3, "event_id").write.parquet(p)
+    files = max(3, -(-e.count() // TASK_ROWS))
+    e.repartitionByRange(files, "event_id").write.parquet(p)
     ok = lambda attempt: (F.col("event_type") != "error") | ((attempt > 1) & (F.col("event_id") % 3 == 0))
-    return delivery.Delivery(st.file_stream(s, p, e.schema, files_per_trigger=3), "user_id", "event_id", ok, attempts=2).run()
+    return delivery.Delivery(st.file_stream(s, p, e.schema, files_per_trigger=files), "user_id", "event_id", ok, attempts=2).run()
 
 
 @query("st2_ordered_delivery", """

@@ -19,12 +19,17 @@ class Delivery:
     handled. A message that fails is tried again in the next batch and holds back its group's
     later messages until it is delivered or has failed `attempts` times; then it goes to the dead
     letters and the group goes on. What waits is a table of its own with the attempts so far.
+    Once the source has no more, a message takes up to TRIES attempts in one step, so the steps
+    that follow don't grow with the failures of a group.
 
     Batch n reads what batch n - 1 left and writes delivered/batch=n, dead/batch=n and
     pending/batch=n anew, so a batch that runs again leaves the same rows once. An order (seq)
     must be unique within its group; a null group is one of its own.
     """
 
+    #: Attempts at a message in one step, when no more batches come.
+    TRIES = 8
+
     def __init__(self, stream: DataFrame, group: str, seq: str, succeeds: Callable[[Column], Column], attempts: int = 2, path: str | None = None):
         self.stream, self.group, self.seq, self.succeeds, self.attempts = stream, group, seq, succeeds, attempts
         self.spark = stream.sparkSession
@@ -42,27 +47,43 @@ class Delivery:
         found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
         return sorted(int(f.getPath().getName().removeprefix("batch=")) for f in found)
 
-    def _step(self, rows: DataFrame, number: int) -> None:
-        """One attempt at what waits, in order; number names what is written."""
+    def _tried(self, waiting: DataFrame, tries: int) -> DataFrame:
+        """What waits, with the attempt it gets to (`tries` more at most, until one succeeds) and whether that is ok."""
+        tried = waiting.withColumns({"attempt": F.col("attempts"), "ok": F.lit(False)})
+        for _ in range(tries):
+            tried = tried.withColumn("__open", ~F.col("ok") & (F.col("attempt") < self.attempts))
+            tried = tried.withColumn("attempt", F.col("attempt") + F.col("__open").cast("int"))
+            tried = tried.withColumn("ok", F.when(F.col("__open"), F.coalesce(self.succeeds(F.col("attempt")), F.lit(False))).otherwise(F.col("ok")))
+        return tried.drop("__open")
+
+    def _step(self, rows: DataFrame, number: int, tries: int = 1) -> None:
+        """Up to `tries` attempts at what waits, in order; number names what is written."""
         before = [n for n in self._batches() if n < number]
         fresh = rows.select(*self.columns, F.lit(0).alias("attempts"))
         waiting = self._read("pending", before[-1]).unionByName(fresh) if before else fresh
-        tried = waiting.withColumn("attempt", F.col("attempts") + 1)
-        tried = tried.withColumn("ok", F.coalesce(self.succeeds(F.col("attempt")), F.lit(False)))
+        tried = self._tried(waiting, tries)
+        ended = F.when(F.col("ok"), "delivered").otherwise("dead")
+        if tries >= self.attempts:  # each message comes to its end, and none holds back others
+            dealt = tried.select(*self.columns, F.col("attempt").cast("int").alias("attempts"), ended.alias("place"))
+        else:
+            dealt = self._held_back(tried, ended)
+        dealt.persist()
+        try:
+            for table in ("delivered", "dead", "pending"):  # pending last: it marks the batch as done
+                dealt.where(F.col("place") == table).drop("place").write.mode("overwrite").parquet(f"{self.base}/{table}/batch={number}")
+        finally:
+            dealt.unpersist()
+
+    def _held_back(self, tried: DataFrame, ended: Column) -> DataFrame:
         # the first failure that is not the last one allowed stops its group here
         stops = ~F.col("ok") & (F.col("attempt") < self.attempts)
         first = tried.where(stops).groupBy(self.group).agg(F.min(self.seq).alias("stop"))
-        a, b = tried.alias("a"), first.alias("b")
+        a, b = tried.withColumn("__ended", ended).alias("a"), first.alias("b")
         joined = a.join(b, F.col(f"a.`{self.group}`").eqNullSafe(F.col(f"b.`{self.group}`")), "left")
         order, stop = F.col(f"a.`{self.seq}`"), F.col("b.stop")
-        place = F.when(stop.isNull() | (order < stop), F.when(F.col("a.ok"), "delivered").otherwise("dead")).otherwise("pending")
+        place = F.when(stop.isNull() | (order < stop), F.col("a.__ended")).otherwise("pending")
         used = F.when(stop.isNull() | (order <= stop), F.col("a.attempt")).otherwise(F.col("a.attempts"))
-        dealt = joined.select(*[F.col(f"a.`{c}`") for c in self.columns], used.cast("int").alias("attempts"), place.alias("place")).persist()
-        try:
-            for table in ("delivered", "dead", "pending"):  # pending last: it marks the batch as done
-                dealt.where(F.col("place") == table).drop("place").write.mode("overwrite").parquet(f"{self.base}/{table}/batch={number}")
-        finally:
-            dealt.unpersist()
+        return joined.select(*[F.col(f"a.`{c}`") for c in self.columns], used.cast("int").alias("attempts"), place.alias("place"))
 
     def run(self, checkpoint: str | None = None) -> "Delivery":
         """Take up what the source has, then go on until nothing waits."""
@@ -70,7 +91,7 @@ class Delivery:
         # room for the attempts after a batch: they are named by the numbers behind it
         self.stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: self._step(rows, n << 20)).start().awaitTermination()
         while (done := self._batches()) and not self._read("pending", done[-1]).isEmpty():
-            self._step(self._read("pending", done[-1]).limit(0), done[-1] + 1)
+            self._step(self._read("pending", done[-1]).limit(0), done[-1] + 1, min(self.attempts, self.TRIES))
         return self
 
     def table(self, name: str) -> DataFrame:

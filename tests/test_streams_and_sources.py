@@ -194,6 +194,21 @@ def test_delivery_keeps_the_order_and_moves_dead_letters(spark, attempts):
         assert [p for p, _ in places] == list(range(1, len(places) + 1)) and [s for _, s in places] == sorted(s for _, s in places)
 
 
+@pytest.mark.parametrize(("attempts", "most"), [(2, 2), (20, 6)])
+def test_steps_of_a_delivery_dont_grow_with_the_failures_of_a_group(spark, attempts, most):
+    """Twelve failures in one group; more attempts than a step takes: two of its messages fail for good."""
+    kinds = ["once", "ok", "once", "once", "never", "once", "once", "ok", "once", "never", "once", "once", "once", "once"]
+    rows = [(1, k, kind) for k, kind in enumerate(kinds)] + [(None, 0, "once"), (2, 0, "ok")]
+    schema = "g long, seq long, kind string"
+    q = queue_of(spark, files_of(spark, rows, schema, 1), schema, attempts).run()
+    done, dead = delivered_by_hand(rows, lambda kind: FAILS[kind], attempts)
+    got = q.table("delivered").collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted([(r.g, r.seq, r.attempts) for r in got], key=key) == done and sorted([(r.g, r.seq, r.attempts) for r in q.table("dead").collect()], key=key) == dead
+    assert [r.seq for r in sorted(got, key=lambda r: r.position) if r.g == 1] == [s for g, s, _ in done if g == 1]
+    assert len(q._batches()) <= most
+
+
 def test_a_delivery_batch_that_runs_again_leaves_each_row_once(spark):
     rows = [(1, k, k_) for k, k_ in enumerate(["ok", "once", "ok", "never", "ok"])]
     schema = "g long, seq long, kind string"
