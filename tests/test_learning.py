@@ -9,6 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from talus.operators import boosting, ml, shapley, tuning
+from talus.plans import models
 
 FEATURES = ["a", "b", "c"]
 
@@ -218,3 +219,41 @@ def test_tuned_gives_a_row_for_each_trial(spark):
     x, y = rows_of(120)
     rows = tuning.tuned(frame_of(spark, x, y), "id", "y", FEATURES, boosting.Setting(trees=3), trials=3, parallel=2, k=2).collect()
     assert [r.trial for r in rows] == [1, 2, 3] and all(3 <= r.depth <= 10 and 0.5 < r.auc <= 1 and 0 < r.f1 <= 1 for r in rows)
+
+
+def test_the_registered_search_trains_as_many_trees_in_as_many_folds_as_the_reference(spark, monkeypatch, tmp_path):
+    found = []
+    monkeypatch.setattr(tuning, "tuned", lambda df, key, label, features, base, **more: found.append((base, more)))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    models.ml20b(spark, str(tmp_path))
+    ((base, more),) = found
+    assert (base.trees, base.patience, base.rows, base.columns) == (500, 30, 1.0, 1.0)
+    assert (more["trials"], more["parallel"], more["k"]) == (20, 4, 5)
+
+
+def test_a_search_of_rows_that_fit_a_task_makes_no_passes(spark, monkeypatch):
+    x, y = rows_of(400)
+    df, passes, plain = frame_of(spark, x, y), [], boosting._histograms
+    search = lambda: [tuple(r) for r in tuning.tuned(df, "id", "y", FEATURES, boosting.Setting(trees=25, patience=3), trials=2, parallel=2, k=2).collect()]
+    monkeypatch.setattr(boosting, "_histograms", lambda *a: (passes.append(1), plain(*a))[1])
+    alone = search()
+    assert not passes
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    assert np.allclose(search(), alone, atol=1e-9) and len(passes) > 20
+
+
+def test_both_ways_of_training_grow_the_same_trees(spark, monkeypatch):
+    x, y = rows_of(500, 3)
+    x[:, 2] = x[:, 0] * 2  # splits by a and c gain the same
+    df = frame_of(spark, x, y).withColumn("fold", (F.col("id") % 4).cast("int")).withColumn("y", F.when(F.col("id") % 9 > 0, F.col("y")))
+    df = df.unionByName(df.where("id < 40"))
+    settings = [boosting.Setting(boosting.CostSensitive(3.0), None, 7, 6, 0.2, rows=0.7), boosting.Setting(boosting.Logistic(), 1, 40, 7, 0.6, 0.1, patience=2, columns=0.7), boosting.Setting(fold=2, trees=5, depth=1)]
+    alone, held = boosting.train(df, "id", "y", FEATURES, settings, "fold"), boosting.held_out(df, "id", "y", FEATURES, settings, "fold").collect()
+    scored = [r for r in boosting.predict(df, "id", alone, ("y",), "fold").collect() if r.y is not None]
+    assert sorted((r.model, r.y, r.p) for r in scored) == sorted(map(tuple, held)) and {r.model for r in held} == {1, 2}
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    passed = boosting.train(df, "id", "y", FEATURES, settings, "fold")
+    for a, b in zip(alone, passed):
+        assert [(t.feature, t.cut, t.left) for t in a.trees] == [(t.feature, t.cut, t.left) for t in b.trees] and len(a.trees) > 0
+        assert np.allclose(a.watched, b.watched) and np.allclose(sum((t.cover for t in a.trees), []), sum((t.cover for t in b.trees), []))
+    assert np.allclose(sorted(map(tuple, boosting.held_out(df, "id", "y", FEATURES, settings, "fold").collect())), sorted(map(tuple, held)))
